@@ -1,6 +1,7 @@
 """Global and per-group ordering without putting a whole group in one task.
 
-The order column is cut into value buckets holding about the same number of
+A table counted as small goes through a plain window.  Beyond that the order
+column is cut into value buckets holding about the same number of
 rows each.  Bucket totals (a small table) give every bucket its starting
 offset, and an ordinary window then works inside one bucket at a time.  Bucket
 edges are plain literals, so both passes agree whatever happens to the tasks;
@@ -18,25 +19,53 @@ from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
 MAX_BUCKETS = 1024
+LOCAL_ROWS = 500_000
 
 
 def bucket_count(spark: SparkSession) -> int:
     return max(8, min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def value_buckets(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
-    """Add BUCKET: an order-preserving bucket number of numeric column `col`."""
+def local_rows(spark: SparkSession) -> int:
+    """Tables up to this many rows are ranked with one plain window per group."""
+    return int(spark.conf.get("spark.flipside.localRows", str(LOCAL_ROWS)))
+
+
+def _edges(df: DataFrame, col: str, buckets: int | None = None) -> list[float] | None:
+    """Bucket edges of a numeric column, or None when the table is small.
+
+    Row count and quantiles come from one aggregate over one column.
+    """
     n = buckets or bucket_count(df.sparkSession)
-    probe = df.select(F.col(col).cast("double").alias("v"))
-    edges = sorted(set(probe.approxQuantile("v", [i / n for i in range(1, n)], 1.0 / (2 * n))))
-    splits = [float("-inf"), *(edges or [0.0]), float("inf")]
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(col).cast("double"), shares, F.lit(4 * n)).alias("e")
+    ).first()
+    if row["n"] <= local_rows(df.sparkSession):
+        return None
+    return sorted(set(row["e"] or [0.0]))
+
+
+def _cut(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
+    splits = [float("-inf"), *edges, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__v", outputCol=BUCKET, handleInvalid="keep")
     return cut.transform(df.withColumn("__v", F.col(col).cast("double"))).drop("__v")
 
 
+def value_buckets(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
+    """Add BUCKET: an order-preserving bucket number of numeric column `col`.
+
+    A small table stays in one piece and gets no BUCKET column.
+    """
+    edges = _edges(df, col, buckets)
+    return df if edges is None else _cut(df, col, edges)
+
+
 def uniform_buckets(df: DataFrame, unit: Column, buckets: int | None = None) -> DataFrame:
     """Add BUCKET for an order column known to be uniform on [0,1)."""
     n = buckets or bucket_count(df.sparkSession)
+    if df.count() <= local_rows(df.sparkSession):
+        return df
     return df.withColumn(BUCKET, F.floor(unit * F.lit(float(n))).cast("double"))
 
 
@@ -48,9 +77,16 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums `run_<name>` and group totals `all_<name>`.
 
-    `bucketed` carries BUCKET; `order` must be unique inside a group.
+    `bucketed` carries BUCKET unless it is small; `order` must be unique inside
+    a group.
     """
     by = list(by)
+    if BUCKET not in bucketed.columns:
+        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return bucketed.withColumns(
+            {f"run_{k}": F.sum(v).over(upto) for k, v in sums.items()}
+            | {f"all_{k}": F.sum(v).over(W.partitionBy(*by)) for k, v in sums.items()}
+        )
     df = bucketed.withColumns({f"__s_{k}": v for k, v in sums.items()})
     totals = df.groupBy(*by, BUCKET).agg(*[F.sum(f"__s_{k}").alias(f"__t_{k}") for k in sums])
     before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
@@ -96,6 +132,13 @@ def long_form(df: DataFrame, by: Sequence[str], cols: Sequence[str], keep: Seque
     return df.select(*picked, cells.alias("__cell")).select(*picked, "__cell.feat", "__cell.value")
 
 
+def _small_quantile(col: str, p: float, kind: str) -> Column:
+    name = f"`{col}`"
+    if kind == "lower":
+        return F.expr(f"percentile_disc({p!r}D) within group (order by {name})")
+    return F.percentile(col, p)
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -108,13 +151,17 @@ def exact_quantiles(
     kind='lower' returns the smallest value with cumulative share >= p;
     kind='linear' interpolates between the two neighbouring order statistics.
 
-    Pass 1 counts rows per value bucket; only buckets that hold a wanted rank
+    A small table uses the built-in percentile.  Otherwise pass 1 counts rows per value bucket; only buckets that hold a wanted rank
     are looked at again, so just a few buckets per column are shuffled, and
     equal values are merged before the shuffle.
     """
     by = list(by)
+    if df.count() <= local_rows(df.sparkSession):
+        return df.groupBy(*by).agg(
+            *[_small_quantile(c, p, kind).alias(f"{c}_q{i}") for c in cols for i, p in enumerate(probs)]
+        )
     cells = long_form(df, by, cols).filter(F.col("value").isNotNull())
-    cells = value_buckets(cells, "value")
+    cells = _cut(cells, "value", _edges(cells, "value") or [0.0])
     keys = [*by, "feat"]
     totals = cells.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("n"))
     upto = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow)

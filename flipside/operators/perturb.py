@@ -27,26 +27,33 @@ FD_EPS = 1e-3
 
 @dataclass
 class PerturbConfig:
-    p: float = 0.5
-    magnitude: float = 2.0
-    step: float = 0.1
-    k: float = 1.0
+    """Numbers and salt may be Columns, so one plan can run many settings."""
+
+    p: float | Column = 0.5
+    magnitude: float | Column = 2.0
+    step: float | Column = 0.1
+    k: float | Column = 1.0
     direction: str = "random"
     seed: int = 42
-    salt: str = ""
+    salt: str | Column = ""
     score: Score | None = None
     key: Sequence[str] = field(default_factory=lambda: ["row_id"])
 
     def draw_key(self, feature: str, purpose: str) -> list:
-        tail = [purpose] if not self.salt else [purpose, self.salt]
+        salted = isinstance(self.salt, Column) or bool(self.salt)
+        tail = [purpose, self.salt] if salted else [purpose]
         return [self.seed, *[F.col(k) for k in self.key], feature, *tail]
 
 
+def _num(v: float | Column) -> Column:
+    return v if isinstance(v, Column) else F.lit(float(v))
+
+
 def select_targets(df: DataFrame, features: Sequence[str], cfg: PerturbConfig) -> DataFrame:
     """Boolean columns m_f: each feature with probability p; a row with none
     gets exactly one of its known features."""
     drawn = {
-        f"m_{f}": F.col(f).isNotNull() & (uniform01(*cfg.draw_key(f, "mask")) < F.lit(float(cfg.p))) for f in features
+        f"m_{f}": F.col(f).isNotNull() & (uniform01(*cfg.draw_key(f, "mask")) < _num(cfg.p)) for f in features
     }
     out = df.withColumns(drawn)
     known = [F.col(f).isNotNull().cast("int") for f in features]
@@ -78,18 +85,23 @@ def fit_spread(df: DataFrame, features: Sequence[str], by: Sequence[str], bounds
     return fit(df, by, aggs)
 
 
-def with_donors(df: DataFrame, features: Sequence[str], by: Sequence[str], cfg: PerturbConfig) -> DataFrame:
-    """One donor row per row, drawn with replacement inside its group."""
+def with_donors(df: DataFrame, features: Sequence[str], by: Sequence[str], cfg: PerturbConfig, repeat: Column | None = None) -> DataFrame:
+    """One donor row per row, drawn with replacement inside its group.
+
+    `repeat` (an explode of settings) copies the rows after they are numbered.
+    """
     id_col = cfg.key[-1]
     indexed = positions(df, by, id_col, "__pos")
     donors = indexed.select(*by, F.col("__pos").alias("__donor"), *[F.col(f).alias(f"donor_{f}") for f in features])
     draw = uniform01(*cfg.draw_key("", "donor"))
+    if repeat is not None:
+        indexed = indexed.withColumn("__set", repeat)
     rows = indexed.withColumn("__donor", F.floor(draw * F.col("__pos_of")).cast("long"))
     return rows.join(donors, [*by, "__donor"]).drop("__donor", "__pos", "__pos_of")
 
 
 def additive_noise(f: str, cfg: PerturbConfig) -> Column:
-    return rand_normal(0.0, 1.0, *cfg.draw_key(f, "noise")) * F.col(f"sd_{f}") * F.lit(float(cfg.magnitude))
+    return rand_normal(0.0, 1.0, *cfg.draw_key(f, "noise")) * F.col(f"sd_{f}") * _num(cfg.magnitude)
 
 
 def marginal_replacement(f: str, cfg: PerturbConfig) -> Column:
@@ -97,7 +109,7 @@ def marginal_replacement(f: str, cfg: PerturbConfig) -> Column:
 
 
 def fixed_magnitude(f: str, cfg: PerturbConfig) -> Column:
-    size = F.lit(float(cfg.k)) * F.col(f"sd_{f}")
+    size = _num(cfg.k) * F.col(f"sd_{f}")
     return size if cfg.direction == "positive" else size * rand_sign(*cfg.draw_key(f, "sign"))
 
 
@@ -113,7 +125,7 @@ def gradient_guided(f: str, cfg: PerturbConfig, features: Sequence[str]) -> Colu
     slope = cfg.score({**at, f: F.col(f) + F.lit(FD_EPS)}) - cfg.score(at)
     towards = F.when(slope > 0, F.lit(1.0)).when(slope < 0, F.lit(-1.0)).otherwise(rand_sign(*cfg.draw_key(f, "flat")))
     coin = rand_sign(*cfg.draw_key(f, "coin"))
-    return towards * coin * F.lit(float(cfg.step)) * F.col(f"sd_{f}") * F.lit(float(cfg.magnitude))
+    return towards * coin * _num(cfg.step) * F.col(f"sd_{f}") * _num(cfg.magnitude)
 
 
 @dataclass(frozen=True)
@@ -139,7 +151,7 @@ def register_strategy(name: str, delta: Callable[[str, PerturbConfig], Column],
     STRATEGIES[name] = Strategy(delta, needs)
 
 
-def perturb(df: DataFrame, features: Sequence[str], strategy: str, by: Sequence[str], cfg: PerturbConfig, spread: DataFrame | None = None) -> DataFrame:
+def perturb(df: DataFrame, features: Sequence[str], strategy: str, by: Sequence[str], cfg: PerturbConfig, spread: DataFrame | None = None, repeat: Column | None = None) -> DataFrame:
     """Mask, delta and counterfactual columns under the named strategy."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(STRATEGIES)}")
@@ -148,7 +160,7 @@ def perturb(df: DataFrame, features: Sequence[str], strategy: str, by: Sequence[
         raise ValueError(f"{strategy} needs a score function")
     params = None
     if chosen.needs == "donor":
-        src = with_donors(df, features, by, cfg)
+        src = with_donors(df, features, by, cfg, repeat)
     else:
         params = spread if spread is not None else fit_spread(df, features, by, chosen.needs == "bounds")
         src = attach(df, params, by)

@@ -423,7 +423,8 @@ select row_id, cf_index, {R("f_0 + sd_f_0*" + sign_sql('42', 'row_id', 'cf_index
 from so_ join st_ on so_.dataset_id = st_.dataset_id cross join k_""",
 )
 def h20(spark, sf):
-    rows = perturb.multiple_counterfactuals(scored_orders(spark, sf).select("row_id", "dataset_id", "f_0"), 3)
+    base = scored_orders(spark, sf).select("row_id", "dataset_id", "f_0")
     cfg = perturb.PerturbConfig(p=1.0, seed=SEED, key=["row_id", "cf_index"])
-    made = perturb.perturb(rows, ["f_0"], "fixed_magnitude", BY, cfg)
+    spread = perturb.fit_spread(base, ["f_0"], BY)
+    made = perturb.perturb(perturb.multiple_counterfactuals(base, 3), ["f_0"], "fixed_magnitude", BY, cfg, spread)
     return rounded(made.select("row_id", "cf_index", "cf_f_0"))

@@ -16,29 +16,55 @@ from flipside.operators.perturb import STD_FLOOR, STRATEGIES, PerturbConfig, Sco
 def sweep(rows: DataFrame, features: Sequence[str], by: Sequence[str], strategies: Sequence[str], configs: Mapping[str, PerturbConfig], repeats: int, score: Score, threshold: DataFrame | float) -> DataFrame:
     """One report row per strategy x variant x repeat.
 
-    The feature statistics are fitted once for the whole sweep; every cell is
-    tagged and all of them go through one final aggregate.
+    The settings are columns: each strategy reads the rows once, repeats them
+    per (variant, repeat) and builds all its cells in one projection.  Feature
+    statistics are fitted once for the whole sweep.
     """
-    spread = fit(rows, by, [F.greatest(F.stddev_samp(f), F.lit(STD_FLOOR)).alias(f"sd_{f}") for f in features])
-    bounds = fit(rows, by, [a for f in features for a in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))])
+    stats = {
+        "std": fit(rows, by, [F.greatest(F.stddev_samp(f), F.lit(STD_FLOOR)).alias(f"sd_{f}") for f in features]),
+        "bounds": fit(rows, by, [a for f in features for a in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]),
+    }
+    settings = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(v).alias("variant"),
+                    F.lit(rep).alias("repeat"),
+                    *[F.lit(float(getattr(c, n))).alias(n) for n in ("p", "magnitude", "step", "k")],
+                )
+                for v, c in configs.items()
+                for rep in range(repeats)
+            ]
+        )
+    )
+    first = next(iter(configs.values()))
+    cell = replace(
+        first,
+        p=F.col("__set.p"),
+        magnitude=F.col("__set.magnitude"),
+        step=F.col("__set.step"),
+        k=F.col("__set.k"),
+        salt=F.concat(F.col("__set.variant"), F.col("__set.repeat")),
+    )
     cells = None
     for strategy in strategies:
         needs = STRATEGIES[strategy].needs
-        for variant, cfg in configs.items():
-            for rep in range(repeats):
-                cell_cfg = replace(cfg, salt=f"{variant}{rep}")
-                made = perturb(rows, features, strategy, by, cell_cfg, bounds if needs == "bounds" else spread)
-                measured = pair_distances(label_pairs(made, features, score, by, threshold), features)
-                one = measured.select(
-                    F.lit(strategy).alias("strategy"),
-                    F.lit(variant).alias("variant"),
-                    F.lit(rep).alias("repeat"),
-                    F.col("label_flipped").cast("double").alias("flip"),
-                    "l1",
-                    "l2",
-                    "changed_share",
-                )
-                cells = one if cells is None else cells.unionByName(one)
+        if needs == "donor":
+            # Donors are drawn per cell, so positions are taken before the rows are repeated.
+            made = perturb(rows, features, strategy, by, cell, repeat=settings)
+        else:
+            made = perturb(rows.withColumn("__set", settings), features, strategy, by, cell, stats[needs])
+        measured = pair_distances(label_pairs(made, features, score, by, threshold), features)
+        one = measured.select(
+            F.lit(strategy).alias("strategy"),
+            "__set.variant",
+            "__set.repeat",
+            F.col("label_flipped").cast("double").alias("flip"),
+            "l1",
+            "l2",
+            "changed_share",
+        )
+        cells = one if cells is None else cells.unionByName(one)
     return cells.groupBy("strategy", "variant", "repeat").agg(
         F.avg("flip").alias("validity"),
         F.count(F.lit(1)).alias("n"),
