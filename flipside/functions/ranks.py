@@ -132,11 +132,17 @@ def long_form(df: DataFrame, by: Sequence[str], cols: Sequence[str], keep: Seque
     return df.select(*picked, cells.alias("__cell")).select(*picked, "__cell.feat", "__cell.value")
 
 
-def _small_quantile(col: str, p: float, kind: str) -> Column:
-    name = f"`{col}`"
+def _small_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], kind: str) -> DataFrame:
     if kind == "lower":
-        return F.expr(f"percentile_disc({p!r}D) within group (order by {name})")
-    return F.percentile(col, p)
+        return df.groupBy(*by).agg(
+            *[
+                F.expr(f"percentile_disc({p!r}D) within group (order by `{c}`)").alias(f"{c}_q{i}")
+                for c in cols
+                for i, p in enumerate(probs)
+            ]
+        )
+    wide = df.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in cols])
+    return wide.select(*by, *[F.col(c)[i].alias(f"{c}_q{i}") for c in cols for i in range(len(probs))])
 
 
 def exact_quantiles(
@@ -157,9 +163,7 @@ def exact_quantiles(
     """
     by = list(by)
     if df.count() <= local_rows(df.sparkSession):
-        return df.groupBy(*by).agg(
-            *[_small_quantile(c, p, kind).alias(f"{c}_q{i}") for c in cols for i, p in enumerate(probs)]
-        )
+        return _small_quantiles(df, by, cols, probs, kind)
     cells = long_form(df, by, cols).filter(F.col("value").isNotNull())
     cells = _cut(cells, "value", _edges(cells, "value") or [0.0])
     keys = [*by, "feat"]

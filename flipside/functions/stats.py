@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,7 +85,17 @@ def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + v)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and hand it to `body` (a lambda inside
+    another lambda would be evaluated again for every element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(arr: Column) -> Column:
-    top = F.array_max(arr)
-    exps = F.transform(arr, lambda v: F.exp(v - top))
-    return F.transform(exps, lambda e: e / array_sum(exps))
+    def scaled(top: Column) -> Column:
+        return let(
+            F.transform(arr, lambda v: F.exp(v - top)),
+            lambda exps: let(array_sum(exps), lambda whole: F.transform(exps, lambda e: e / whole)),
+        )
+
+    return let(F.array_max(arr), scaled)

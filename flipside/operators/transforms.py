@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise, where_fit
 from flipside.functions.ranks import exact_quantiles, long_form, running_totals, value_buckets
-from flipside.functions.stats import array_sum, normal_icdf
+from flipside.functions.stats import array_sum, let, normal_icdf
 
 # Fixed values.
 STD_EPS = 1e-6
@@ -211,14 +211,14 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
         wide.select(*by, *[F.array(*[F.col(f"{c}_q{i}") for i in range(n_quantiles)]).alias(f"{c}_qs") for c in cols])
     )
 
+    last = n_quantiles - 1
+
     def share(c: str) -> Column:
-        qs, x, last = F.col(f"{c}_qs"), F.col(c), n_quantiles - 1
-        below = F.size(F.filter(qs, lambda v: v < x))
-        upto = F.size(F.filter(qs, lambda v: v <= x))
+        qs, x, below, upto = F.col(f"{c}_qs"), F.col(c), F.col(f"{c}_below"), F.col(f"{c}_upto")
         left = F.element_at(qs, F.greatest(below, F.lit(1)))
         right = F.element_at(qs, F.least(below + 1, F.lit(n_quantiles)))
-        between = (F.lit(-1.0) + below + (x - left) / (right - left)) / F.lit(float(last))
-        flat = (F.lit(0.0) + below + upto - 1) / F.lit(2.0 * last)
+        between = (below - 1 + (x - left) / (right - left)) / F.lit(float(last))
+        flat = (below + upto - 1) / F.lit(2.0 * last)
         return (
             F.when(x.isNull() | qs.isNull(), F.lit(None).cast("double"))
             .when(below == 0, F.when(upto == 0, F.lit(0.0)).otherwise(flat))
@@ -227,8 +227,19 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
             .otherwise(between)
         )
 
-    out = attach(df, stats, by).withColumns({c: normal_icdf(_clip(share(c), 1e-7, 1 - 1e-7)) for c in cols})
-    return drop_params(out, stats, by)
+    placed = attach(df, stats, by).withColumns(
+        {
+            name: F.size(F.filter(F.col(f"{c}_qs"), test))
+            for c in cols
+            for name, test in (
+                (f"{c}_below", lambda v, c=c: v < F.col(c)),
+                (f"{c}_upto", lambda v, c=c: v <= F.col(c)),
+            )
+        }
+    )
+    placed = placed.withColumns({c: _clip(share(c), 1e-7, 1 - 1e-7) for c in cols})
+    out = placed.withColumns({c: normal_icdf(F.col(c)) for c in cols})
+    return drop_params(out.drop(*[f"{c}_{n}" for c in cols for n in ("below", "upto")]), stats, by)
 
 
 def one_hot(df: DataFrame, col: str, fit_on: Column | None = None, limit: int = 200) -> DataFrame:
@@ -332,9 +343,14 @@ def center(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
 def row_zscore(features: Column) -> Column:
     """Standardise one row across its features, sample deviation."""
     n = F.size(features)
-    mean = array_sum(features) / n
-    sd = F.sqrt(array_sum(F.transform(features, lambda v: (v - mean) * (v - mean))) / (n - 1))
-    return F.transform(features, lambda v: (v - mean) / sd)
+
+    def spread(mean: Column) -> Column:
+        return F.sqrt(array_sum(F.transform(features, lambda v: (v - mean) * (v - mean))) / (n - 1))
+
+    return let(
+        array_sum(features) / n,
+        lambda mean: let(spread(mean), lambda sd: F.transform(features, lambda v: F.try_divide(v - mean, sd))),
+    )
 
 
 def row_normalize(features: Column, mean: float, std: float) -> Column:

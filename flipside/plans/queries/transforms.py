@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from flipside.functions import stats as S
 from flipside.operators import transforms as X
 from flipside.plans.inputs import (
     BY,
@@ -24,8 +25,12 @@ from flipside.plans.registry import R, query, r6, rounded
 _FIT = "label_str <> 'F'"
 
 
+def _digits(f: str, digits: int) -> int:
+    return 6 if f == "f_3" else digits  # discounts are fractions with up to 6 digits
+
+
 def _each(fmt: str, digits: int = 6) -> str:
-    return ", ".join(R(fmt.replace("#", f), f, digits) for f in FEATURES)
+    return ", ".join(R(fmt.replace("#", f), f, _digits(f, digits)) for f in FEATURES)
 
 
 def _stats(fmt: str) -> str:
@@ -33,7 +38,7 @@ def _stats(fmt: str) -> str:
 
 
 def _out(df, digits=6):
-    return rounded(df.select("row_id", *FEATURES), digits)
+    return df.select("row_id", *[r6(f, f, _digits(f, digits)) for f in FEATURES])
 
 
 _CLIP = "case when {0} < -100 then -100.0::double when {0} > 100 then 100.0::double else {0} end"
@@ -61,17 +66,17 @@ def _soft_clip_sql(n: float) -> str:
     return f"""with {OF_SQL}, a as (select dataset_id, {_stats('avg(#) as m_#, stddev_samp(#) as s_#')} from of_ group by dataset_id),
 b as (select of_.dataset_id, {_stats(f'avg(case when # <= m_#+s_#*{n} and # >= m_#-s_#*{n} then # end) as n_#, stddev_samp(case when # <= m_#+s_#*{n} and # >= m_#-s_#*{n} then # end) as t_#')} from of_ join a using (dataset_id) group by of_.dataset_id),
 c as (select row_id, {_stats(f'n_#, t_#, case when -ln(1.0::double+abs(#))+(n_#-t_#*{n}) > # then -ln(1.0::double+abs(#))+(n_#-t_#*{n}) else # end as #')} from of_ join b using (dataset_id))
-select row_id, {_each(f'case when ln(1.0::double+abs(#))+(n_#+t_#*{n}) < # then ln(1.0::double+abs(#))+(n_#+t_#*{n}) else # end', 4)} from c"""
+select row_id, {_each(f'case when ln(1.0::double+abs(#))+(n_#+t_#*{n}) < # then ln(1.0::double+abs(#))+(n_#+t_#*{n}) else # end', 3)} from c"""
 
 
 @query("e2_soft_clip_outliers", _soft_clip_sql(1.5))
 def e2(spark, sf):
-    return _out(X.soft_clip_outliers(order_features(spark, sf), FEATURES, BY, n_sigma=1.5), 4)
+    return _out(X.soft_clip_outliers(order_features(spark, sf), FEATURES, BY, n_sigma=1.5), 3)
 
 
 @query("e2_soft_clip_outliers_4sigma", _soft_clip_sql(4.0))
 def e2b(spark, sf):
-    return _out(X.soft_clip_outliers(order_features(spark, sf), FEATURES, BY), 4)
+    return _out(X.soft_clip_outliers(order_features(spark, sf), FEATURES, BY), 3)
 
 
 @query(
@@ -137,7 +142,35 @@ def e7_fit(spark, sf):
     return X.fit_power(scored_orders(spark, sf), FEATURES, BY)
 
 
-@query("e8_quantile_normal")
+def _horner(cs, x):
+    acc = f"({cs[0]!r}::double)"
+    for c in cs[1:]:
+        acc = f"({acc}*{x}+({c!r}::double))"
+    return acc
+
+
+def _icdf(p):
+    q, r = f"({p}-0.5::double)", f"(({p}-0.5::double)*({p}-0.5::double))"
+    lo, hi = f"sqrt(-2.0::double*ln({p}))", f"sqrt(-2.0::double*ln(1.0::double-{p}))"
+    mid = f"{_horner(S.ICDF_A, r)}*{q}/({_horner(S.ICDF_B, r)}*{r}+1.0::double)"
+
+    def tail(t):
+        return f"{_horner(S.ICDF_C, t)}/({_horner(S.ICDF_D, t)}*{t}+1.0::double)"
+
+    return f"case when {p} < {S.ICDF_LOW} then {tail(lo)} when {p} > {1 - S.ICDF_LOW!r} then -({tail(hi)}) else {mid} end"
+
+
+_PROBS = "[" + ", ".join(f"{i / 99!r}::double" for i in range(100)) + "]"
+
+
+@query(
+    "e8_quantile_normal",
+    f"""with {OF_SQL}, st as (select dataset_id, {_stats(f'quantile_cont(#, {_PROBS}) as q_#')} from of_ group by dataset_id),
+a as (select row_id, {_stats('#, q_#, len(list_filter(q_#, lambda v: v < #)) as b_#, len(list_filter(q_#, lambda v: v <= #)) as u_#')} from of_ join st using (dataset_id)),
+b as (select row_id, {_stats('case when # is null then null when b_#=0 and u_#=0 then 0.0::double when b_#=100 then 1.0::double when u_# > b_# then (b_#+u_#-1)/198.0::double else (b_#-1+(#-q_#[b_#])/(q_#[b_#+1]-q_#[b_#]))/99.0::double end as #')} from a),
+c as (select row_id, {_stats('case when # < 1e-7::double then 1e-7::double when # > 1-1e-7::double then 1-1e-7::double else # end as #')} from b)
+select row_id, {', '.join(R(_icdf(f), f) for f in FEATURES)} from c""",
+)
 def e8(spark, sf):
     return _out(X.quantile_normal(order_features(spark, sf), FEATURES, BY))
 
@@ -188,12 +221,12 @@ def e11(spark, sf):
 
 @query(
     "e12_drop_constant_features",
-    f"with {OF_SQL} select row_id, {', '.join(R(f, f, 3) for f in FEATURES)} from of_",
+    f"with {OF_SQL} select row_id, {_each('#', 3)} from of_",
 )
 def e12(spark, sf):
     rows = order_features(spark, sf).withColumn("flat", F.lit(3.0))
     out = X.drop_constant_features(rows, [*FEATURES, "flat"])
-    return rounded(out.drop("dataset_id", "label_str"), 3)
+    return out.select("row_id", *[r6(c, c, _digits(c, 3)) for c in out.columns if c not in ("row_id", "dataset_id", "label_str")])
 
 
 @query(
