@@ -227,15 +227,12 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
             .otherwise(between)
         )
 
+    def count_where(c: str, strict: bool) -> Column:
+        x = F.col(c)
+        return F.size(F.filter(F.col(f"{c}_qs"), lambda v: (v < x) if strict else (v <= x)))
+
     placed = attach(df, stats, by).withColumns(
-        {
-            name: F.size(F.filter(F.col(f"{c}_qs"), test))
-            for c in cols
-            for name, test in (
-                (f"{c}_below", lambda v, c=c: v < F.col(c)),
-                (f"{c}_upto", lambda v, c=c: v <= F.col(c)),
-            )
-        }
+        {f"{c}_{n}": count_where(c, n == "below") for c in cols for n in ("below", "upto")}
     )
     placed = placed.withColumns({c: _clip(share(c), 1e-7, 1 - 1e-7) for c in cols})
     out = placed.withColumns({c: normal_icdf(F.col(c)) for c in cols})
