@@ -179,7 +179,7 @@ def best_by(report: DataFrame, name: str, directions: Mapping[str, bool]) -> Dat
     Ties go to the smallest name.
     """
     picks = [
-        (F.max_by if up else F.min_by)(name, F.struct(F.col(c), F.col(name)) if not up else F.struct(F.col(c))).alias(c)
+        F.min_by(name, F.struct((-F.col(c) if up else F.col(c)).alias("v"), F.col(name))).alias(c)
         for c, up in directions.items()
     ]
     return report.agg(*picks)
