@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flipside.functions.fitted import attach, drop_params, fit, materialise
 from flipside.functions.keyed import cumulative, key_hash, softmax_weights, uniform01
 from flipside.functions.ranks import positions, shuffled_positions
+from flipside.session import checkpoint_dir
 
 # Seeds tried for a valid split, and tries of the label check.
 SPLIT_SEEDS = [13, 14, 15, 16, 17, 18, 19, 20]
@@ -101,27 +102,26 @@ def split_compatible_or_ignore(df: DataFrame, by: Sequence[str], key: str, label
     the given order.
     """
     by = list(by)
+    checkpoint_dir(df.sparkSession)
     out = None
     pending = df
-    verdicts = None
     for t in range(tries + 1):
         ordered = positions(pending, by, key) if t == 0 else keyed_shuffle(pending, by, key, seed * 1000 + t)
+        # Written to the shared checkpoint folder: each round starts from a table, not from all earlier plans.
+        ordered = ordered.drop("pos_of").checkpoint()
         per = ordered.groupBy(*by, label).agg(
             F.max((F.col("pos") < eval_pos).cast("int")).alias("a"), F.max((F.col("pos") >= eval_pos).cast("int")).alias("b")
         )
-        ok = materialise(
-            per.groupBy(*by).agg(
-                ((F.min(F.least("a", "b")) == 1) & (F.count(F.lit(1)) > 1)).alias("ok")
-            )
-        )
-        good = ordered.join(ok.filter("ok").drop("ok"), by).withColumn("try", F.lit(t))
+        verdict = per.groupBy(*by).agg(((F.min(F.least("a", "b")) == 1) & (F.count(F.lit(1)) > 1)).alias("ok"))
+        verdict = materialise(verdict)
+        good = ordered.join(verdict.filter("ok").drop("ok"), by, "left_semi").withColumn("try", F.lit(t))
         out = good if out is None else out.unionByName(good)
-        verdicts = ok.filter("not ok").drop("ok")
-        if verdicts.isEmpty():
-            return out.drop("pos_of")
-        pending = pending.join(verdicts, by, "left_semi")
+        failed = verdict.filter("not ok").drop("ok")
+        if failed.isEmpty():
+            return out
+        pending = ordered.drop("pos").join(failed, by, "left_semi")
     lost = positions(pending, by, key).withColumn(label, F.lit(IGNORE_LABEL)).withColumn("try", F.lit(tries + 1))
-    return out.unionByName(lost).drop("pos_of")
+    return out.unionByName(lost.drop("pos_of"))
 
 
 def eval_pos_weights(low: int, high: int, weighted: bool) -> list[float]:
@@ -142,15 +142,14 @@ def kfold(df: DataFrame, by: Sequence[str], key: str, seed: int, k: int = 5, shu
     return out.withColumn("fold", F.pmod(F.col("pos"), F.greatest(folds, F.lit(1))).cast("int")).drop("pos", "pos_of")
 
 
-def learning_curve(df: DataFrame, sizes: Sequence[int], fit_and_score: Callable[[DataFrame, DataFrame], float], by_label: dict, pos: str = "pos", of: str = "pos_of") -> list[dict]:
+def learning_curve(df: DataFrame, sizes: Sequence[int], fit_and_score: Callable[[DataFrame, DataFrame], float], pos: str = "pos", of: str = "pos_of") -> list[tuple[int, float]]:
     """50/50 split; the train prefix is cut to each size and scored.
 
-    `fit_and_score(train, test)` does its work on Spark and returns one number.
+    `fit_and_score(train, test)` does its work on Spark and returns one number,
+    so only (size, score) reaches the driver.
     """
     train, test = df.filter(F.col(pos) * 2 < F.col(of)), df.filter(F.col(pos) * 2 >= F.col(of))
-    return [
-        {**by_label, "size": n, "score": float(fit_and_score(train.filter(F.col(pos) < n), test))} for n in sizes
-    ]
+    return [(n, float(fit_and_score(train.filter(F.col(pos) < n), test))) for n in sizes]
 
 
 def subsample_features(features: Sequence[str], limit: int, seed: int) -> list[str]:

@@ -1 +1,143 @@
+"""Dataset catalog (B)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flipside.operators import catalog as B
+from flipside.plans.inputs import FEATURES, OF_SQL, U, order_features, s, table
+from flipside.plans.registry import query
+
+_HOLES = "(" + "+".join(f"({f} is null)::int" for f in FEATURES) + ")"
+
+
+@query(
+    "b1_dataset_profile",
+    f"""with {OF_SQL}, c as (select dataset_id, label_str, count(*) as n, sum({_HOLES}) as cells, sum(({_HOLES}>0)::int) as rs from of_ group by 1,2)
+select dataset_id, sum(n)::bigint as n_instances, 5 as n_features, 0 as n_symbolic, sum(cells)::bigint as n_missing, sum(rs)::bigint as n_rows_missing, count(*) as n_classes, min(n) as minority, max(n) as majority from c group by 1""",
+)
+def b1(spark, sf):
+    return B.dataset_profile(order_features(spark, sf), FEATURES, "label_str")
+
+
+def supplier_catalog(spark, sf):
+    """One dataset per supplier: its line items, labelled by return flag."""
+    rows = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "did")
+    prof = B.dataset_profile(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], "l_returnflag", by="did")
+    sup = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("did"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")
+    )
+    return prof.join(sup, "did")
+
+
+CAT_SQL = """ca0_ as (select l_suppkey as did, l_returnflag, count(*) as n from lineitem group by 1,2),
+ca_ as (select did, s_name as name, s_nationkey as nation, sum(n)::bigint as n_instances, 4 as n_features, 0 as n_symbolic, 0::bigint as n_missing, 0::bigint as n_rows_missing, count(*) as n_classes, min(n) as minority, max(n) as majority from ca0_ join supplier on s_suppkey = did group by 1,2,3)"""
+_COLS = ["did", "name", "n_instances", "n_classes", "minority", "majority"]
+
+
+@query("b2_catalog_filter", f"with {CAT_SQL} select {', '.join(_COLS)} from ca_ where n_instances >= 590 and n_instances <= 620 and n_features <= 100 and n_classes <= 10 and n_rows_missing = 0")
+def b2(spark, sf):
+    return B.catalog_filter(supplier_catalog(spark, sf), min_samples=590, max_samples=620, without_missing=True).select(*_COLS)
+
+
+_CAPS = f"""cp0_ as (select c_mktsegment as dataset_id, o_orderkey as row_id, c_nationkey as y, o_totalprice as f_0, c_acctbal as f_1, {U('13', 'o_orderkey')} as u from orders join customer on o_custkey=c_custkey),
+cp1_ as (select *, row_number() over (partition by dataset_id order by u, row_id)-1 as pos from cp0_),
+cp2_ as (select * from cp1_ where pos < 2000),
+cp3_ as (select dataset_id, y, count(*) as n from cp2_ group by 1,2),
+cp4_ as (select *, row_number() over (partition by dataset_id order by y)-1 as place, count(*) over (partition by dataset_id) as k, sum(n) over (partition by dataset_id) as rs from cp3_)"""
+
+
+def _capped(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(
+        F.col("c_mktsegment").alias("dataset_id"), F.col("o_orderkey").alias("row_id"), F.col("c_nationkey").alias("y"),
+        F.col("o_totalprice").alias("f_0"), F.col("c_acctbal").alias("f_1"), F.col("o_orderdate").alias("f_2"),
+    )
+    return B.apply_caps(rows, ["f_0", "f_1", "f_2"], "y", 2000, 2, 10, categorical=[0, 2])
+
+
+@query("b3_apply_caps", f"with {_CAPS} select dataset_id, row_id, y, f_0, f_1, pos from cp2_ join cp4_ using (dataset_id, y) where k <= 10 or place < 10")
+def b3(spark, sf):
+    rows, kept, _ = _capped(spark, sf)
+    if kept != [0]:
+        raise AssertionError("categorical indices beyond the cap must go")
+    return rows.select("dataset_id", "row_id", "y", "f_0", "f_1", "pos")
+
+
+_FLAGS = "fl_ as (select dataset_id, max(rs)=2000 as samples_capped, true as feats_capped, max(k)>10 as classes_capped from cp4_ group by 1)"
+
+
+@query("b3_cap_flags", f"with {_CAPS}, {_FLAGS} select * from fl_")
+def b3f(spark, sf):
+    return _capped(spark, sf)[2]
+
+
+@query(
+    "b4_catalog_dedup",
+    f"""with {CAT_SQL}, a as (select *, row_number() over (partition by n_instances, n_classes order by did) as r from ca_),
+b as (select *, row_number() over (partition by nation order by did) as q from a where r = 1) select {', '.join(_COLS)}, nation from b where q = 1""",
+)
+def b4(spark, sf):
+    return B.catalog_dedup(supplier_catalog(spark, sf), ["n_instances", "n_classes"], name="nation").select(*_COLS, "nation")
+
+
+_OTHER = "ot_ as (select ca_.*, concat_ws('_', n_classes, n_features, n_instances) as cfi from ca_ join supplier on s_suppkey=did where s_acctbal < 0)"
+
+
+@query(
+    "b5_catalog_exclude",
+    f"""with {CAT_SQL}, {_OTHER} select {', '.join(_COLS)} from ca_ where name not in (select name from ot_) and concat_ws('_', n_classes, n_features, n_instances) not in (select cfi from ot_)
+ and name not like '%77%' and name not like '%13%' and did not in (3, 4, 5)""",
+)
+def b5(spark, sf):
+    cat = supplier_catalog(spark, sf)
+    poor = table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("did"))
+    other = cat.join(poor, "did", "left_semi")
+    return B.catalog_exclude(cat, other, ["77", "13"], [3, 4, 5]).select(*_COLS)
+
+
+@query("b6_class_skew_filter", f"with {CAT_SQL} select {', '.join(_COLS)} from ca_ where minority::double/majority > 0.85")
+def b6(spark, sf):
+    return B.class_skew_filter(supplier_catalog(spark, sf), 0.85).select(*_COLS)
+
+
+@query("b7_restrict_binary", "select vec_id as row_id, label as y from embeddings where label < 2")
+def b7(spark, sf):
+    return B.restrict_binary(table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("y")))
+
+
+_BIN = "bi_ as (select c_mktsegment as dataset_id, o_orderkey as row_id, (o_orderstatus='F')::int as y from orders join customer on o_custkey=c_custkey)"
+
+
+def _binary(spark, sf):
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.select(
+        F.col("c_mktsegment").alias("dataset_id"), F.col("o_orderkey").alias("row_id"), (F.col("o_orderstatus") == "F").cast("int").alias("y")
+    )
+
+
+@query(
+    "b8_balanced_interleave",
+    f"""with {_BIN}, a as (select *, row_number() over (partition by dataset_id, y order by row_id)-1 as i, count(*) over (partition by dataset_id, y) as n, sum(y) over (partition by dataset_id) as ones, count(*) over (partition by dataset_id) as al from bi_),
+b as (select *, (case when ones*2 < al then 1 else 0 end) = y as rare, least(ones, al-ones) as m from a), c as (select *, case when rare then i else i-(n-m) end as h from b)
+select dataset_id, row_id, y, (m*2-1-(h*2+rare::int))::bigint as pos from c where h >= 0 and h < m""",
+)
+def b8(spark, sf):
+    return B.balanced_interleave(_binary(spark, sf), "y").select("dataset_id", "row_id", "y", "pos")
+
+
+@query(
+    "b8_order_by_label",
+    f"""with {_BIN}, a as (select *, row_number() over (partition by dataset_id order by case when {U('13', 'dataset_id', s('direction'))} < 0.5 then -y else y end, row_id)-1 as i, count(*) over (partition by dataset_id)//2 as h from bi_)
+select dataset_id, row_id, y, (case when i < h then i*2 when i < 2*h then (i-h)*2+1 else i end)::bigint as pos from a""",
+)
+def b8o(spark, sf):
+    return B.order_by_label(_binary(spark, sf), "y").select("dataset_id", "row_id", "y", "pos")
+
+
+@query(
+    "b9_capped_name_suffix",
+    f"with {_CAPS}, {_FLAGS} select dataset_id, dataset_id || ' [' || case when samples_capped then 's' else '' end || 'f' || case when classes_capped then 'c' else '' end || ']' as name from fl_",
+)
+def b9(spark, sf):
+    return _capped(spark, sf)[2].select("dataset_id", B.capped_name_suffix(F.col("dataset_id")).alias("name"))
