@@ -1 +1,153 @@
+"""Baseline models (O) and the learning curve (C7)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flipside.functions.keyed import uniform01
+from flipside.operators import models as O
+from flipside.operators.neighbours import knn_predict
+from flipside.operators.splits import keyed_shuffle, learning_curve
+from flipside.plans.inputs import FEATURES, OF_SQL, SEED, SCORE, U, WEIGHTS, Z_SQL, embedding_points, order_features, s, scored_orders
+from flipside.plans.registry import R, query, rounded
+
+_SD = str(SEED)
+_TRAIN = U(_SD, "row_id", s("train")) + " < 0.5::double"
+
+
+def _is_train():
+    return uniform01(SEED, F.col("row_id"), "train") < 0.5
+
+
+@query(
+    "o1_preprocess",
+    f"""with {OF_SQL}, t_ as (select *, {_TRAIN} as tr from of_), m_ as (select {', '.join(f'avg(case when tr then {f} end) as m_{f}' for f in FEATURES)} from t_),
+i_ as (select row_id, tr, label_str, {', '.join(f'coalesce({f}, m_{f}) as {f}' for f in FEATURES)} from t_ cross join m_),
+c_ as (select label_str as c, row_number() over (order by label_str)-1 as i from (select distinct label_str from t_ where tr)),
+b_ as (select {', '.join(f'min(case when tr then {f} end) as lo_{f}, max(case when tr then {f} end) as hi_{f}' for f in FEATURES)} from i_)
+select row_id, {', '.join(R(f'({f}-lo_{f})/(hi_{f}-lo_{f})', f) for f in FEATURES)}, {', '.join(f'(label_str = (select c from c_ where i={i}))::int::double as label_str_{i}' for i in range(3))} from i_ cross join b_""",
+)
+def o1(spark, sf):
+    rows = order_features(spark, sf).withColumn("tr", _is_train())
+    out, cols = O.preprocess(rows, FEATURES, ["label_str"], F.col("tr"), use_one_hot=True, scale=True)
+    return rounded(out.select("row_id", *cols))
+
+
+def _orders(spark, sf):
+    """Imputed, scaled order features; the label is 'score above 0'."""
+    rows = scored_orders(spark, sf).withColumn("cls", (F.col("y") > 0).cast("int")).withColumn("tr", _is_train())
+    out, _ = O.preprocess(rows, FEATURES, fit_on=F.col("tr"), scale=True)
+    return out.filter("tr"), out.filter("not tr")
+
+
+def _scored(spark, sf, name, classes=2):
+    train, test = _orders(spark, sf)
+    pred = O.fit_predict(name, train, test, FEATURES, "cls", "row_id", classes)
+    return rounded(
+        pred.join(test.select("row_id", F.col("cls").alias("y")), "row_id")
+        .agg(F.lit(name).alias("method"), O.L.accuracy().alias("accuracy"), O.L.cross_entropy().alias("cross_entropy"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+@query("o2_logistic")
+def o2(spark, sf):
+    return _scored(spark, sf, "logistic")
+
+
+@query("o3_random_forest")
+def o3(spark, sf):
+    return _scored(spark, sf, "random_forest")
+
+
+@query("o4_gradient_boosting")
+def o4(spark, sf):
+    return _scored(spark, sf, "gradient_boosting")
+
+
+_KNN = f"""with r_ as (select vec_id as row_id, label, embedding, {U(_SD, 'vec_id', s('train'))} < 0.5::double as tr from embeddings),
+x_ as (select row_id, tr, unnest(range(64)) as i, unnest(embedding)::double as x from r_),
+d_ as (select a.row_id as q, b.row_id as r, sqrt(sum((a.x-b.x)*(a.x-b.x))) as d from x_ a join x_ b on a.i=b.i and not a.tr and b.tr group by 1, 2),
+n_ as (select *, row_number() over (partition by q order by d, r) as k from d_ qualify k <= 7),
+v_ as (select q, c, avg((label=c)::int) as p from n_ join r_ on r_.row_id = n_.r cross join (select unnest(range(10)) as c) group by q, c)
+select q as row_id, list(round(p,6)+0.0::double order by c) as probs from v_ group by q"""
+
+
+@query("o5_knn", _KNN)
+def o5(spark, sf):
+    pts = embedding_points(spark, sf).withColumn("tr", _is_train())
+    out = knn_predict(pts.filter("tr"), pts.filter("not tr"), "features", "label", "row_id", 10, 7)
+    return out.select("row_id", F.transform("probs", lambda v: F.round(v, 6) + 0.0).alias("probs"))
+
+
+@query("o6_ridge")
+def o6(spark, sf):
+    rows = scored_orders(spark, sf).withColumn("tr", _is_train())
+    out, _ = O.preprocess(rows, FEATURES, fit_on=F.col("tr"))
+    pred = O.fit_predict("ridge", out.filter("tr"), out.filter("not tr"), FEATURES, "y", "row_id", 0, {"alpha": 0.01})
+    return rounded(pred.join(out.select("row_id", "y"), "row_id").agg(O.L.rmse("pred", "y").alias("rmse"), F.count(F.lit(1)).alias("n")), 4)
+
+
+@query("o7_tune")
+def o7(spark, sf):
+    train, test = _orders(spark, sf)
+    train = O.materialise(train.select("row_id", "cls", *FEATURES))
+    got = O.tune("logistic", train, test, FEATURES, "cls", "row_id", 2, max_evals=2, folds=3)
+    if got.error:
+        raise RuntimeError(got.error)
+    return rounded(
+        got.predictions.join(test.select("row_id", F.col("cls").alias("y")), "row_id").agg(
+            F.lit(str(got.params)).alias("params"), F.lit(got.trials).alias("trials"), O.L.accuracy().alias("accuracy")
+        )
+    )
+
+
+@query("o8_evaluate_methods")
+def o8(spark, sf):
+    train, test = _orders(spark, sf)
+    train, test = O.materialise(train), O.materialise(test)
+    jobs = train.select("dataset_id").distinct().select(
+        F.explode(F.array(F.lit("logistic"), F.lit("random_forest"))).alias("method"),
+        "dataset_id",
+        F.lit(0).alias("eval_pos"),
+        F.lit(60).alias("max_time"),
+        F.lit(1).alias("split"),
+    )
+    # The forest already has its results for two datasets.
+    done = jobs.filter("method = 'random_forest' and dataset_id < 'C'")
+
+    def run(job):
+        own = F.col("dataset_id") == job["dataset_id"]
+        pred = O.fit_predict(job["method"], train.filter(own), test.filter(own), FEATURES, "cls", "row_id", 2, {"trees": 5, "depth": 3, "max_iter": 10})
+        return pred.join(test.filter(own).select("row_id", F.col("cls").alias("y")), "row_id")
+
+    out = O.evaluate_methods(spark, jobs, done, run)
+    return rounded(out.groupBy("method", "dataset_id").agg(O.L.accuracy().alias("accuracy"), F.count(F.lit(1)).alias("n")))
+
+
+@query(
+    "o9_score_grid",
+    f"""with {Z_SQL}, b_ as (select dataset_id, min(f_0) as a0, max(f_0) as a1, min(f_4) as b0, max(f_4) as b1 from so_ group by dataset_id),
+g_ as (select dataset_id, i, j, (a0-0.5::double)+((a1+0.5::double)-(a0-0.5::double))*i/19.0::double as x, (b0-0.5::double)+((b1+0.5::double)-(b0-0.5::double))*j/19.0::double as z from b_ cross join (select unnest(range(20)) as i) cross join (select unnest(range(20)) as j))
+select dataset_id, i::int as i, j::int as j, {R('x', 'f_0')}, {R('z', 'f_4')}, {R(f"{WEIGHTS['f_0']}::double*x+{WEIGHTS['f_4']}::double*z", 'response')} from g_""",
+)
+def o9(spark, sf):
+    b = scored_orders(spark, sf).groupBy("dataset_id").agg(
+        F.min("f_0").alias("f_0_lo"), F.max("f_0").alias("f_0_hi"), F.min("f_4").alias("f_4_lo"), F.max("f_4").alias("f_4_hi")
+    )
+    return rounded(O.score_grid(b, "f_0", "f_4", 20, 0.5, lambda x, z: x * WEIGHTS["f_0"] + z * WEIGHTS["f_4"]))
+
+
+@query("c7_learning_curve")
+def c7(spark, sf):
+    train, test = _orders(spark, sf)
+    rows = O.materialise(keyed_shuffle(train.unionByName(test).select("row_id", "cls", *FEATURES), [], "row_id", SEED))
+    out = []
+    for method in ("logistic", "random_forest"):
+
+        def fit_and_score(tr, te, method=method):
+            pred = O.fit_predict(method, tr, te, FEATURES, "cls", "row_id", 2, {"max_iter": 10, "trees": 5, "depth": 3})
+            return O.score(pred, te, "row_id", "cls", "accuracy")
+
+        out += [(method, n, v) for n, v in learning_curve(rows, [100, 400], fit_and_score)]
+    table = spark.createDataFrame(out, "method string, size int, score double")
+    return rounded(table.groupBy("method", "size").agg(F.avg("score").alias("accuracy")))
