@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,16 @@ def stream_label(stream: DataFrame, target: str, threshold: DataFrame, by: Seque
     return stream.join(threshold, list(by)).withColumn(name, binarize_threshold(target, "threshold")).drop("threshold")
 
 
+def event_time(stream: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a TIMESTAMP; files often carry one without a time zone."""
+    return stream.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def stream_window_stats(stream: DataFrame, ts: str, value: str, by: Sequence[str], window: str, watermark: str, slide: str | None = None) -> DataFrame:
     """Moments per event-time window and group; rows later than the watermark are dropped."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     return (
-        stream.withWatermark(ts, watermark)
+        event_time(stream, ts).withWatermark(ts, watermark)
         .groupBy(w.alias("w"), *by)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -63,7 +68,7 @@ def stream_histogram(stream: DataFrame, ts: str, value: str, bounds: DataFrame,
     """Bin counts per window; values beyond the baseline range go to the edge bins."""
     at = histogram_bin(F.col(value), F.col("lo"), F.col("hi"), bins)
     return (
-        stream.withWatermark(ts, watermark)
+        event_time(stream, ts).withWatermark(ts, watermark)
         .join(bounds, list(by))
         .groupBy(F.window(ts, window).alias("w"), *by, at.alias("bin"))
         .agg(F.count(F.lit(1)).alias("cf"))
