@@ -1,31 +1,54 @@
 """Keyed random columns: every draw is a pure function of (seed, row key, salt).
 
 A draw never depends on partitioning, task order or retries, and the same
-value can be rebuilt in any SQL engine that has md5.
+value can be rebuilt outside Spark.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RANGE = 4294967296.0  # 2**32: the first 8 hex digits of the digest
+_RANGE = 4294967296.0  # 2**32: the first 8 hex digits of a digest
+_UNIT = 9007199254740992.0  # 2**53: doubles of [0,1) on an even grid
 
 
 def _col(part) -> Column:
     return part if isinstance(part, Column) else F.lit(str(part))
 
 
+def draw_tag(*parts) -> int:
+    """The plain values of a key as one signed 64-bit number."""
+    text = "|".join(str(p) for p in parts)
+    return int.from_bytes(hashlib.md5(text.encode()).digest()[:8], "big", signed=True)
+
+
+def uniform01(*parts) -> Column:
+    """U[0,1) with 53 bits for keys made of plain values and integer Columns.
+
+    Plain values (seed, feature, purpose) are folded into one constant when
+    the plan is built; per row only a 64-bit hash of the integer columns is
+    computed, inside generated code.
+    """
+    tag = draw_tag(*[p for p in parts if not isinstance(p, Column)])
+    ints = [p.cast("long") for p in parts if isinstance(p, Column)]
+    return F.shiftrightunsigned(F.xxhash64(F.lit(tag), *ints), 11).cast("double") / F.lit(_UNIT)
+
+
 def key_hash(*parts) -> Column:
-    """32 hex digits of the joined key; `parts` are Columns or plain values."""
+    """32 hex digits of the joined key; `parts` are Columns of any type or plain values."""
     return F.md5(F.concat_ws("|", *[_col(p).cast("string") for p in parts]))
 
 
-def uniform01(*parts) -> Column:
-    """U[0,1) with 32 bits."""
+def text_uniform01(*parts) -> Column:
+    """U[0,1) with 32 bits for keys that hold text, such as dataset names.
+
+    Several times slower than `uniform01`; meant for one draw per group.
+    """
     return F.conv(F.substring(key_hash(*parts), 1, 8), 16, 10).cast("double") / F.lit(_RANGE)
 
 

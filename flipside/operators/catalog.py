@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise
-from flipside.functions.keyed import uniform01
+from flipside.functions.keyed import text_uniform01, uniform01
 from flipside.functions.ranks import positions, shuffled_positions
 
 # The seed of the loading shuffle and the class kept first past the cap.
@@ -176,7 +176,7 @@ def order_by_label(df: DataFrame, label: str, by: str = "dataset_id", key: str =
     The label is an integer code; ties are broken by the key.
     """
     per = df.groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
-    down = uniform01(seed, F.col(by), "direction") < 0.5
+    down = text_uniform01(seed, F.col(by), "direction") < 0.5
     order = F.when(down, -F.col(label)).otherwise(F.col(label))
     w = W.partitionBy(by).orderBy("__o")
     starts = materialise(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise
-from flipside.functions.keyed import rand_int_rounded, uniform01
+from flipside.functions.keyed import rand_int_rounded, text_uniform01, uniform01
 from flipside.functions.ranks import exact_quantiles, positions
 from flipside.functions.stats import sigmoid
 
@@ -45,7 +45,7 @@ def rank_boundaries(df: DataFrame, col: str, by: Sequence[str], key: str, classe
     picks = sizes.select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(classes - 2))).alias("k")).select(
         *by,
         "k",
-        F.floor(uniform01(seed, *[F.col(b) for b in by], col, F.col("k")) * F.col("__n")).cast("long").alias("pos"),
+        F.floor(text_uniform01(seed, *[F.col(b) for b in by], col, F.col("k")) * F.col("__n")).cast("long").alias("pos"),
     )
     picked = indexed.join(picks, [*by, "pos"])
     return materialise(picked.groupBy(*by).agg(F.collect_list(F.col(col).cast("double")).alias(f"{col}_bounds")))
@@ -81,7 +81,7 @@ def keyed_permutation(classes: int, *key) -> Column:
     """Array p with p[c] = the class that takes place c, from a keyed sort."""
     drawn = F.transform(
         F.sequence(F.lit(0), F.lit(classes - 1)),
-        lambda c: F.struct(uniform01(*key, c).alias("u"), c.alias("c")),
+        lambda c: F.struct(text_uniform01(*key, c).alias("u"), c.alias("c")),
     )
     return F.transform(F.array_sort(drawn), lambda s: s["c"])
 
@@ -92,9 +92,9 @@ def permute_classes(code: Column, classes: int, ordered_p: float, by: Sequence[s
     group = [F.col(b) for b in by]
     perm = keyed_permutation(classes, seed, *group, "perm")
     shuffled = F.when(
-        uniform01(seed, *group, "shuffle") > F.lit(float(ordered_p)), F.element_at(perm, code + 1)
+        text_uniform01(seed, *group, "shuffle") > F.lit(float(ordered_p)), F.element_at(perm, code + 1)
     ).otherwise(code)
-    return F.when(uniform01(seed, *group, "reverse") > 0.5, F.lit(classes - 1) - shuffled).otherwise(shuffled).cast("int")
+    return F.when(text_uniform01(seed, *group, "reverse") > 0.5, F.lit(classes - 1) - shuffled).otherwise(shuffled).cast("int")
 
 
 def softsign(x: Column) -> Column:
@@ -114,7 +114,7 @@ def rank_codes(df: DataFrame, cols: Sequence[str], by: Sequence[str], key: str,
                 *[
                     F.struct(
                         F.lit(j).alias("feat"),
-                        F.floor(uniform01(seed, *[F.col(b) for b in by], c, F.col("k")) * F.col("__n")).cast("long").alias("pos"),
+                        F.floor(text_uniform01(seed, *[F.col(b) for b in by], c, F.col("k")) * F.col("__n")).cast("long").alias("pos"),
                     )
                     for j, c in enumerate(cols)
                 ]
@@ -137,7 +137,7 @@ def discretize_features(df: DataFrame, cols: Sequence[str], by: Sequence[str], k
     group = [F.col(b) for b in by]
     new = {
         c: F.when(
-            uniform01(seed, *group, c, "choose") < F.lit(float(p)), codes[c].cast("double") - F.lit(classes / 2.0)
+            text_uniform01(seed, *group, c, "choose") < F.lit(float(p)), codes[c].cast("double") - F.lit(classes / 2.0)
         ).otherwise(F.col(c))
         for c in cols
     }

@@ -96,12 +96,12 @@ def context_ablation(layout: DataFrame, payload: Sequence[str], by: str = "datas
     ids = layout.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
     from pyspark.sql import Window as W
 
-    from flipside.functions.keyed import uniform01
+    from flipside.functions.keyed import text_uniform01
 
     numbered = materialise(
         ids.select(by, (F.row_number().over(W.orderBy(by)) - 1).alias("q"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
     )
-    step = F.lit(1) if random_seed is None else F.lit(1) + F.floor(uniform01(random_seed, F.col(by), "other") * (F.col("n") - 1))
+    step = F.lit(1) if random_seed is None else F.lit(1) + F.floor(text_uniform01(random_seed, F.col(by), "other") * (F.col("n") - 1))
     partner = materialise(
         numbered.withColumn("w", F.pmod(F.col("q") + step, F.col("n"))).select(by, "w").join(
             numbered.select(F.col(by).alias("__other"), F.col("q").alias("w")), "w"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, where_fit
-from flipside.functions.keyed import rand_int, uniform01
+from flipside.functions.keyed import rand_int, text_uniform01, uniform01
 
 # Stand-in numbers a disguised missing cell may carry.
 SENTINELS = [-999.0, 0.0, 1.0, 999.0]
@@ -61,14 +61,14 @@ def nan_share(col: str) -> Column:
 def inject_missing_random(df: DataFrame, cols: Sequence[str], p: float, by: str, key: str, seed: int, value: Column | None = None) -> DataFrame:
     """Each cell goes missing with probability u*p, one u per dataset."""
     gone = F.lit(None).cast("double") if value is None else value
-    rate = uniform01(seed, F.col(by), "rate") * F.lit(float(p))
+    rate = text_uniform01(seed, F.col(by), "rate") * F.lit(float(p))
     return df.withColumns(
         {c: F.when(uniform01(seed, F.col(key), c, "cell") < rate, gone).otherwise(F.col(c)) for c in cols}
     )
 
 
 def value_threshold(p: float, by: str, seed: int) -> Column:
-    return uniform01(seed, F.col(by), "t1") * 20.0 * float(p) * uniform01(seed, F.col(by), "t2")
+    return text_uniform01(seed, F.col(by), "t1") * 20.0 * float(p) * text_uniform01(seed, F.col(by), "t2")
 
 
 def inject_missing_by_value(df: DataFrame, codes: dict[str, Column], p: float, by: str, seed: int, value: Column | None = None) -> DataFrame:
@@ -93,7 +93,7 @@ def missing_value_for(kind: str, set_value_to_nan: float, *key) -> Column:
 
 def missing_schedule(by: str, seed: int, p_none: float, p_reason: float, p_unknown: float, p_unknown_reason: float) -> dict[str, Column]:
     """Which kinds of missingness a dataset gets: only half of them get any."""
-    u = {k: uniform01(seed, F.col(by), k) for k in ("any", "none", "reason", "mech")}
+    u = {k: text_uniform01(seed, F.col(by), k) for k in ("any", "none", "reason", "mech")}
     on = (u["any"] > 0.5) & F.lit(p_none + p_reason + p_unknown > 0)
     by_value = u["mech"] >= F.lit(float(p_unknown_reason))
     return {

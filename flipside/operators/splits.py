@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise
-from flipside.functions.keyed import cumulative, key_hash, softmax_weights, uniform01
+from flipside.functions.keyed import cumulative, key_hash, softmax_weights, text_uniform01, uniform01
 from flipside.functions.ranks import positions, shuffled_positions
 from flipside.session import checkpoint_dir
 
@@ -42,7 +42,7 @@ def _window_offsets(by: Sequence[str], seeds: Sequence[int], span: Column) -> Co
     group = [F.col(b) for b in by]
     return F.array(
         *[
-            F.when(span > 0, F.floor(uniform01(sd, *group, "offset") * (span + 1))).otherwise(F.lit(0)).cast("long")
+            F.when(span > 0, F.floor(text_uniform01(sd, *group, "offset") * (span + 1))).otherwise(F.lit(0)).cast("long")
             for sd in seeds
         ]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipside.functions.keyed import uniform01
+from flipside.functions.keyed import draw_tag, text_uniform01, uniform01
 from flipside.operators.labels import calibrate_threshold
 from flipside.operators.perturb import PerturbConfig, label_pairs, linear_score, perturb
 from flipside.operators.transforms import zscore
@@ -113,14 +113,14 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = F.explode(
         F.array(
             *[
-                F.struct(F.lit(m).alias("method"), F.lit(s).alias("split"), F.lit(a).alias("strength"), F.lit(n).alias("noise"))
-                for m, (a, n) in METHODS.items()
+                F.struct(F.lit(m).alias("method"), F.lit(i).alias("number"), F.lit(s).alias("split"), F.lit(a).alias("strength"), F.lit(n).alias("noise"))
+                for i, (m, (a, n)) in enumerate(METHODS.items())
                 for s in range(1, 6)
             ]
         )
     )
-    out = rows.withColumn("g", grid).select("row_id", "dataset_id", "y", "g.method", "g.split", "g.strength", "g.noise")
-    draw = uniform01(F.col("method"), F.col("split"), F.col("row_id"))
+    out = rows.withColumn("g", grid).select("row_id", "dataset_id", "y", "g.method", "g.number", "g.split", "g.strength", "g.noise")
+    draw = uniform01(F.col("number"), F.col("split"), F.col("row_id"))
     raw = F.lit(0.5) + (F.col("y") - F.lit(0.5)) * F.col("strength") * 0.5 + (draw - 0.5) * F.col("noise")
     score = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.round(raw, 4)))
     return out.select(
@@ -143,7 +143,7 @@ def class_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.transform(
         F.sequence(F.lit(0), F.lit(9)),
         lambda k: F.round(
-            uniform01(F.col("method"), F.col("row_id"), k)
+            text_uniform01(F.col("method"), F.col("row_id"), k)
             + F.when(k == F.col("y"), F.when(F.col("method") == "m1", F.lit(0.6)).otherwise(F.lit(0.2))).otherwise(F.lit(0.0)),
             3,
         ),
@@ -169,12 +169,52 @@ left join (select l_orderkey, cast(count(*) as double) n_items,
            from lineitem group by l_orderkey) l on l.l_orderkey = o.o_orderkey)"""
 
 
-def U(*parts: str) -> str:
-    """Keyed uniform as SQL; parts are SQL expressions."""
+def UT(*parts: str) -> str:
+    """Keyed uniform of a text key as SQL; parts are SQL expressions."""
     key = ", ".join(f"cast({p} as varchar)" for p in parts)
     return f"(('0x'||substr(md5(concat_ws('|', {key})),1,8))::bigint/4294967296.0::double)"
 
 
+# Multipliers of the public 64-bit xxHash.
+XX = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
+_WRAP = f"{2**64}::uhugeint"
+
+
+def _let(expr: str, body: str) -> str:
+    return f"list_transform([{expr}], lambda h: {body})[1]"
+
+
+def _xx_step(seed: str, column: str) -> str:
+    """xxHash of one 64-bit integer, in 128-bit arithmetic."""
+    def times(x: str, i: int) -> str:
+        return f"(({x})*{XX[i]}::uhugeint%{_WRAP})"
+
+    def rotate(x: str, n: int) -> str:
+        return _let(x, f"(h*{2**n}::uhugeint%{_WRAP})+(h//{2 ** (64 - n)}::uhugeint)")
+
+    def fold(x: str, n: int) -> str:
+        return _let(x, f"xor(h, h//{2**n}::uhugeint)")
+
+    value = times(rotate(times(f"({column})::uhugeint", 1), 31), 0)
+    h = f"xor((({seed})+{(XX[4] + 8) % 2**64}::uhugeint)%{_WRAP}, {value})"
+    h = f"(({times(rotate(h, 27), 0)}+{XX[3]}::uhugeint)%{_WRAP})"
+    return fold(times(fold(times(fold(h, 33), 1), 29), 2), 32)
+
+
+def _is_value(part: str) -> bool:
+    return part.isdigit() or (part.startswith("'") and part.endswith("'"))
+
+
+def U(*parts: str) -> str:
+    """Keyed uniform of integer columns as SQL; numbers and quoted texts are plain values."""
+    tag = draw_tag(*[p.strip("'") for p in parts if _is_value(p)])
+    h = _xx_step("42::uhugeint", f"{tag % 2**64}::uhugeint")
+    for p in parts:
+        if not _is_value(p):
+            h = _xx_step(h, p)
+    return f"((({h})//2048::uhugeint)::double/9007199254740992.0::double)"
+
+
 def s(text: str) -> str:
     return f"'{text}'"
 
@@ -209,10 +249,10 @@ def score_sql(name) -> str:
     return "(" + " + ".join(f"{w}::double*coalesce({name(f)},0.0::double)" for f, w in WEIGHTS.items()) + ")"
 
 
-def pairs_sql(strategy: str, p: float = 0.5, magnitude: float = 2.0, k: float = 1.0, step: float = 0.1, salt: str = "", tag: str = "") -> str:
+def pairs_sql(strategy: str, p: float = 0.5, magnitude: float = 2.0, k: float = 1.0, step: float = 0.1, cell: str = "", tag: str = "") -> str:
     """CTEs ending in p<tag>_ : the pair table, spelled out for DuckDB."""
     seed = str(SEED)
-    tail = [s(salt)] if salt else []
+    tail = [cell] if cell else []
 
     def key(f: str, purpose: str) -> list[str]:
         return [seed, "row_id", s(f), s(purpose), *tail]
@@ -269,7 +309,7 @@ def pred_sql(tag: str = "") -> str:
 
 def _predictions_sql() -> str:
     grid = ", ".join(f"('{m}', {sp}, {a}::double, {n}::double)" for m, (a, n) in METHODS.items() for sp in range(1, 6))
-    draw = U("method", "split", "row_id")
+    draw = U("substr(method,2,1)::int", "split", "row_id")
     return f"""pg_ as (select * from (values {grid}) t(method, split, strength, noise)),
 pr0_ as (select o_orderkey as row_id, c_mktsegment as dataset_id, (o_orderstatus='F')::int as y from orders join customer on o_custkey=c_custkey),
 pr1_ as (select method, split, dataset_id, row_id, y,
@@ -281,6 +321,6 @@ pred_ as (select method, 60 as max_time, split, dataset_id, 1000 as eval_pos, ro
 PRED_SQL = _predictions_sql()
 
 CLASS_SQL = f"""cp0_ as (select m.method, 'embeddings' as dataset_id, vec_id as row_id, label as y, k.k,
- round({U('m.method', 'vec_id', 'k.k')} + case when k.k = label then case when m.method='m1' then 0.6::double else 0.2::double end else 0.0::double end, 3) as raw
+ round({UT('m.method', 'vec_id', 'k.k')} + case when k.k = label then case when m.method='m1' then 0.6::double else 0.2::double end else 0.0::double end, 3) as raw
  from embeddings cross join (values ('m0'),('m1')) m(method) cross join (select unnest(range(10)) as k) k),
 cp1_ as (select *, raw / sum(raw) over (partition by method, row_id order by k rows between unbounded preceding and unbounded following) as p from cp0_)"""

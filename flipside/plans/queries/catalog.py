@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flipside.operators import catalog as B
-from flipside.plans.inputs import FEATURES, OF_SQL, U, order_features, s, table
+from flipside.plans.inputs import FEATURES, OF_SQL, U, UT, order_features, s, table
 from flipside.plans.registry import query
 
 _HOLES = "(" + "+".join(f"({f} is null)::int" for f in FEATURES) + ")"
@@ -128,7 +128,7 @@ def b8(spark, sf):
 
 @query(
     "b8_order_by_label",
-    f"""with {_BIN}, a as (select *, row_number() over (partition by dataset_id order by case when {U('13', 'dataset_id', s('direction'))} < 0.5 then -y else y end, row_id)-1 as i, count(*) over (partition by dataset_id)//2 as h from bi_)
+    f"""with {_BIN}, a as (select *, row_number() over (partition by dataset_id order by case when {UT('13', 'dataset_id', s('direction'))} < 0.5 then -y else y end, row_id)-1 as i, count(*) over (partition by dataset_id)//2 as h from bi_)
 select dataset_id, row_id, y, (case when i < h then i*2 when i < 2*h then (i-h)*2+1 else i end)::bigint as pos from a""",
 )
 def b8o(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flipside.operators import labels as L
-from flipside.plans.inputs import BY, FEATURES, OF_SQL, SEED, U, Z_SQL, pairs, pairs_sql, s, scored_orders, order_features
+from flipside.plans.inputs import BY, FEATURES, OF_SQL, SEED, U, UT, Z_SQL, pairs, pairs_sql, s, scored_orders, order_features
 from flipside.plans.queries.missing import _bounds_sql
 from flipside.plans.registry import R, query, r6, rounded
 
@@ -67,9 +67,9 @@ def f6(spark, sf):
 @query(
     "f7_permute_classes",
     f"""with {Z_SQL}, c as (select row_id, dataset_id, ({' + '.join(f'(y > {b}::double)::int' for b in _B)})::int as c from so_),
-pm as (select dataset_id, k, row_number() over (partition by dataset_id order by {U(_SD, 'dataset_id', s('perm'), 'k')}, k)-1 as place from (select distinct dataset_id from c) cross join (select unnest(range(5)) as k)),
-q as (select row_id, c.dataset_id, case when {U(_SD, 'c.dataset_id', s('shuffle'))} > 0.3::double then k else c end as d from c join pm on pm.dataset_id=c.dataset_id and pm.place=c.c)
-select row_id, (case when {U(_SD, 'dataset_id', s('reverse'))} > 0.5 then 4-d else d end)::int as y_class from q""",
+pm as (select dataset_id, k, row_number() over (partition by dataset_id order by {UT(_SD, 'dataset_id', s('perm'), 'k')}, k)-1 as place from (select distinct dataset_id from c) cross join (select unnest(range(5)) as k)),
+q as (select row_id, c.dataset_id, case when {UT(_SD, 'c.dataset_id', s('shuffle'))} > 0.3::double then k else c end as d from c join pm on pm.dataset_id=c.dataset_id and pm.place=c.c)
+select row_id, (case when {UT(_SD, 'dataset_id', s('reverse'))} > 0.5 then 4-d else d end)::int as y_class from q""",
 )
 def f7(spark, sf):
     z = scored_orders(spark, sf)
@@ -84,7 +84,7 @@ _SS = "ss_ as (select row_id, dataset_id, " + ", ".join(f"{f}/(1.0::double+abs({
     "f8_discretize_features",
     f"with {Z_SQL}, {_SS}, {_bounds_sql(FEATURES, 6, 'ss_')} select row_id, "
     + ", ".join(
-        R(f"case when {U(_SD, 'dataset_id', s(f), s('choose'))} < 0.5::double then len(list_filter(b_{f}, lambda v: {f} > v)) - 3.0::double else {f} end", f)
+        R(f"case when {UT(_SD, 'dataset_id', s(f), s('choose'))} < 0.5::double then len(list_filter(b_{f}, lambda v: {f} > v)) - 3.0::double else {f} end", f)
         for f in FEATURES
     )
     + " from ss_ " + " ".join(f"join bd_{f} using (dataset_id)" for f in FEATURES),

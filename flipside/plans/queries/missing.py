@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flipside.operators import labels as L
 from flipside.operators import missing as M
-from flipside.plans.inputs import BY, FEATURES, OF_SQL, SEED, U, order_features, s, table
+from flipside.plans.inputs import BY, FEATURES, OF_SQL, SEED, U, UT, order_features, s, table
 from flipside.plans.registry import R, query, rounded
 
 _FIT = "label_str <> 'F'"
@@ -46,7 +46,7 @@ def d3(spark, sf):
     )
 
 
-_RATE = U(_SD, "dataset_id", s("rate")) + "*0.4::double"
+_RATE = UT(_SD, "dataset_id", s("rate")) + "*0.4::double"
 
 
 @query(
@@ -65,13 +65,13 @@ def _bounds_sql(cols, classes, src, seed=_SD):
     out = [f"ix_ as (select *, row_number() over (partition by dataset_id order by row_id)-1 as pos_, count(*) over (partition by dataset_id) as n_ from {src})"]
     for c in cols:
         out.append(
-            f"bd_{c} as (select i.dataset_id, list(i.{c}) as b_{c} from ix_ i join (select dataset_id, k, floor({U(seed, 'dataset_id', s(c), 'k')}*n_)::bigint as p_ "
+            f"bd_{c} as (select i.dataset_id, list(i.{c}) as b_{c} from ix_ i join (select dataset_id, k, floor({UT(seed, 'dataset_id', s(c), 'k')}*n_)::bigint as p_ "
             f"from (select distinct dataset_id, n_ from ix_) cross join (select unnest(range({classes - 1})) as k)) d on d.dataset_id=i.dataset_id and d.p_=i.pos_ where i.{c} is not null group by i.dataset_id)"
         )
     return ",\n".join(out)
 
 
-_T = f"({U(_SD, 'dataset_id', s('t1'))}*20.0::double*0.3::double*{U(_SD, 'dataset_id', s('t2'))})"
+_T = f"({UT(_SD, 'dataset_id', s('t1'))}*20.0::double*0.3::double*{UT(_SD, 'dataset_id', s('t2'))})"
 _DV = ["f_0", "f_4"]
 
 
@@ -94,7 +94,7 @@ def _kind_sql(kind, value, name):
 
 
 def _sched_sql():
-    u = {k: U(_SD, "event_type", s(k)) for k in ("any", "none", "reason", "mech")}
+    u = {k: UT(_SD, "event_type", s(k)) for k in ("any", "none", "reason", "mech")}
     on = f"{u['any']} > 0.5"
     return f"({on}) and {u['none']} < 0.5::double as has_none, ({on}) and {u['reason']} > 0.5 as has_reason, ({on}) as has_unknown, ({on}) and {u['mech']} >= 0.3::double as unknown_by_value"
 

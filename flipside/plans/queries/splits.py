@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flipside.functions.keyed import cumulative, softmax_weights
 from flipside.operators import splits as C
-from flipside.plans.inputs import BY, FEATURES, OF_SQL, SEED, U, order_features, s, scored_orders, table
+from flipside.plans.inputs import BY, FEATURES, OF_SQL, SEED, U, UT, order_features, s, scored_orders, table
 from flipside.plans.registry import query, rounded
 
 _SD = str(SEED)
@@ -43,7 +43,7 @@ def c2(spark, sf):
 
 
 def _valid_sql(bptt, ep):
-    starts = ", ".join(f"(case when n > {bptt} then floor({U(str(sd), 'dataset_id', s('offset'))}*(n-{bptt}+1)) else 0 end)::bigint as s{sd}" for sd in C.SPLIT_SEEDS)
+    starts = ", ".join(f"(case when n > {bptt} then floor({UT(str(sd), 'dataset_id', s('offset'))}*(n-{bptt}+1)) else 0 end)::bigint as s{sd}" for sd in C.SPLIT_SEEDS)
     hits = " union all ".join(
         f"select a.dataset_id, {sd} as seed, any_value(s{sd}) as start, y, max((pos-s{sd} >= 0 and pos-s{sd} < {ep})::int) as a, max((pos-s{sd} >= {ep} and pos-s{sd} < {bptt})::int) as b from a join st using (dataset_id) group by a.dataset_id, y"
         for sd in C.SPLIT_SEEDS

@@ -392,9 +392,9 @@ _VARIANTS = {"default": (2.0, 1.0, 0.5), "high": (4.0, 2.0, 0.5), "low": (0.5, 0
 def _sweep_sql():
     ctes, selects, i = [], [], 0
     for st in perturb.STRATEGIES:
-        for v, (mag, k, p) in _VARIANTS.items():
+        for c, (v, (mag, k, p)) in enumerate(_VARIANTS.items()):
             for rep in range(2):
-                ctes.append(pairs_sql(st, p=p, magnitude=mag, k=k, salt=f"{v}{rep}", tag=f"s{i}"))
+                ctes.append(pairs_sql(st, p=p, magnitude=mag, k=k, cell=f"{c * 2 + rep}::bigint", tag=f"s{i}"))
                 ctes.append(dist_cte(f"s{i}"))
                 selects.append(
                     f"select '{st}' as strategy, '{v}' as variant, {rep} as repeat, {R('avg(label_flipped::int)', 'validity')}, count(*) as n, {R('avg(l1)', 'l1')}, {R('avg(l2)', 'l2')}, {R('avg(changed_share)', 'changed')} from ds{i}_"

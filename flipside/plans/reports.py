@@ -30,9 +30,10 @@ def sweep(rows: DataFrame, features: Sequence[str], by: Sequence[str], strategie
                 F.struct(
                     F.lit(v).alias("variant"),
                     F.lit(rep).alias("repeat"),
+                    F.lit(i * repeats + rep).alias("cell"),
                     *[F.lit(float(getattr(c, n))).alias(n) for n in ("p", "magnitude", "step", "k")],
                 )
-                for v, c in configs.items()
+                for i, (v, c) in enumerate(configs.items())
                 for rep in range(repeats)
             ]
         )
@@ -44,7 +45,7 @@ def sweep(rows: DataFrame, features: Sequence[str], by: Sequence[str], strategie
         magnitude=F.col("__set.magnitude"),
         step=F.col("__set.step"),
         k=F.col("__set.k"),
-        salt=F.concat(F.col("__set.variant"), F.col("__set.repeat")),
+        salt=F.col("__set.cell"),
     )
     cells = None
     for strategy in strategies:
