@@ -41,8 +41,8 @@ class PerturbConfig:
 
     def draw_key(self, feature: str, purpose: str) -> list:
         salted = isinstance(self.salt, Column) or bool(self.salt)
-        tail = [purpose, self.salt] if salted else [purpose]
-        return [self.seed, *[F.col(k) for k in self.key], feature, *tail]
+        head = [self.seed, self.salt] if salted else [self.seed]
+        return [*head, *[F.col(k) for k in self.key], feature, purpose]
 
 
 def _num(v: float | Column) -> Column:

@@ -120,7 +120,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     out = rows.withColumn("g", grid).select("row_id", "dataset_id", "y", "g.method", "g.number", "g.split", "g.strength", "g.noise")
-    draw = uniform01(F.col("number"), F.col("split"), F.col("row_id"))
+    draw = uniform01(F.col("row_id") * 64 + F.col("number") * 8 + F.col("split"))
     raw = F.lit(0.5) + (F.col("y") - F.lit(0.5)) * F.col("strength") * 0.5 + (draw - 0.5) * F.col("noise")
     score = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.round(raw, 4)))
     return out.select(
@@ -177,7 +177,7 @@ def UT(*parts: str) -> str:
 
 # Multipliers of the public 64-bit xxHash.
 XX = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
-_WRAP = f"{2**64}::uhugeint"
+_LOW = f"{2**64 - 1}::uhugeint"
 
 
 def _let(expr: str, body: str) -> str:
@@ -187,32 +187,48 @@ def _let(expr: str, body: str) -> str:
 def _xx_step(seed: str, column: str) -> str:
     """xxHash of one 64-bit integer, in 128-bit arithmetic."""
     def times(x: str, i: int) -> str:
-        return f"(({x})*{XX[i]}::uhugeint%{_WRAP})"
+        return f"((({x})*{XX[i]}::uhugeint)&{_LOW})"
 
     def rotate(x: str, n: int) -> str:
-        return _let(x, f"(h*{2**n}::uhugeint%{_WRAP})+(h//{2 ** (64 - n)}::uhugeint)")
+        return _let(x, f"(((h*{2**n}::uhugeint)&{_LOW})+(h>>{64 - n}))")
 
     def fold(x: str, n: int) -> str:
-        return _let(x, f"xor(h, h//{2**n}::uhugeint)")
+        return _let(x, f"xor(h, (h>>{n}))")
 
     value = times(rotate(times(f"({column})::uhugeint", 1), 31), 0)
-    h = f"xor((({seed})+{(XX[4] + 8) % 2**64}::uhugeint)%{_WRAP}, {value})"
-    h = f"(({times(rotate(h, 27), 0)}+{XX[3]}::uhugeint)%{_WRAP})"
+    h = f"xor(((({seed})+{(XX[4] + 8) % 2**64}::uhugeint)&{_LOW}), {value})"
+    h = f"(({times(rotate(h, 27), 0)}+{XX[3]}::uhugeint)&{_LOW})"
     return fold(times(fold(times(fold(h, 33), 1), 29), 2), 32)
 
 
+def _xx_known(seed: int, value: int) -> int:
+    """The same step for a value known when the text is written."""
+    wrap = 2**64
+
+    def rotate(x: int, n: int) -> int:
+        return (x << n) % wrap | x >> (64 - n)
+
+    h = (seed + XX[4] + 8) % wrap ^ rotate(value % wrap * XX[1] % wrap, 31) * XX[0] % wrap
+    h = (rotate(h, 27) * XX[0] + XX[3]) % wrap
+    h = (h ^ h >> 33) * XX[1] % wrap
+    h = (h ^ h >> 29) * XX[2] % wrap
+    return h ^ h >> 32
+
+
 def _is_value(part: str) -> bool:
     return part.isdigit() or (part.startswith("'") and part.endswith("'"))
 
 
 def U(*parts: str) -> str:
     """Keyed uniform of integer columns as SQL; numbers and quoted texts are plain values."""
-    tag = draw_tag(*[p.strip("'") for p in parts if _is_value(p)])
-    h = _xx_step("42::uhugeint", f"{tag % 2**64}::uhugeint")
-    for p in parts:
-        if not _is_value(p):
-            h = _xx_step(h, p)
-    return f"((({h})//2048::uhugeint)::double/9007199254740992.0::double)"
+    known = _xx_known(42, draw_tag(*[p.strip("'") for p in parts if _is_value(p)]))
+    columns = [p for p in parts if not _is_value(p)]
+    while columns and columns[0].endswith("::bigint") and columns[0].removesuffix("::bigint").isdigit():
+        known = _xx_known(known, int(columns.pop(0).removesuffix("::bigint")))
+    h = f"{known}::uhugeint"
+    for p in columns:
+        h = _xx_step(h, p)
+    return f"((({h})>>11)::double/9007199254740992.0::double)"
 
 
 def s(text: str) -> str:
@@ -255,7 +271,7 @@ def pairs_sql(strategy: str, p: float = 0.5, magnitude: float = 2.0, k: float =
     tail = [cell] if cell else []
 
     def key(f: str, purpose: str) -> list[str]:
-        return [seed, "row_id", s(f), s(purpose), *tail]
+        return [seed, *tail, "row_id", s(f), s(purpose)]
 
     stats = ", ".join(f"greatest(stddev_samp({f}), 0.000001::double) as sd_{f}, min({f}) as lo_{f}, max({f}) as hi_{f}" for f in FEATURES)
     ok = {f: f"({f} is not null)" for f in FEATURES}
@@ -309,7 +325,7 @@ def pred_sql(tag: str = "") -> str:
 
 def _predictions_sql() -> str:
     grid = ", ".join(f"('{m}', {sp}, {a}::double, {n}::double)" for m, (a, n) in METHODS.items() for sp in range(1, 6))
-    draw = U("substr(method,2,1)::int", "split", "row_id")
+    draw = U("(row_id*64 + substr(method,2,1)::int*8 + split)")
     return f"""pg_ as (select * from (values {grid}) t(method, split, strength, noise)),
 pr0_ as (select o_orderkey as row_id, c_mktsegment as dataset_id, (o_orderstatus='F')::int as y from orders join customer on o_custkey=c_custkey),
 pr1_ as (select method, split, dataset_id, row_id, y,
