@@ -162,13 +162,13 @@ def dataset_shape(df: DataFrame, features: Sequence[str], by: str) -> DataFrame:
 
 def delta_histogram(df: DataFrame, cols: Sequence[str], by: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width histogram of each column: (by, feat, bin, n); the last bin is closed."""
+    from flipside.operators.plausibility import histogram_bin
+
     bounds = fit(df, by, [a(c).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, a in (("lo", F.min), ("hi", F.max))])
     cells = attach(df, bounds, by)
 
     def bin_of(i: int, c: str) -> Column:
-        span = F.col(f"hi_{i}") - F.col(f"lo_{i}")
-        at = F.floor((F.col(c) - F.col(f"lo_{i}")) / (span / F.lit(float(bins)))).cast("int")
-        return F.when(span == 0, F.lit(0)).otherwise(F.least(at, F.lit(bins - 1)))
+        return histogram_bin(F.col(c), F.col(f"lo_{i}"), F.col(f"hi_{i}"), bins)
 
     tagged = F.explode(F.array(*[F.struct(F.lit(i).alias("feat"), bin_of(i, c).alias("bin")) for i, c in enumerate(cols)]))
     return (

@@ -134,7 +134,7 @@ def j10(spark, sf):
 
 
 _HIST = "hb_ as (select dataset_id, " + ", ".join(f"min(d_{f}) as hlo_{f}, max(d_{f}) as hhi_{f}" for f in FEATURES) + " from p_ group by dataset_id), hc_ as (" + " union all ".join(
-    f"select dataset_id, {i} as feat, case when hhi_{f}=hlo_{f} then 0 else least(floor((d_{f}-hlo_{f})/((hhi_{f}-hlo_{f})/30.0::double)),29)::int end as bin from p_ join hb_ using (dataset_id)"
+    f"select dataset_id, {i} as feat, case when hhi_{f}=hlo_{f} then 0 else least(floor((d_{f}-hlo_{f})/((hhi_{f}-hlo_{f})/30.0::double)+1e-9::double),29)::int end as bin from p_ join hb_ using (dataset_id)"
     for i, f in enumerate(FEATURES)
 ) + ")"
 

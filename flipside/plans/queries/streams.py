@@ -63,8 +63,8 @@ def r3(spark, sf):
 @query(
     "r4_stream_drift",
     f"""with {_W}, b as (select event_type, min(value) as lo, max(value) as hi from events group by 1),
-base as (select event_type, least(49, greatest(0, floor((value-lo)/((hi-lo)/50.0::double))))::int as bin, count(*)::double as f from events join b using (event_type) group by 1, 2),
-win as (select window_start, event_type, least(49, greatest(0, floor((value-lo)/((hi-lo)/50.0::double))))::int as bin, count(*)::double as c from w join b using (event_type) cross join mx where window_start + interval 1 day <= mark group by 1, 2, 3),
+base as (select event_type, least(49, greatest(0, floor((value-lo)/((hi-lo)/50.0::double)+1e-9::double)))::int as bin, count(*)::double as f from events join b using (event_type) group by 1, 2),
+win as (select window_start, event_type, least(49, greatest(0, floor((value-lo)/((hi-lo)/50.0::double)+1e-9::double)))::int as bin, count(*)::double as c from w join b using (event_type) cross join mx where window_start + interval 1 day <= mark group by 1, 2, 3),
 ky as (select distinct window_start, event_type from win), gr as (select window_start, event_type, g.bin, (hi-lo)/50.0::double as wd from ky join b using (event_type) cross join (select unnest(range(50)) as bin) g),
 j as (select gr.window_start, gr.event_type, gr.bin, wd, coalesce(f,0.0::double) as f, coalesce(c,0.0::double) as c from gr left join base on base.event_type=gr.event_type and base.bin=gr.bin left join win on win.window_start=gr.window_start and win.event_type=gr.event_type and win.bin=gr.bin),
 d as (select window_start, event_type, f/(sum(f) over g*wd)+1e-10::double as p, c/(sum(c) over g*wd)+1e-10::double as q from j window g as (partition by window_start, event_type)),
