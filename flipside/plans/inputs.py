@@ -32,7 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: 5 numeric features, dataset = market segment."""
-    orders = table(spark, sf_dir, "orders")
+    # Partitioned like the line item totals: the join with them needs no further
+    # shuffle, and the work per order is spread even when the file is one piece.
+    orders = (
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").repartition("o_orderkey")
+    )
     customer = table(spark, sf_dir, "customer")
     items = (
         table(spark, sf_dir, "lineitem")
@@ -109,6 +113,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_mktsegment").alias("dataset_id"),
             (F.col("o_orderstatus") == "F").cast("int").alias("y"),
         )
+        # Every row becomes 25 prediction rows: spread the narrow rows first.
+        .repartition("row_id")
     )
     grid = F.explode(
         F.array(
