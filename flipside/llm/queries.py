@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flipside.llm.chosen_path import jaccard_classes
 from flipside.llm.common import table
 from flipside.llm.exact_dedup import exact_dedup
 from flipside.llm.kd_sharding import kd_shards
+from flipside.llm.kernel_quality import score_quality
 from flipside.llm.mixing import mix_totals
+from flipside.llm.pow2_packing import pack_pow2
+from flipside.llm.secret_ledger import BASE_KINDS, scan_secrets
 from flipside.llm.url_rules import ListRule, judge_urls
 
 URL_RULES = (
@@ -25,6 +29,38 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_pow2(table(spark, sf_dir, "documents"), word_tokenizer())
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op6_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return out.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_totals(table(spark, sf_dir, "documents"))
 
@@ -37,7 +73,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_sharding, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules)}
 
 ORACLES = {
     "op9_exact_dedup": """
