@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from flipside.llm.chosen_path import jaccard_classes
 from flipside.llm.common import table
 from flipside.llm.exact_dedup import exact_dedup
+from flipside.llm.interpolated_lm import score_documents
 from flipside.llm.kd_sharding import kd_shards
 from flipside.llm.kernel_quality import score_quality
+from flipside.llm.learned_partitions import nearest
 from flipside.llm.mixing import mix_totals
 from flipside.llm.pow2_packing import pack_pow2
 from flipside.llm.secret_ledger import BASE_KINDS, scan_secrets
@@ -24,6 +26,14 @@ URL_RULES = (
 )
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kd_shards(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -73,7 +83,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules)}
 
 ORACLES = {
     "op9_exact_dedup": """
