@@ -1,11 +1,13 @@
 """Global and per-group ordering without putting a whole group in one task.
 
-A table counted as small goes through a plain window.  Beyond that the order
-column is cut into value buckets holding about the same number of
-rows each.  Bucket totals (a small table) give every bucket its starting
-offset, and an ordinary window then works inside one bucket at a time.  Bucket
-edges are plain literals, so both passes agree whatever happens to the tasks;
-they decide balance only, never the result.
+For positions and running totals the order column is cut into value buckets
+holding about the same number of rows each.  Bucket totals (a small table) give
+every bucket its starting offset, and an ordinary window then works inside one
+bucket at a time.  Bucket edges are plain literals, so both passes agree
+whatever happens to the tasks; they decide balance only, never the result.
+
+Exact quantiles take two passes: an approximate one brackets every wanted rank,
+and a second one counts what lies outside and sorts only what lies inside.
 """
 
 from __future__ import annotations
@@ -17,55 +19,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flipside.functions.fitted import attach, materialise
+
 BUCKET = "__bucket"
-MAX_BUCKETS = 1024
-LOCAL_ROWS = 500_000
+ACCURACY = 5000  # of the approximate quantiles: ranks are off by 1/5000 of the rows at most
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return max(8, min(MAX_BUCKETS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-
-
-def local_rows(spark: SparkSession) -> int:
-    """Tables up to this many rows are ranked with one plain window per group."""
-    return int(spark.conf.get("spark.flipside.localRows", str(LOCAL_ROWS)))
+    return max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _edges(df: DataFrame, col: str, buckets: int | None = None) -> list[float] | None:
-    """Bucket edges of a numeric column, or None when the table is small.
-
-    Row count and quantiles come from one aggregate over one column.
-    """
+def value_buckets(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
+    """Add BUCKET: an order-preserving bucket number of numeric column `col`."""
     n = buckets or bucket_count(df.sparkSession)
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(F.col(col).cast("double"), shares, F.lit(4 * n)).alias("e")
-    ).first()
-    if row["n"] <= local_rows(df.sparkSession):
-        return None
-    return sorted(set(row["e"] or [0.0]))
-
-
-def _cut(df: DataFrame, col: str, edges: Sequence[float]) -> DataFrame:
-    splits = [float("-inf"), *edges, float("inf")]
+    found = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, F.lit(4 * n))).first()[0]
+    splits = [float("-inf"), *sorted(set(found or [0.0])), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__v", outputCol=BUCKET, handleInvalid="keep")
     return cut.transform(df.withColumn("__v", F.col(col).cast("double"))).drop("__v")
 
 
-def value_buckets(df: DataFrame, col: str, buckets: int | None = None) -> DataFrame:
-    """Add BUCKET: an order-preserving bucket number of numeric column `col`.
-
-    A small table stays in one piece and gets no BUCKET column.
-    """
-    edges = _edges(df, col, buckets)
-    return df if edges is None else _cut(df, col, edges)
-
-
 def uniform_buckets(df: DataFrame, unit: Column, buckets: int | None = None) -> DataFrame:
     """Add BUCKET for an order column known to be uniform on [0,1)."""
     n = buckets or bucket_count(df.sparkSession)
-    if df.count() <= local_rows(df.sparkSession):
-        return df
     return df.withColumn(BUCKET, F.floor(unit * F.lit(float(n))).cast("double"))
 
 
@@ -77,16 +53,9 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums `run_<name>` and group totals `all_<name>`.
 
-    `bucketed` carries BUCKET unless it is small; `order` must be unique inside
-    a group.
+    `bucketed` carries BUCKET; `order` must be unique inside a group.
     """
     by = list(by)
-    if BUCKET not in bucketed.columns:
-        upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        return bucketed.withColumns(
-            {f"run_{k}": F.sum(v).over(upto) for k, v in sums.items()}
-            | {f"all_{k}": F.sum(v).over(W.partitionBy(*by)) for k, v in sums.items()}
-        )
     df = bucketed.withColumns({f"__s_{k}": v for k, v in sums.items()})
     totals = df.groupBy(*by, BUCKET).agg(*[F.sum(f"__s_{k}").alias(f"__t_{k}") for k in sums])
     before = W.partitionBy(*by).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, -1)
@@ -132,19 +101,6 @@ def long_form(df: DataFrame, by: Sequence[str], cols: Sequence[str], keep: Seque
     return df.select(*picked, cells.alias("__cell")).select(*picked, "__cell.feat", "__cell.value")
 
 
-def _small_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], kind: str) -> DataFrame:
-    if kind == "lower":
-        return df.groupBy(*by).agg(
-            *[
-                F.expr(f"percentile_disc({p!r}D) within group (order by `{c}`)").alias(f"{c}_q{i}")
-                for c in cols
-                for i, p in enumerate(probs)
-            ]
-        )
-    wide = df.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in cols])
-    return wide.select(*by, *[F.col(c)[i].alias(f"{c}_q{i}") for c in cols for i in range(len(probs))])
-
-
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -157,55 +113,51 @@ def exact_quantiles(
     kind='lower' returns the smallest value with cumulative share >= p;
     kind='linear' interpolates between the two neighbouring order statistics.
 
-    A small table uses the built-in percentile.  Otherwise pass 1 counts rows per value bucket; only buckets that hold a wanted rank
-    are looked at again, so just a few buckets per column are shuffled, and
-    equal values are merged before the shuffle.
+    Pass 1 brackets every wanted rank by approximate quantiles 2/ACCURACY to
+    both sides.  Pass 2 counts the values under and above each bracket, with the
+    nearest of them, and merges equal values inside; that is all that is
+    shuffled.
     """
     by = list(by)
-    if df.count() <= local_rows(df.sparkSession):
-        return _small_quantiles(df, by, cols, probs, kind)
-    cells = long_form(df, by, cols).filter(F.col("value").isNotNull())
-    cells = _cut(cells, "value", _edges(cells, "value") or [0.0])
-    keys = [*by, "feat"]
-    totals = cells.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    upto = W.partitionBy(*keys).orderBy(BUCKET).rowsBetween(W.unboundedPreceding, W.currentRow)
-    totals = totals.withColumns(
-        {"hi": F.sum("n").over(upto), "all": F.sum("n").over(W.partitionBy(*keys))}
-    ).withColumn("lo", F.col("hi") - F.col("n"))
-
-    ranks = []
-    for i, p in enumerate(probs):
-        if kind == "lower":
-            k = F.greatest(F.lit(1.0), F.ceil(F.lit(float(p)) * F.col("all")).cast("double"))
-            ranks.append(F.struct(F.lit(i).alias("q"), F.lit(0).alias("side"), k.alias("k"), F.lit(1.0).alias("w")))
-        else:
-            h = F.lit(float(p)) * (F.col("all") - 1)
-            frac = h - F.floor(h)
-            ranks.append(
-                F.struct(F.lit(i).alias("q"), F.lit(0).alias("side"), (F.floor(h) + 1.0).alias("k"), (1.0 - frac).alias("w"))
-            )
-            ranks.append(
-                F.struct(F.lit(i).alias("q"), F.lit(1).alias("side"), (F.ceil(h) + 1.0).alias("k"), frac.alias("w"))
-            )
-    wanted = (
-        totals.withColumn("__r", F.filter(F.array(*ranks), lambda r: (r["k"] > F.col("lo")) & (r["k"] <= F.col("hi"))))
-        .filter(F.size("__r") > 0)
-        .select(*keys, BUCKET, "lo", "__r")
+    gap = 2.0 / ACCURACY
+    shares = [max(0.0, p - gap) for p in probs] + [min(1.0, p + gap) for p in probs]
+    wanted = F.array(*[F.lit(float(p)) for p in shares])
+    around = [F.percentile_approx(F.col(c).cast("double"), wanted, F.lit(ACCURACY)).alias(f"{c}__a") for c in cols]
+    brackets = materialise(df.groupBy(*by).agg(*around))
+    m = len(probs)
+
+    rows = attach(df.select(*by, *cols), brackets, by)
+    values = F.array(*[F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"{c}__a").alias("a")) for j, c in enumerate(cols)])
+    cells = rows.select(*by, F.explode(values).alias("__c")).select(*by, "__c.*").filter("v is not null")
+    cells = cells.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    open_low, open_high = (F.array(*[F.lit(x) for x in flags])[F.col("q")] for flags in ([x <= 0.0 for x in shares[:m]], [x >= 1.0 for x in shares[m:]]))
+    under = ~open_low & (F.col("v") < F.col("a")[F.col("q")])
+    over = ~open_high & (F.col("v") > F.col("a")[F.col("q") + m])
+    cells = cells.withColumn("role", F.when(under, -1).when(over, 1).otherwise(0)).drop("a")
+    keys = [*by, "feat", "q"]
+    merged = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
     )
-    merged = cells.join(wanted, [*keys, BUCKET]).groupBy(*keys, BUCKET, "value").agg(
-        F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("__r").alias("__r")
-    )
-    inside = W.partitionBy(*keys, BUCKET).orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = merged.withColumn("hi", F.col("lo") + F.sum("n").over(inside)).withColumn("low", F.col("hi") - F.col("n"))
-    hits = (
-        merged.select(*keys, "value", "low", "hi", F.explode("__r").alias("r"))
-        .filter((F.col("r.k") > F.col("low")) & (F.col("r.k") <= F.col("hi")))
-        .select(*keys, F.col("r.q").alias("q"), (F.col("value") * F.col("r.w")).alias("part"))
-    )
-    return hits.groupBy(*by).agg(
-        *[
-            F.sum(F.when((F.col("feat") == j) & (F.col("q") == i), F.col("part"))).alias(f"{c}_q{i}")
-            for j, c in enumerate(cols)
-            for i in range(len(probs))
-        ]
+    upto = W.partitionBy(*keys).orderBy("role", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
+    merged = merged.withColumns({"hi": F.sum("n").over(upto), "all": F.sum("n").over(W.partitionBy(*keys))})
+    merged = merged.withColumn("at", F.when(F.col("role") < 0, F.col("most")).otherwise(F.col("least")))
+    p = F.array(*[F.lit(float(x)) for x in probs])[F.col("q")]
+
+    def has(k: Column) -> Column:
+        return (k > F.col("hi") - F.col("n")) & (k <= F.col("hi"))
+
+    if kind == "lower":
+        k = F.greatest(F.lit(1.0), F.ceil(p * F.col("all")).cast("double"))
+        part = F.when(has(k), F.col("at"))
+    else:
+        h = p * (F.col("all") - 1)
+        frac = h - F.floor(h)
+        low, high = has(F.floor(h) + 1.0), has(F.ceil(h) + 1.0)
+        share = F.when(low, 1.0 - frac).otherwise(0.0) + F.when(high, frac).otherwise(0.0)
+        part = F.when(low | high, F.col("at") * share)
+    hits = merged.select(*keys, part.alias("part")).filter("part is not null")
+    out = hits.groupBy(*by).agg(
+        *[F.sum(F.when((F.col("feat") == j) & (F.col("q") == i), F.col("part"))).alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)]
     )
+    # Groups whose values are all unknown keep their row.
+    return brackets.select(*by).join(out, by, "left") if by else out

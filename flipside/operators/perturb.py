@@ -105,7 +105,7 @@ def additive_noise(f: str, cfg: PerturbConfig) -> Column:
 
 
 def marginal_replacement(f: str, cfg: PerturbConfig) -> Column:
-    return F.col(f"donor_{f}") - F.col(f)
+    return F.col(f"donor_{f}")
 
 
 def fixed_magnitude(f: str, cfg: PerturbConfig) -> Column:
@@ -115,7 +115,7 @@ def fixed_magnitude(f: str, cfg: PerturbConfig) -> Column:
 
 def uniform_random(f: str, cfg: PerturbConfig) -> Column:
     u = uniform01(*cfg.draw_key(f, "value"))
-    return F.col(f"lo_{f}") + u * (F.col(f"hi_{f}") - F.col(f"lo_{f}")) - F.col(f)
+    return F.col(f"lo_{f}") + u * (F.col(f"hi_{f}") - F.col(f"lo_{f}"))
 
 
 def gradient_guided(f: str, cfg: PerturbConfig, features: Sequence[str]) -> Column:
@@ -130,29 +130,34 @@ def gradient_guided(f: str, cfg: PerturbConfig, features: Sequence[str]) -> Colu
 
 @dataclass(frozen=True)
 class Strategy:
-    delta: Callable[..., Column]
+    make: Callable[..., Column]  # the delta, or the new value when `replaces`
     needs: str  # which columns it reads: 'std', 'bounds' or 'donor'
     slope: bool = False
+    replaces: bool = False
 
 
 STRATEGIES: dict[str, Strategy] = {
     "additive_noise": Strategy(additive_noise, "std"),
-    "marginal_replacement": Strategy(marginal_replacement, "donor"),
+    "marginal_replacement": Strategy(marginal_replacement, "donor", replaces=True),
     "gradient_guided": Strategy(gradient_guided, "std", slope=True),
     "fixed_magnitude": Strategy(fixed_magnitude, "std"),
-    "uniform_random": Strategy(uniform_random, "bounds"),
+    "uniform_random": Strategy(uniform_random, "bounds", replaces=True),
 }
 
 
-def register_strategy(name: str, delta: Callable[[str, PerturbConfig], Column], needs: str = "std") -> None:
-    """Add a user strategy: a function (feature, config) -> delta Column."""
+def register_strategy(name: str, make: Callable[[str, PerturbConfig], Column], needs: str = "std", replaces: bool = False) -> None:
+    """Add a user strategy: a function (feature, config) -> delta Column, or the new value if it `replaces`."""
     if needs not in ("std", "bounds", "donor"):
         raise ValueError(f"unknown input {needs!r}")
-    STRATEGIES[name] = Strategy(delta, needs)
+    STRATEGIES[name] = Strategy(make, needs, replaces=replaces)
 
 
 def perturb(df: DataFrame, features: Sequence[str], strategy: str, by: Sequence[str], cfg: PerturbConfig, spread: DataFrame | None = None, repeat: Column | None = None) -> DataFrame:
-    """Mask, delta and counterfactual columns under the named strategy."""
+    """Mask, delta and counterfactual columns under the named strategy.
+
+    A strategy that replaces values sets cf_f to exactly the new value and
+    derives the delta from it, so a copied row gets the copied row's class.
+    """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(STRATEGIES)}")
     chosen = STRATEGIES[strategy]
@@ -165,11 +170,15 @@ def perturb(df: DataFrame, features: Sequence[str], strategy: str, by: Sequence[
         params = spread if spread is not None else fit_spread(df, features, by, chosen.needs == "bounds")
         src = attach(df, params, by)
     masked = select_targets(src, features, cfg)
-    raw = {f: chosen.delta(f, cfg, features) if chosen.slope else chosen.delta(f, cfg) for f in features}
-    out = masked.withColumns(
-        {f"d_{f}": F.when(F.col(f"m_{f}"), F.coalesce(raw[f], F.lit(0.0))).otherwise(F.lit(0.0)) for f in features}
-    )
-    out = out.withColumns({f"cf_{f}": F.col(f) + F.col(f"d_{f}") for f in features})
+    raw = {f: chosen.make(f, cfg, features) if chosen.slope else chosen.make(f, cfg) for f in features}
+    if chosen.replaces:
+        out = masked.withColumns({f"cf_{f}": F.when(F.col(f"m_{f}"), F.coalesce(raw[f], F.col(f))).otherwise(F.col(f)) for f in features})
+        out = out.withColumns({f"d_{f}": F.coalesce(F.col(f"cf_{f}") - F.col(f), F.lit(0.0)) for f in features})
+    else:
+        out = masked.withColumns(
+            {f"d_{f}": F.when(F.col(f"m_{f}"), F.coalesce(raw[f], F.lit(0.0))).otherwise(F.lit(0.0)) for f in features}
+        )
+        out = out.withColumns({f"cf_{f}": F.col(f) + F.col(f"d_{f}") for f in features})
     if params is not None:
         return drop_params(out, params, by)
     return out.drop(*[f"donor_{f}" for f in features])

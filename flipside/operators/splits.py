@@ -78,7 +78,7 @@ def valid_split(df: DataFrame, by: Sequence[str], label: str, bptt: int, eval_po
         judged.select(*by, first.alias("__j"))
         .join(starts, by)
         .filter(F.col("__j").isNotNull())
-        .select(*by, F.element_at("__starts", F.col("__j") + 1).alias("start"), (F.col("__j") + seeds[0]).alias("seed"))
+        .select(*by, F.element_at("__starts", F.col("__j") + 1).alias("start"), F.element_at(F.array(*[F.lit(sd) for sd in seeds]), F.col("__j") + 1).alias("seed"))
     )
     at = F.col(pos) - F.col("start")
     return (

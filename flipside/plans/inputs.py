@@ -293,18 +293,22 @@ def pairs_sql(strategy: str, p: float = 0.5, magnitude: float = 2.0, k: float =
         if strategy == "additive_noise":
             raw[f] = f"{normal_sql(*key(f, 'noise'))}*sd_{f}*{magnitude}::double"
         elif strategy == "marginal_replacement":
-            raw[f] = f"(donor_{f} - {f})"
+            raw[f] = f"donor_{f}"
         elif strategy == "fixed_magnitude":
             raw[f] = f"{k}::double*sd_{f}*{sign_sql(*key(f, 'sign'))}"
         elif strategy == "uniform_random":
-            raw[f] = f"(lo_{f} + {U(*key(f, 'value'))}*(hi_{f}-lo_{f}) - {f})"
+            raw[f] = f"(lo_{f} + {U(*key(f, 'value'))}*(hi_{f}-lo_{f}))"
         else:
             up = score_sql(lambda g, f=f: f"({g}+0.001::double)" if g == f else g)
             slope = f"({up} - {score_sql(lambda g: g)})"
             way = f"(case when {slope} > 0 then 1.0::double when {slope} < 0 then -1.0::double else {sign_sql(*key(f, 'flat'))} end)"
             raw[f] = f"{way}*{sign_sql(*key(f, 'coin'))}*{step}::double*sd_{f}*{magnitude}::double"
-    delta = ", ".join(f"case when m_{f} then coalesce({raw[f]}, 0.0::double) else 0.0::double end as d_{f}" for f in FEATURES)
-    cf = ", ".join(f"{f}+d_{f} as cf_{f}" for f in FEATURES)
+    if strategy in ("marginal_replacement", "uniform_random"):  # the new value itself; the delta follows from it
+        delta = ", ".join(f"case when m_{f} then coalesce({raw[f]}, {f}) else {f} end as cf_{f}" for f in FEATURES)
+        cf = ", ".join(f"coalesce(cf_{f}-{f}, 0.0::double) as d_{f}" for f in FEATURES)
+    else:
+        delta = ", ".join(f"case when m_{f} then coalesce({raw[f]}, 0.0::double) else 0.0::double end as d_{f}" for f in FEATURES)
+        cf = ", ".join(f"{f}+d_{f} as cf_{f}" for f in FEATURES)
     t = tag
     if strategy == "marginal_replacement":
         donors = ", ".join(f"b.{f} as donor_{f}" for f in FEATURES)

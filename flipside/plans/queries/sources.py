@@ -66,11 +66,11 @@ def a3(spark, sf):
 
 @query(
     "a4_pending_jobs",
-    "select c_custkey as row_id, c_mktsegment as dataset_id from customer where c_custkey not in (select o_custkey from orders)",
+    "select o_orderkey as row_id, o_orderstatus as dataset_id from orders where o_orderkey not in (select l_orderkey from lineitem)",
 )
 def a4(spark, sf):
-    jobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_mktsegment").alias("dataset_id"))
-    done = table(spark, sf, "orders").select(F.col("o_custkey").alias("row_id"))
+    jobs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("dataset_id"))
+    done = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_id"))
     return results.pending_jobs(jobs, done, ["row_id"])
 
 
@@ -90,6 +90,25 @@ def a4w(spark, sf):
     return spark.read.parquet(path).select("method", "dataset_id", "n")
 
 
+@query(
+    "a4_overwrite_results",
+    """select o_orderstatus as method, c_mktsegment as dataset_id, o_orderkey % 3 as split,
+ case when o_orderkey % 3 = 1 then -count(*) else count(*) end as n from orders join customer on o_custkey=c_custkey group by 1, 2, 3""",
+)
+def a4o(spark, sf):
+    """Overwriting one split leaves the other splits of its partition alone."""
+    counts = (
+        table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy(F.col("o_orderstatus").alias("method"), F.col("c_mktsegment").alias("dataset_id"), (F.col("o_orderkey") % 3).alias("split"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
+    keys = ["method", "dataset_id", "split"]
+    results.write_results(counts, path, keys)
+    results.write_results(counts.filter("split = 1").withColumn("n", -F.col("n")), path, keys, mode="overwrite")
+    return results.write_results(counts, path, keys, mode="fetch_only").select("method", "dataset_id", "split", "n")
+
+
 def _list(expr):
     return "[" + ", ".join(f"round({expr(f)},6)+0.0::double" for f in FEATURES) + "]"
 

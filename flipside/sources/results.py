@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipside.schema import RUN_RESULT
+from flipside.session import checkpointed
 
 
 def read_run_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -32,26 +34,44 @@ def pending_jobs(jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataF
     return jobs.join(done.select(*keys), list(keys), "left_anti")
 
 
-def write_results(df: DataFrame, path: str, keys: Sequence[str], mode: str = "keep", partition_by: Sequence[str] = ("method", "dataset_id")) -> None:
-    """Store results under their keys.
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """What is stored; None when nothing is."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def write_results(df: DataFrame, path: str, keys: Sequence[str], mode: str = "keep", partition_by: Sequence[str] = ("method", "dataset_id")) -> DataFrame:
+    """Store results under their keys and return what is stored for the keys of `df`.
 
     mode='keep' adds only rows whose keys are not stored yet; 'overwrite'
-    replaces the partitions it touches; 'fetch_only' never writes.
+    replaces the rows with the same keys and leaves the others of a partition
+    as they are; 'fetch_only' never writes.  Of rows with equal keys in one call
+    one is stored.
     """
+    if mode not in ("keep", "overwrite", "fetch_only"):
+        raise ValueError(f"unknown mode {mode!r}")
+    spark, keys = df.sparkSession, list(keys)
+    wanted = df.select(*keys).distinct()
+    stored = read_results(spark, path)
     if mode == "fetch_only":
-        return
-    spark = df.sparkSession
+        return (stored if stored is not None else df.limit(0)).join(wanted, keys, "left_semi")
+    fresh = df.dropDuplicates(keys)
     if mode == "keep":
-        try:
-            df = df.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        df.write.mode("append").partitionBy(*partition_by).parquet(path)
-    elif mode == "overwrite":
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+        if stored is not None:
+            fresh = fresh.join(stored.select(*keys).distinct(), keys, "left_anti")
+        fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
     else:
-        raise ValueError(f"unknown mode {mode!r}")
+        if stored is not None:
+            touched = fresh.select(*partition_by).distinct()
+            rest = stored.join(touched, list(partition_by), "left_semi").join(wanted, keys, "left_anti")
+            # The rest comes from the partitions that are about to be replaced: cut it loose first.
+            fresh = fresh.unionByName(checkpointed(rest))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    return read_results(spark, path).join(wanted, keys, "left_semi")
 
 
 def example_rows(pairs: DataFrame, features: Sequence[str], n: int = 5, order: Sequence[str] = ("dataset_id", "row_id")) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flipside.functions.fitted import materialise
 from flipside.operators.labels import binarize_threshold
 from flipside.operators.plausibility import histogram_bin, js_from_counts
 
@@ -21,14 +22,18 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
 
 
 def stream_normalize(stream: DataFrame, cols: Sequence[str], params: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(x-mean)/std with frozen statistics; stateless, append mode."""
-    out = stream.join(params, list(by))
+    """(x-mean)/std with frozen statistics; stateless, append mode.
+
+    Rows of groups that have no statistics stay, with unknown values.
+    """
+    out = stream.join(params, list(by), "left")
     out = out.withColumns({c: (F.col(c) - F.col(f"{c}_mu")) / F.col(f"{c}_sd") for c in cols})
     return out.drop(*[c for c in params.columns if c not in by])
 
 
 def stream_label(stream: DataFrame, target: str, threshold: DataFrame, by: Sequence[str], name: str = "y_class") -> DataFrame:
-    return stream.join(threshold, list(by)).withColumn(name, binarize_threshold(target, "threshold")).drop("threshold")
+    """Classes under frozen thresholds; a group without one has an unknown class."""
+    return stream.join(threshold, list(by), "left").withColumn(name, binarize_threshold(target, "threshold")).drop("threshold")
 
 
 def event_time(stream: DataFrame, ts: str) -> DataFrame:
@@ -54,9 +59,9 @@ def stream_window_stats(stream: DataFrame, ts: str, value: str, by: Sequence[str
 
 
 def fit_histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 50) -> tuple[DataFrame, DataFrame]:
-    """Baseline histogram: (bounds per group, counts per group and bin)."""
-    bounds = df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    counts = (
+    """Baseline histogram: (bounds per group, counts per group and bin), both computed here and kept."""
+    bounds = materialise(df.groupBy(*by).agg(F.min(value).alias("lo"), F.max(value).alias("hi")))
+    counts = materialise(
         df.join(bounds, list(by))
         .groupBy(*by, histogram_bin(F.col(value), F.col("lo"), F.col("hi"), bins).alias("bin"))
         .agg(F.count(F.lit(1)).alias("f"))
@@ -69,7 +74,7 @@ def stream_histogram(stream: DataFrame, ts: str, value: str, bounds: DataFrame,
     at = histogram_bin(F.col(value), F.col("lo"), F.col("hi"), bins)
     return (
         event_time(stream, ts).withWatermark(ts, watermark)
-        .join(bounds, list(by))
+        .join(bounds, list(by), "left")
         .groupBy(F.window(ts, window).alias("w"), *by, at.alias("bin"))
         .agg(F.count(F.lit(1)).alias("cf"))
         .select(F.col("w.start").alias("window_start"), *by, "bin", "cf")
@@ -77,7 +82,7 @@ def stream_histogram(stream: DataFrame, ts: str, value: str, bounds: DataFrame,
 
 
 def drift_of(window_counts: DataFrame, bounds: DataFrame, baseline: DataFrame, by: Sequence[str], bins: int = 50) -> DataFrame:
-    """JS divergence between each finished window and the baseline."""
+    """JS divergence between each finished window and the baseline; NULL for groups without one."""
     by = list(by)
     keys = ["window_start", *by]
     seen = window_counts.select(*keys).distinct()
@@ -89,7 +94,8 @@ def drift_of(window_counts: DataFrame, bounds: DataFrame, baseline: DataFrame, b
         .agg(F.sum("f").alias("f"), F.sum("cf").alias("cf"))
     )
     width = bounds.select(*by, ((F.col("hi") - F.col("lo")) / F.lit(float(bins))).alias("width"))
-    return js_from_counts(both.join(width, by), keys, bins)
+    measured = js_from_counts(both.join(width, by), keys, bins)
+    return seen.join(measured, keys, "left")
 
 
 def stream_drift(stream: DataFrame, ts: str, value: str, bounds: DataFrame, baseline: DataFrame, by: Sequence[str], window: str, watermark: str, out_path: str, checkpoint: str, bins: int = 50):
@@ -102,7 +108,9 @@ def stream_drift(stream: DataFrame, ts: str, value: str, bounds: DataFrame, base
     counts = stream_histogram(stream, ts, value, bounds, by, window, watermark, bins)
 
     def emit(batch: DataFrame, batch_id: int) -> None:
-        drift_of(batch, bounds, baseline, by, bins).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        kept = batch.persist()  # one row per window, group and bin; read more than once below
+        drift_of(kept, bounds, baseline, by, bins).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        kept.unpersist()
 
     return (
         counts.writeStream.outputMode("append")

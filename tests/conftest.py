@@ -12,10 +12,3 @@ from flipside.session import local_session  # noqa: E402
 def spark():
     return local_session(8, shuffle_partitions=8, app="flipside-tests")
 
-
-@pytest.fixture
-def big(spark):
-    """Treat every table as too large for one plain window."""
-    spark.conf.set("spark.flipside.localRows", "0")
-    yield spark
-    spark.conf.unset("spark.flipside.localRows")

@@ -17,8 +17,8 @@ def skewed(spark, n=3000):
     )
 
 
-def test_quantiles_large_path(big):
-    df = skewed(big)
+def test_quantiles(spark):
+    df = skewed(spark)
     rows = df.toPandas()
     probs = [0.0, 0.05, 0.5, 0.9, 1.0]
     got = {r["dataset_id"]: r for r in exact_quantiles(df, ["dataset_id"], ["x"], probs).collect()}
@@ -29,35 +29,34 @@ def test_quantiles_large_path(big):
         assert low[ds]["x_q0"] == x[(len(x) - 1) // 2]
 
 
-def test_positions_agree_across_paths_and_partitions(spark, big):
-    df = skewed(big)
+def test_positions_agree_across_partitions(spark):
+    df = skewed(spark)
     a = positions(df.repartition(8), ["dataset_id"], "row_id").select("row_id", "pos", "pos_of")
     s = shuffled_positions(df.coalesce(1), ["dataset_id"], uniform01(3, F.col("row_id")), "row_id").select("row_id", "pos")
     large, large_s = sorted(a.collect()), sorted(s.collect())
-    big.conf.set("spark.flipside.localRows", "1000000")
     b = positions(df.coalesce(1), ["dataset_id"], "row_id").select("row_id", "pos", "pos_of")
     t = shuffled_positions(df.repartition(5), ["dataset_id"], uniform01(3, F.col("row_id")), "row_id").select("row_id", "pos")
     assert large == sorted(b.collect())
     assert large_s == sorted(t.collect())
 
 
-def test_running_totals_without_groups(big):
-    df = big.range(1000).select("id", (F.col("id") % 7).alias("w"))
+def test_running_totals_without_groups(spark):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("w"))
     out = running_totals(value_buckets(df, "id"), [], [F.col("id")], {"w": F.col("w")}).orderBy("id").collect()
     want = np.cumsum([i % 7 for i in range(1000)])
     assert [r["run_w"] for r in out] == want.tolist()
     assert {r["all_w"] for r in out} == {int(want[-1])}
 
 
-def test_large_path_has_no_single_partition_exchange(big):
-    df = big.range(1000).select("id")
+def test_positions_have_no_single_partition_exchange(spark):
+    df = spark.range(1000).select("id")
     plan = positions(df, [], "id")._jdf.queryExecution().executedPlan().toString()
     # The bucket totals may meet in one place; the rows may not.
     assert "hashpartitioning(__bucket" in plan
 
 
-def test_auc_and_ks_and_ranking_large_path(big):
-    df = skewed(big).withColumn("y", (F.col("row_id") % 3 == 0).cast("int"))
+def test_auc_and_ks_and_ranking(spark):
+    df = skewed(spark).withColumn("y", (F.col("row_id") % 3 == 0).cast("int"))
     got = {r["dataset_id"]: r["auc"] for r in metrics.auc(df, ["dataset_id"], F.col("y") == 1, F.col("x")).collect()}
     pdf = df.toPandas()
     for ds, g in pdf.groupby("dataset_id"):

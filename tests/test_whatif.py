@@ -61,8 +61,8 @@ def test_flip_is_class_inequality_and_big_shifts_flip(rows):
 
 
 def test_fixed_threshold_values(spark):
-    df = spark.createDataFrame([(0.1,), (0.6,), (0.3,), (0.9,)], "y double")
-    assert [r[0] for r in df.select(labels.binarize_threshold("y", 0.5)).collect()] == [0, 1, 0, 1]
+    df = spark.createDataFrame([(0.49,), (0.51,), (0.5,), (7.0,), (-2.0,)], "y double")
+    assert [r[0] for r in df.select(labels.binarize_threshold("y", 0.5)).collect()] == [0, 1, 0, 1, 0]
 
 
 def test_interventions_keep_noise_and_upstream(rows):
