@@ -123,23 +123,47 @@ def exact_quantiles(
     shares = [max(0.0, p - gap) for p in probs] + [min(1.0, p + gap) for p in probs]
     wanted = F.array(*[F.lit(float(p)) for p in shares])
     around = [F.percentile_approx(F.col(c).cast("double"), wanted, F.lit(ACCURACY)).alias(f"{c}__a") for c in cols]
-    brackets = materialise(df.groupBy(*by).agg(*around))
     m = len(probs)
 
+    def ends(c: str, first: int, is_open: list[bool], value: float) -> Column:
+        flags = F.array(*[F.lit(x) for x in is_open])
+        return F.transform(F.slice(f"{c}__a", first, m), lambda x, i: F.when(F.get(flags, i), F.lit(value)).otherwise(x))
+
+    both = [
+        e.alias(f"{c}__{n}")
+        for c in cols
+        for n, e in (
+            ("lo", ends(c, 1, [x <= 0.0 for x in shares[:m]], float("-inf"))),
+            ("hi", ends(c, m + 1, [x >= 1.0 for x in shares[m:]], float("inf"))),
+        )
+    ]
+    brackets = materialise(df.groupBy(*by).agg(*around).select(*by, *both))
     rows = attach(df.select(*by, *cols), brackets, by)
-    values = F.array(*[F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"{c}__a").alias("a")) for j, c in enumerate(cols)])
+    values = F.array(
+        *[F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"{c}__lo").alias("lo"), F.col(f"{c}__hi").alias("hi")) for j, c in enumerate(cols)]
+    )
     cells = rows.select(*by, F.explode(values).alias("__c")).select(*by, "__c.*").filter("v is not null")
-    cells = cells.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    open_low, open_high = (F.array(*[F.lit(x) for x in flags])[F.col("q")] for flags in ([x <= 0.0 for x in shares[:m]], [x >= 1.0 for x in shares[m:]]))
-    under = ~open_low & (F.col("v") < F.col("a")[F.col("q")])
-    over = ~open_high & (F.col("v") > F.col("a")[F.col("q") + m])
-    cells = cells.withColumn("role", F.when(under, -1).when(over, 1).otherwise(0)).drop("a")
-    keys = [*by, "feat", "q"]
-    merged = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
+    # A value is under the brackets from `under` on, over those before `over`, and inside the few between.
+    cells = cells.withColumns({"under": F.size(F.filter("lo", lambda x: x <= F.col("v"))), "over": F.size(F.filter("hi", lambda x: x < F.col("v")))})
+    marks = F.array(F.struct(F.lit(-1).alias("role"), F.col("under").alias("q")), F.struct(F.lit(1).alias("role"), (F.col("over") - 1).alias("q")))
+    inside = F.when(F.col("under") > F.col("over"), F.transform(F.sequence("over", F.col("under") - 1), lambda q: F.struct(F.lit(0).alias("role"), q.alias("q"))))
+    cells = cells.select(*by, "feat", "v", F.explode(F.concat(marks, F.coalesce(inside, F.array().cast("array<struct<role:int,q:int>>")))).alias("__m"))
+    cells = cells.select(*by, "feat", "v", "__m.*")
+    group, keys = [*by, "feat"], [*by, "feat", "q"]
+    found = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
     )
+    # Marks say where being under or over begins: sums along the brackets give the counts, on a few rows per group.
+    grid = F.explode(F.array(*[F.struct(F.lit(j).alias("feat"), F.lit(q).alias("q"), F.lit(r).alias("role")) for j in range(len(cols)) for q in range(m) for r in (-1, 1)]))
+    none = brackets.select(*by, grid.alias("__g")).select(*by, "__g.*", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
+    none = none.withColumns({"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double")})
+    sides = found.filter("role <> 0").unionByName(none).groupBy(*keys, "role").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    along = W.partitionBy(*group, "role").orderBy(F.col("q") * F.col("role") * -1).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sides = sides.withColumns({"n": F.sum("n").over(along), "least": F.min("least").over(along), "most": F.max("most").over(along)})
+    sides = sides.filter((F.col("q") >= 0) & (F.col("q") < m)).withColumn("value", F.lit(None).cast("double"))
+    merged = sides.unionByName(found.filter("role = 0"))
     upto = W.partitionBy(*keys).orderBy("role", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = merged.withColumns({"hi": F.sum("n").over(upto), "all": F.sum("n").over(W.partitionBy(*keys))})
+    merged = merged.withColumns({"hi": F.sum("n").over(upto), "all": F.sum("n").over(W.partitionBy(*keys))}).filter("n > 0")
     merged = merged.withColumn("at", F.when(F.col("role") < 0, F.col("most")).otherwise(F.col("least")))
     p = F.array(*[F.lit(float(x)) for x in probs])[F.col("q")]
 
@@ -156,8 +180,9 @@ def exact_quantiles(
         share = F.when(low, 1.0 - frac).otherwise(0.0) + F.when(high, frac).otherwise(0.0)
         part = F.when(low | high, F.col("at") * share)
     hits = merged.select(*keys, part.alias("part")).filter("part is not null")
-    out = hits.groupBy(*by).agg(
-        *[F.sum(F.when((F.col("feat") == j) & (F.col("q") == i), F.col("part"))).alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)]
-    )
+    # One array of (q, part) per column, then its members as columns.
+    each = hits.groupBy(*keys).agg(F.sum("part").alias("part")).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("q", "part"))).alias("parts"))
+    out = each.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, F.col("parts")), ignorenulls=True).alias(f"__m{j}") for j in range(len(cols))])
+    out = out.select(*by, *[F.col(f"__m{j}")[i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
     # Groups whose values are all unknown keep their row.
     return brackets.select(*by).join(out, by, "left") if by else out

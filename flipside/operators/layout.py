@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.functions.fitted import attach, drop_params, fit, materialise
+from flipside.functions.fitted import attach, drop_params, fit
 from flipside.functions.keyed import rand_normal
-from flipside.functions.ranks import positions
+from flipside.functions.ranks import positions, running_totals, value_buckets
+from flipside.session import checkpointed
 
 # Fixed value: deviation of the jitter on repeated query rows.
 JITTER_SD = 0.01
 
 
-def context_query_layout(pairs: DataFrame, features: Sequence[str], eval_pos: int, n_query: int, by: Sequence[str] = ("dataset_id",), key: str = "row_id", flip_only: bool = True, seed: int = 42) -> DataFrame:
+Places = int | Callable[[Column, Column], Column]
+
+
+def context_query_layout(pairs: DataFrame, features: Sequence[str], eval_pos: Places, n_query: Places, by: Sequence[str] = ("dataset_id",), key: str = "row_id", flip_only: bool = True, seed: int = 42) -> DataFrame:
     """Give each row its place: pos < eval_pos is context, the rest query.
 
     Flipped rows go first to the query slots, the others first to the context.
@@ -23,6 +27,9 @@ def context_query_layout(pairs: DataFrame, features: Sequence[str], eval_pos: in
     in turn with a little jitter on x; none (or flip_only off), so non-flipped
     rows fill up the queries.  y is the factual class in context rows and the
     counterfactual class in query rows.
+
+    `eval_pos` and `n_query` are numbers, or functions of a dataset's counts of
+    flipped and other rows.  Rows beyond the places asked for have none.
     """
     by = list(by)
     ordered = positions(pairs, [*by, "label_flipped"], key, "__i")
@@ -36,7 +43,7 @@ def context_query_layout(pairs: DataFrame, features: Sequence[str], eval_pos: in
     )
     rows = attach(ordered, sizes, by)
     i, nf, nk = F.col("__i"), F.col("__flipped"), F.col("__kept")
-    q, c = F.lit(n_query), F.lit(eval_pos)
+    q, c = (p(nf, nk).cast("long") if callable(p) else F.lit(p) for p in (n_query, eval_pos))
     enough = nf >= q
     cycling = ~enough & F.lit(flip_only) & (nf > 0)
     fill = q - nf  # query slots that non-flipped rows take when not cycling
@@ -93,20 +100,19 @@ def source_row_map(layout: DataFrame, by: Sequence[str] = ("dataset_id",), key:
 def context_ablation(layout: DataFrame, payload: Sequence[str], by: str = "dataset_id", random_seed: int | None = None) -> DataFrame:
     """Three variants per dataset: its own context, another dataset's context
     (the next one, or a keyed-random other one), and context labels set to 0."""
-    ids = layout.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
     from flipside.functions.keyed import text_uniform01
 
-    numbered = materialise(
-        ids.select(by, (F.row_number().over(W.orderBy(by)) - 1).alias("q"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    )
-    step = F.lit(1) if random_seed is None else F.lit(1) + F.floor(text_uniform01(random_seed, F.col(by), "other") * (F.col("n") - 1))
-    partner = materialise(
-        numbered.withColumn("w", F.pmod(F.col("q") + step, F.col("n"))).select(by, "w").join(
-            numbered.select(F.col(by).alias("__other"), F.col("q").alias("w")), "w"
-        ).select(F.col(by).alias("__for"), F.col("__other").alias(by))
-    )
+    # Datasets are numbered in order, in value buckets: names by the number that their first six bytes make.
+    named = layout.schema[by].dataType.typeName() == "string"
+    head = F.conv(F.rpad(F.hex(F.substring(F.col(by).cast("binary"), 1, 6)), 12, "0"), 16, 10) if named else F.col(by)
+    ids = layout.select(by).distinct().withColumn("__head", head.cast("double"))
+    n = ids.count()
+    ranked = running_totals(value_buckets(ids, "__head"), [], [F.col(by)], {"n": F.lit(1)})
+    numbered = checkpointed(ranked.select(by, (F.col("run_n") - 1).alias("q")))
+    step = F.lit(1) if random_seed is None else F.lit(1) + F.floor(text_uniform01(random_seed, F.col(by), "other") * F.lit(n - 1))
+    partner = numbered.withColumn("w", F.pmod(F.col("q") + step, F.lit(n))).select(by, "w").join(
+        numbered.select(F.col(by).alias("__other"), F.col("q").alias("w")), "w"
+    ).select(F.col(by).alias("__for"), F.col("__other").alias(by))
     cols = [by, "pos", "role", "y", *payload]
     base = layout.select(*cols)
     context, query = base.filter(F.col("role") == "context"), base.filter(F.col("role") == "query")

@@ -280,9 +280,16 @@ def scaling_grid(points: str | Column = "total_points", per_dataset: int = 200)
     }
 
 
-def param_grid(spark: SparkSession, lists: Mapping[str, Sequence]) -> DataFrame:
-    """Every combination of the named value lists (a configuration table)."""
-    out = spark.range(1).select()
+def param_grid(spark: SparkSession, lists: Mapping[str, Sequence | DataFrame]) -> DataFrame:
+    """Every combination of the named values (a configuration table).
+
+    Values are a list, or a table of one column whose distinct values count.
+    """
+    out = spark.range(1).select(F.lit(0).alias("__all"))
     for name, values in lists.items():
-        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return out
+        if isinstance(values, DataFrame):
+            # The join key is the same everywhere: the result has to hold every combination.
+            out = out.join(values.select(F.lit(0).alias("__all"), F.col(values.columns[0]).alias(name)).distinct(), "__all")
+        else:
+            out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out.drop("__all")

@@ -289,6 +289,18 @@ def h13(spark, sf):
     )
 
 
+# Places per dataset from its counts of flipped (nf) and other rows (nk), so that every row has one: half of the
+# flipped rows as queries; all of them, repeated in turn; or half of all rows as queries, filled up by others.
+_HALF = "(nf//2)::bigint as q, (nk+nf-nf//2)::bigint as c"
+_CYCLE = "(2*nf+1)::bigint as q, nk::bigint as c"
+_FILL = "((nf+nk+1)//2)::bigint as q, ((nf+nk)//2)::bigint as c"
+_PLACES = {
+    _HALF: (lambda nf, nk: nk + nf - F.floor(nf / 2), lambda nf, nk: F.floor(nf / 2)),
+    _CYCLE: (lambda nf, nk: nk, lambda nf, nk: 2 * nf + 1),
+    _FILL: (lambda nf, nk: F.floor((nf + nk) / 2), lambda nf, nk: F.floor((nf + nk + 1) / 2)),
+}
+
+
 def _layout_sql(flip_only: bool, strategy: str, share: str, extra: str) -> str:
     """Layout where every dataset's rows are split: half context, half query."""
     jit = ", ".join(
@@ -317,35 +329,36 @@ _DM = ", ".join([f"d_{f}" for f in FEATURES] + [f"m_{f}" for f in FEATURES])
 _LAY_OUT = "dataset_id, pos, role, row_id, y, " + ", ".join(R(f, f) for f in FEATURES)
 
 
-def _layout(spark, sf, strategy, eval_pos, n_query, flip_only=True):
+def _layout(spark, sf, strategy, places, flip_only=True):
     made = pairs(spark, sf, strategy)
+    eval_pos, n_query = _PLACES[places]
     return layout.context_query_layout(made, FEATURES, eval_pos, n_query, BY, flip_only=flip_only, seed=SEED)
 
 
 @query(
     "h14_context_query_layout",
-    _layout_sql(True, "uniform_random", "100 as q, 1000 as c", _DM) + f" select {_LAY_OUT} from lay_",
+    _layout_sql(True, "uniform_random", _HALF, _DM) + f" select {_LAY_OUT} from lay_",
 )
 def h14(spark, sf):
-    return rounded(_layout(spark, sf, "uniform_random", 1000, 100).select("dataset_id", "pos", "role", "row_id", "y", *FEATURES))
+    return rounded(_layout(spark, sf, "uniform_random", _HALF).select("dataset_id", "pos", "role", "row_id", "y", *FEATURES))
 
 
 @query(
     "h14_context_query_layout_mixed",
-    _layout_sql(False, "gradient_guided", "1000 as q, 1000 as c", _DM) + f" select {_LAY_OUT} from lay_",
+    _layout_sql(False, "gradient_guided", _FILL, _DM) + f" select {_LAY_OUT} from lay_",
 )
 def h14_mixed(spark, sf):
     return rounded(
-        _layout(spark, sf, "gradient_guided", 1000, 1000, False).select("dataset_id", "pos", "role", "row_id", "y", *FEATURES)
+        _layout(spark, sf, "gradient_guided", _FILL, False).select("dataset_id", "pos", "role", "row_id", "y", *FEATURES)
     )
 
 
 @query(
     "h15_fill_queries_by_cycling",
-    _layout_sql(True, "gradient_guided", "1000 as q, 1000 as c", _DM) + f" select {_LAY_OUT} from lay_ where role='query'",
+    _layout_sql(True, "gradient_guided", _CYCLE, _DM) + f" select {_LAY_OUT} from lay_ where role='query'",
 )
 def h15(spark, sf):
-    lay = _layout(spark, sf, "gradient_guided", 1000, 1000).filter("role = 'query'")
+    lay = _layout(spark, sf, "gradient_guided", _CYCLE).filter("role = 'query'")
     return rounded(lay.select("dataset_id", "pos", "role", "row_id", "y", *FEATURES))
 
 
@@ -354,25 +367,25 @@ _TARGET_SQL = ", ".join([f"round(d_{f},6)+0.0::double" for f in FEATURES] + [f"m
 
 @query(
     "h16_encode_targets",
-    _layout_sql(True, "uniform_random", "100 as q, 1000 as c", _DM) + f" select dataset_id, pos, [{_TARGET_SQL}] as target from lay_",
+    _layout_sql(True, "uniform_random", _HALF, _DM) + f" select dataset_id, pos, [{_TARGET_SQL}] as target from lay_",
 )
 def h16(spark, sf):
-    lay = _layout(spark, sf, "uniform_random", 1000, 100).withColumn("target", layout.encode_targets(FEATURES))
+    lay = _layout(spark, sf, "uniform_random", _HALF).withColumn("target", layout.encode_targets(FEATURES))
     return lay.select("dataset_id", "pos", F.transform("target", lambda v: F.round(v, 6) + 0.0).alias("target"))
 
 
 @query(
     "h17_source_row_map",
-    _layout_sql(True, "uniform_random", "100 as q, 1000 as c", _DM)
+    _layout_sql(True, "uniform_random", _HALF, _DM)
     + " select dataset_id, pos, row_id as source_row from lay_ where role='query'",
 )
 def h17(spark, sf):
-    return layout.source_row_map(_layout(spark, sf, "uniform_random", 1000, 100))
+    return layout.source_row_map(_layout(spark, sf, "uniform_random", _HALF))
 
 
 @query(
     "h18_context_ablation",
-    _layout_sql(True, "uniform_random", "100 as q, 1000 as c", _DM)
+    _layout_sql(True, "uniform_random", _HALF, _DM)
     + """, id_ as (select dataset_id, row_number() over (order by dataset_id)-1 as q, count(*) over () as n from (select distinct dataset_id from lay_)),
 mp_ as (select a.dataset_id as tgt, b.dataset_id as src from id_ a join id_ b on b.q = (a.q+1) % a.n),
 v_ as (select 'correct' as variant, dataset_id, pos, role, y, f_0 from lay_
@@ -382,7 +395,7 @@ v_ as (select 'correct' as variant, dataset_id, pos, role, y, f_0 from lay_
     + f" select variant, dataset_id, pos, role, y, {R('f_0', 'f_0')} from v_",
 )
 def h18(spark, sf):
-    lay = _layout(spark, sf, "uniform_random", 1000, 100)
+    lay = _layout(spark, sf, "uniform_random", _HALF)
     return rounded(layout.context_ablation(lay, ["f_0"]))
 
 
