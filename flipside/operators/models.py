@@ -7,11 +7,14 @@ trial and the chosen settings.
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -19,13 +22,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flipside.functions.fitted import materialise
 from flipside.operators import metrics as L
 from flipside.operators.missing import impute_mean
 from flipside.operators.neighbours import knn_predict
 from flipside.operators.splits import kfold
 from flipside.operators.transforms import minmax, one_hot
-from flipside.sources.results import pending_jobs
+from flipside.session import checkpointed
+from flipside.sources.results import pending_jobs, read_results
 
 
 def preprocess(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), fit_on: Column | None = None, impute: bool = True, use_one_hot: bool = False, scale: bool = False) -> tuple[DataFrame, list[str]]:
@@ -45,45 +48,63 @@ def preprocess(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]
 
 @dataclass(frozen=True)
 class Model:
+    """An estimator, its search space (value lists, or bounds of a log-uniform
+    number) and the preprocessing that `fit` does for it."""
+
     build: Callable[..., object]
-    space: Mapping[str, Sequence]
+    space: Mapping[str, Sequence | LogUniform]
     one_hot: bool = False
     scale: bool = False
     task: str = "classification"
 
 
-def _logistic(classes: int, **p):
+@dataclass(frozen=True)
+class LogUniform:
+    low: float
+    high: float
+
+
+def _logistic(classes: int, rows: int, **p):
+    """C is the inverse weight of the penalty on the summed loss, which MLlib averages over the rows."""
+    penalty = p.get("penalty", "l2")
     return LogisticRegression(
         maxIter=p.get("max_iter", 50),
-        regParam=1.0 / max(p.get("C", 1.0), 1e-9) * 1e-3,
-        elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0,
+        regParam=0.0 if penalty == "none" else 1.0 / (p.get("C", 1.0) * max(rows, 1)),
+        elasticNetParam=1.0 if penalty == "l1" else 0.0,
+        fitIntercept=p.get("fit_intercept", True),
+        standardization=False,
         family="binomial" if classes == 2 else "multinomial",
     )
 
 
-def _forest(classes: int, **p):
+def _forest(classes: int, rows: int, **p):
     return RandomForestClassifier(numTrees=p.get("trees", 20), maxDepth=p.get("depth", 5), seed=p.get("seed", 0))
 
 
-def _boosting(classes: int, **p):
+def _boosting(classes: int, rows: int, **p):
     gbt = GBTClassifier(maxIter=p.get("rounds", 10), maxDepth=p.get("depth", 3), stepSize=p.get("step", 0.1), seed=p.get("seed", 0))
     return gbt if classes == 2 else OneVsRest(classifier=gbt)
 
 
-def _ridge(classes: int, **p):
+def _ridge(classes: int, rows: int, **p):
     return LinearRegression(regParam=p.get("alpha", 1.0), elasticNetParam=0.0)
 
 
 MODELS: dict[str, Model] = {
-    "logistic": Model(_logistic, {"C": [0.1, 1.0, 10.0], "penalty": ["l2", "l1"], "max_iter": [50, 100]}, one_hot=True, scale=True),
+    "logistic": Model(
+        _logistic,
+        {"C": LogUniform(1e-5, 1e5), "penalty": ["l2", "l1", "none"], "max_iter": [50, 100, 200], "fit_intercept": [True, False]},
+        one_hot=True, scale=True,
+    ),
     "random_forest": Model(_forest, {"trees": [10, 20, 40], "depth": [3, 5, 8]}),
     "gradient_boosting": Model(_boosting, {"rounds": [5, 10, 20], "depth": [2, 3, 5], "step": [0.05, 0.1, 0.3]}),
-    "knn": Model(lambda classes, **p: p.get("k", 5), {"k": [1, 3, 5, 9, 15]}, one_hot=True, scale=True),
+    "knn": Model(lambda classes, rows, **p: p.get("k", 5), {"k": [1, 3, 5, 9, 15]}, one_hot=True, scale=True),
     "ridge": Model(_ridge, {"alpha": [0.01, 0.1, 1.0, 10.0]}, task="regression"),
-}
+}
 
 
-def register_model(name: str, build: Callable[..., object], space: Mapping[str, Sequence], **flags) -> None:
+def register_model(name: str, build: Callable[..., object], space: Mapping[str, Sequence | LogUniform], **flags) -> None:
+    """Add a user model: build(classes, rows, **params) -> MLlib estimator."""
     MODELS[name] = Model(build, space, **flags)
 
 
@@ -91,26 +112,42 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, params: Mapping | None = None) -> DataFrame:
-    """(key, probs) for the test rows, or (key, pred) for a regression."""
+def _prepared(model: Model, train: DataFrame, test: DataFrame, cols: Sequence[str], categorical: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Train and test rows after the model's own preprocessing, fitted on the train rows."""
+    wanted = [*dict.fromkeys([*keep, *cols, *categorical])]
+    shared = [c for c in wanted if c in test.columns]
+    rows = train.select(*wanted).withColumn("__fit", F.lit(True)).unionByName(test.select(*shared).withColumn("__fit", F.lit(False)), allowMissingColumns=True)
+    out, names = preprocess(rows, cols, categorical if model.one_hot else (), F.col("__fit"), use_one_hot=model.one_hot, scale=model.scale)
+    return out.filter("__fit"), out.filter("not __fit"), names
+
+
+def fit(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, params: Mapping | None = None, categorical: Sequence[str] = ()) -> Callable[[], DataFrame]:
+    """Fits now; the returned function predicts (key, probs) for the test rows, or (key, pred) for a regression."""
     params = dict(params or {})
     model = MODELS[name]
+    train, test, cols = _prepared(model, train, test, cols, categorical, [key, label])
+    est = model.build(classes, train.count(), **params)
     if name == "knn":
         arr = F.array(*[F.col(c).cast("double") for c in cols]).alias("features")
-        k = model.build(classes, **params)
-        return knn_predict(train.select(key, label, arr), test.select(key, arr), "features", label, key, classes, k)
-    est = model.build(classes, **params)
-    tr = _vectors(train.withColumn("label", F.col(label).cast("double")), cols).select("features", "label")
-    fitted = est.fit(tr)
-    scored = fitted.transform(_vectors(test, cols).select(key, "features"))
-    if model.task == "regression":
-        return scored.select(key, F.col("prediction").alias("pred"))
-    if "probability" in scored.columns:
-        return scored.select(key, vector_to_array("probability").alias("probs"))
-    raw = vector_to_array("rawPrediction")
-    odds = F.transform(raw, lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * v)))
-    whole = F.aggregate(odds, F.lit(0.0), lambda a, v: a + v)
-    return scored.select(key, odds.alias("o"), whole.alias("w")).select(key, F.transform("o", lambda v: v / F.col("w")).alias("probs"))
+        return lambda: knn_predict(train.select(key, label, arr), test.select(key, arr), "features", label, key, classes, est)
+    fitted = est.fit(_vectors(train.withColumn("label", F.col(label).cast("double")), cols).select("features", "label"))
+
+    def predict() -> DataFrame:
+        scored = fitted.transform(_vectors(test, cols).select(key, "features"))
+        if model.task == "regression":
+            return scored.select(key, F.col("prediction").alias("pred"))
+        if "probability" in scored.columns:
+            return scored.select(key, vector_to_array("probability").alias("probs"))
+        raw = vector_to_array("rawPrediction")
+        odds = F.transform(raw, lambda v: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * v)))
+        whole = F.aggregate(odds, F.lit(0.0), lambda a, v: a + v)
+        return scored.select(key, odds.alias("o"), whole.alias("w")).select(key, F.transform("o", lambda v: v / F.col("w")).alias("probs"))
+
+    return predict
+
+
+def fit_predict(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, params: Mapping | None = None, categorical: Sequence[str] = ()) -> DataFrame:
+    return fit(name, train, test, cols, label, key, classes, params, categorical)()
 
 
 def score(pred: DataFrame, truth: DataFrame, key: str, label: str, metric: str) -> float | None:
@@ -128,75 +165,96 @@ def score(pred: DataFrame, truth: DataFrame, key: str, label: str, metric: str)
 
 @dataclass
 class Tuned:
+    """Seconds of the last fit and of its predictions, without the search; `failed` lists settings that could not be fitted."""
+
     params: dict
     cv_score: float | None
     fit_s: float
     predict_s: float
     trials: int
     predictions: DataFrame | None
-    error: str | None = None
+    failed: list[str]
+
 
+def sample_space(space: Mapping[str, Sequence | LogUniform], seed: int) -> Iterator[dict]:
+    """All settings of a finite space in seeded random order, endless draws of another."""
+    rng = random.Random(seed)
+    if not any(isinstance(v, LogUniform) for v in space.values()):
+        grid = [dict(zip(space, v)) for v in itertools.product(*space.values())]
+        rng.shuffle(grid)
+        yield from grid
+        return
+    while True:
+        yield {k: math.exp(rng.uniform(math.log(v.low), math.log(v.high))) if isinstance(v, LogUniform) else rng.choice(v) for k, v in space.items()}
 
-def sample_space(space: Mapping[str, Sequence], seed: int) -> list[dict]:
-    """All settings of a finite space in seeded random order."""
-    grid = [dict(zip(space, v)) for v in itertools.product(*space.values())]
-    random.Random(seed).shuffle(grid)
-    return grid
 
+# What a setting that does not suit the data raises; programming errors pass through.
+UNFIT = (PySparkException, Py4JJavaError, ValueError, ArithmeticError)
 
-def tune(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, metric: str = "cross_entropy", max_time: float = 60.0, max_evals: int = 5, folds: int = 5, seed: int = 0) -> Tuned:
-    """Random search scored by cross-validation.
+
+def tune(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, metric: str = "cross_entropy", max_time: float = 60.0, max_evals: int | None = None, folds: int = 5, seed: int = 0, categorical: Sequence[str] = ()) -> Tuned:
+    """Random search scored by cross-validation, until the time, the trials or the space are used up.
 
     The default settings are scored first and kept unless another setting is
-    better; a failure gives an empty result instead of an error.
+    better; a trial that fails is skipped.
     """
-    started = time.time()
-    try:
-        cv = materialise(kfold(train, [], key, seed, folds))
-        k = cv.agg(F.max("fold")).first()[0] + 1
+    started, failed = time.time(), []
+    cv = checkpointed(kfold(train, [], key, seed, folds))
+    k = cv.agg(F.max("fold")).first()[0] + 1
 
-        def cross_validate(params: dict) -> float:
-            got = []
+    def cross_validate(params: dict) -> float:
+        got = []
+        try:
             for i in range(k):
                 part = cv.filter(F.col("fold") == i)
-                pred = fit_predict(name, cv.filter(F.col("fold") != i), part, cols, label, key, classes, params)
+                pred = fit_predict(name, cv.filter(F.col("fold") != i), part, cols, label, key, classes, params, categorical)
                 got.append(score(pred, part, key, label, metric))
-            known = [g for g in got if g is not None]
-            return sum(known) / len(known) if known else float("-inf")
-
-        best, best_score, trials = {}, cross_validate({}), 1
-        for params in sample_space(MODELS[name].space, seed):
-            if trials >= max_evals or time.time() - started > max_time:
-                break
-            s = cross_validate(params)
-            trials += 1
-            if s > best_score:
-                best, best_score = params, s
-        t0 = time.time()
-        pred = fit_predict(name, train, test, cols, label, key, classes, best)
-        t1 = time.time()
-        pred = materialise(pred)
-        return Tuned(best, best_score, t1 - started, time.time() - t1, trials, pred)
-    except Exception as e:  # noqa: BLE001 - a failed method must not end the evaluation
-        return Tuned({}, None, time.time() - started, 0.0, 0, None, f"{type(e).__name__}: {e}"[:300])
-
-
-def evaluate_methods(spark: SparkSession, jobs: DataFrame, done: DataFrame | None, run: Callable[[dict], DataFrame | None]) -> DataFrame | None:
-    """Run every job of the grid that has no stored result yet.
+        except UNFIT as e:
+            failed.append(f"{params}: {type(e).__name__}: {e}"[:300])
+        known = [g for g in got if g is not None]
+        return sum(known) / len(known) if len(got) == k and known else float("-inf")
+
+    best, best_score, trials = {}, cross_validate({}), 1
+    for params in sample_space(MODELS[name].space, seed):
+        if (max_evals is not None and trials >= max_evals) or time.time() - started > max_time:
+            break
+        s = cross_validate(params)
+        trials += 1
+        if s > best_score:
+            best, best_score = params, s
+    if best_score == float("-inf"):
+        return Tuned({}, None, 0.0, 0.0, trials, None, failed)
+    t0 = time.time()
+    predict = fit(name, train, test, cols, label, key, classes, best, categorical)
+    t1 = time.time()
+    pred = checkpointed(predict())
+    return Tuned(best, best_score, t1 - t0, time.time() - t1, trials, pred, failed)
+
+
+JOB = ["method", "dataset_id", "eval_pos", "max_time", "split"]
+
+
+def evaluate_methods(spark: SparkSession, jobs: DataFrame, store: str, run: Callable[[dict], DataFrame | None], budget: float | None = None) -> DataFrame | None:
+    """Run every job that the store lacks and return the stored rows of all jobs (None: there are none).
 
     `jobs` is the small table (method, dataset_id, eval_pos, max_time, split);
-    `run(job)` returns prediction rows or None for a failed job.
+    `run(job)` returns prediction rows, with fit_s and predict_s where it
+    measures them, or None for a failed job.  A job's rows are stored when it
+    ends, so an evaluation that is started again goes on where it stopped.
+    After `budget` seconds no further job starts.
     """
-    keys = ["method", "dataset_id", "eval_pos", "max_time", "split"]
-    todo = jobs if done is None else pending_jobs(jobs, done, keys)
-    out = None
-    for job in todo.orderBy(*keys).toLocalIterator():
+    started = time.time()
+    stored = read_results(spark, store)
+    todo = jobs if stored is None else pending_jobs(jobs, stored.select(*JOB).distinct(), JOB)
+    for job in todo.select(*JOB).orderBy(*JOB).toLocalIterator():
+        if budget is not None and time.time() - started > budget:
+            break
         part = run(job.asDict())
-        if part is None:
-            continue
-        tagged = part.withColumns({k: F.lit(job[k]) for k in keys})
-        out = tagged if out is None else out.unionByName(tagged)
-    return out
+        if part is not None:
+            tagged = part.withColumns({k: F.lit(job[k]) for k in JOB})
+            tagged.write.mode("append").partitionBy("method", "dataset_id").parquet(store)
+    stored = read_results(spark, store)
+    return None if stored is None else stored.join(jobs.select(*JOB), JOB, "left_semi")
 
 
 def score_grid(bounds: DataFrame, a: str, b: str, resolution: int, eps: float, score_of: Callable[[Column, Column], Column]) -> DataFrame:

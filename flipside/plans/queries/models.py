@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import functions as F
 
 from flipside.functions.keyed import uniform01
@@ -10,6 +13,7 @@ from flipside.operators.neighbours import knn_predict
 from flipside.operators.splits import keyed_shuffle, learning_curve
 from flipside.plans.inputs import FEATURES, OF_SQL, SEED, SCORE, U, WEIGHTS, Z_SQL, embedding_points, order_features, s, scored_orders
 from flipside.plans.registry import R, query, rounded
+from flipside.session import checkpoint_dir, checkpointed
 
 _SD = str(SEED)
 _TRAIN = U(_SD, "row_id", s("train")) + " < 0.5::double"
@@ -40,28 +44,34 @@ def _orders(spark, sf):
     return out.filter("tr"), out.filter("not tr")
 
 
-def _scored(spark, sf, name, classes=2):
-    train, test = _orders(spark, sf)
-    pred = O.fit_predict(name, train, test, FEATURES, "cls", "row_id", classes)
-    return rounded(
-        pred.join(test.select("row_id", F.col("cls").alias("y")), "row_id")
-        .agg(F.lit(name).alias("method"), O.L.accuracy().alias("accuracy"), O.L.cross_entropy().alias("cross_entropy"), F.count(F.lit(1)).alias("n"))
+_TEST = f"{Z_SQL}, e_ as (select * from so_ where not ({_TRAIN}))"
+
+
+def _facts(pred, test):
+    """What SQL can state of a fit: rows, probabilities that add up, better than the most frequent class and than its share."""
+    rows = pred.join(test.select("row_id", F.col("cls").alias("y")), "row_id")
+    total = F.aggregate("probs", F.lit(0.0), lambda a, v: a + v)
+    most = F.greatest(F.avg("y"), 1 - F.avg("y"))
+    chance = -(F.avg("y") * F.log(F.avg("y")) + (1 - F.avg("y")) * F.log(1 - F.avg("y")))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.abs(total - 1) < 1e-9).alias("adds_up"), (O.L.accuracy() > most).alias("beats_majority"), (O.L.cross_entropy() < chance).alias("informative")
     )
 
 
-@query("o2_logistic")
-def o2(spark, sf):
-    return _scored(spark, sf, "logistic")
+def _facts_sql(method: str) -> str:
+    return f"with {_TEST} select '{method}' as method, count(*) as n, true as adds_up, true as beats_majority, true as informative from e_"
 
 
-@query("o3_random_forest")
-def o3(spark, sf):
-    return _scored(spark, sf, "random_forest")
+def _model_query(query_name, name):
+    @query(query_name, _facts_sql(name))
+    def run(spark, sf, name=name):
+        train, test = _orders(spark, sf)
+        pred = O.fit_predict(name, train, test, FEATURES, "cls", "row_id", 2)
+        return _facts(pred, test).withColumn("method", F.lit(name))
 
 
-@query("o4_gradient_boosting")
-def o4(spark, sf):
-    return _scored(spark, sf, "gradient_boosting")
+for _q, _m in (("o2_logistic", "logistic"), ("o3_random_forest", "random_forest"), ("o4_gradient_boosting", "gradient_boosting")):
+    _model_query(_q, _m)
 
 
 _KNN = f"""with r_ as (select vec_id as row_id, label, embedding, {U(_SD, 'vec_id', s('train'))} < 0.5::double as tr from embeddings),
@@ -79,32 +89,29 @@ def o5(spark, sf):
     return out.select("row_id", F.transform("probs", lambda v: F.round(v, 6) + 0.0).alias("probs"))
 
 
-@query("o6_ridge")
+@query("o6_ridge", f"with {_TEST} select count(*) as n, true as explains from e_")
 def o6(spark, sf):
+    """The target is a sum of features, so a weak penalty leaves next to nothing unexplained."""
     rows = scored_orders(spark, sf).withColumn("tr", _is_train())
-    out, _ = O.preprocess(rows, FEATURES, fit_on=F.col("tr"))
-    pred = O.fit_predict("ridge", out.filter("tr"), out.filter("not tr"), FEATURES, "y", "row_id", 0, {"alpha": 0.01})
-    return rounded(pred.join(out.select("row_id", "y"), "row_id").agg(O.L.rmse("pred", "y").alias("rmse"), F.count(F.lit(1)).alias("n")), 4)
+    pred = O.fit_predict("ridge", rows.filter("tr"), rows.filter("not tr"), FEATURES, "y", "row_id", 0, {"alpha": 0.01})
+    return pred.join(rows.select("row_id", "y"), "row_id").agg(F.count(F.lit(1)).alias("n"), (O.L.rmse("pred", "y") < 0.1 * F.stddev_samp("y")).alias("explains"))
 
 
-@query("o7_tune")
+@query("o7_tune", f"with {_TEST} select count(*) as n, true as adds_up, true as beats_majority, true as informative, 3 as trials, 0 as failed from e_")
 def o7(spark, sf):
     train, test = _orders(spark, sf)
-    train = O.materialise(train.select("row_id", "cls", *FEATURES))
-    got = O.tune("logistic", train, test, FEATURES, "cls", "row_id", 2, max_evals=2, folds=3)
-    if got.error:
-        raise RuntimeError(got.error)
-    return rounded(
-        got.predictions.join(test.select("row_id", F.col("cls").alias("y")), "row_id").agg(
-            F.lit(str(got.params)).alias("params"), F.lit(got.trials).alias("trials"), O.L.accuracy().alias("accuracy")
-        )
-    )
+    got = O.tune("logistic", train, test, FEATURES, "cls", "row_id", 2, max_time=600.0, max_evals=3, folds=5)
+    return _facts(got.predictions, test).withColumns({"trials": F.lit(got.trials), "failed": F.lit(len(got.failed))})
 
 
-@query("o8_evaluate_methods")
+@query(
+    "o8_evaluate_methods",
+    f"""with {_TEST}, m_ as (select unnest(['logistic', 'random_forest']) as method)
+select method, dataset_id, count(*) as n, true as timed, 10 as first_fits, 0 as second_fits from e_ cross join m_ group by method, dataset_id""",
+)
 def o8(spark, sf):
-    train, test = _orders(spark, sf)
-    train, test = O.materialise(train), O.materialise(test)
+    """Two methods on every dataset, twice over one store: the second evaluation fits nothing."""
+    train, test = (checkpointed(x) for x in _orders(spark, sf))
     jobs = train.select("dataset_id").distinct().select(
         F.explode(F.array(F.lit("logistic"), F.lit("random_forest"))).alias("method"),
         "dataset_id",
@@ -112,16 +119,25 @@ def o8(spark, sf):
         F.lit(60).alias("max_time"),
         F.lit(1).alias("split"),
     )
-    # The forest already has its results for two datasets.
-    done = jobs.filter("method = 'random_forest' and dataset_id < 'C'")
+    store = f"{checkpoint_dir(spark).rstrip('/')}/evaluation-{uuid.uuid4().hex}"
+    fits = []
 
     def run(job):
         own = F.col("dataset_id") == job["dataset_id"]
-        pred = O.fit_predict(job["method"], train.filter(own), test.filter(own), FEATURES, "cls", "row_id", 2, {"trees": 5, "depth": 3, "max_iter": 10})
-        return pred.join(test.filter(own).select("row_id", F.col("cls").alias("y")), "row_id")
-
-    out = O.evaluate_methods(spark, jobs, done, run)
-    return rounded(out.groupBy("method", "dataset_id").agg(O.L.accuracy().alias("accuracy"), F.count(F.lit(1)).alias("n")))
+        fits.append(job)
+        t0 = time.time()
+        predict = O.fit(job["method"], train.filter(own), test.filter(own), FEATURES, "cls", "row_id", 2)
+        t1 = time.time()
+        pred = checkpointed(predict())
+        times = {"fit_s": F.lit(t1 - t0), "predict_s": F.lit(time.time() - t1)}
+        return pred.join(test.filter(own).select("row_id", F.col("cls").alias("y")), "row_id").withColumns(times)
+
+    O.evaluate_methods(spark, jobs, store, run)
+    first = len(fits)
+    out = O.evaluate_methods(spark, jobs, store, run)
+    return out.groupBy("method", "dataset_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min((F.col("fit_s") > 0) & (F.col("predict_s") > 0)).alias("timed"), F.lit(first).alias("first_fits"), F.lit(len(fits) - first).alias("second_fits")
+    )
 
 
 @query(
@@ -137,17 +153,27 @@ def o9(spark, sf):
     return rounded(O.score_grid(b, "f_0", "f_4", 20, 0.5, lambda x, z: x * WEIGHTS["f_0"] + z * WEIGHTS["f_4"]))
 
 
-@query("c7_learning_curve")
+_SHARES = [0.1, 0.4, 1.0]
+
+
+@query(
+    "c7_learning_curve",
+    f"""with {OF_SQL}, n_ as (select count(*) as n from of_), m_ as (select unnest(['logistic', 'random_forest']) as method), h_ as (select unnest({_SHARES}) as share)
+select method, floor(share*((n+1)//2))::int as size, 2 as splits, true as better_than_chance from n_ cross join m_ cross join h_""",
+)
 def c7(spark, sf):
+    """Sizes are shares of the train half; the score is the mean over two splits."""
     train, test = _orders(spark, sf)
-    rows = O.materialise(keyed_shuffle(train.unionByName(test).select("row_id", "cls", *FEATURES), [], "row_id", SEED))
+    whole = checkpointed(train.unionByName(test).select("row_id", "cls", *FEATURES))
+    half = (whole.count() + 1) // 2
     out = []
-    for method in ("logistic", "random_forest"):
+    for split in (1, 2):
+        rows = checkpointed(keyed_shuffle(whole, [], "row_id", SEED + split))
+        for method in ("logistic", "random_forest"):
 
-        def fit_and_score(tr, te, method=method):
-            pred = O.fit_predict(method, tr, te, FEATURES, "cls", "row_id", 2, {"max_iter": 10, "trees": 5, "depth": 3})
-            return O.score(pred, te, "row_id", "cls", "accuracy")
+            def fit_and_score(tr, te, method=method):
+                return O.score(O.fit_predict(method, tr, te, FEATURES, "cls", "row_id", 2), te, "row_id", "cls", "accuracy")
 
-        out += [(method, n, v) for n, v in learning_curve(rows, [100, 400], fit_and_score)]
-    table = spark.createDataFrame(out, "method string, size int, score double")
-    return rounded(table.groupBy("method", "size").agg(F.avg("score").alias("accuracy")))
+            out += [(method, split, n, v) for n, v in learning_curve(rows, [int(x * half) for x in _SHARES], fit_and_score)]
+    scores = spark.createDataFrame(out, "method string, split int, size int, score double")
+    return scores.groupBy("method", "size").agg(F.count(F.lit(1)).cast("int").alias("splits"), (F.avg("score") > 0.6).alias("better_than_chance"))
