@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from flipside.llm.common import crc_fold, written
 
 U64 = np.uint64
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000  # frequent words come early; later ones are hashed each time
 END, START = U64(0x656E64), U64(0x7374617274)
 RATIO_STEPS = 16  # bins per factor of two of an estimate over the uniform one, for the held-out counts
 
@@ -56,9 +56,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
 
@@ -89,15 +89,26 @@ def bigram_keys(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return mix(before * U64(0x9E3779B97F4A7C15) + mix(tokens)) & ~U64(1)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and each value's place among them (one sort; np.unique hashes, which is slower here)."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
 @dataclass
 class Batch:
-    """Documents of one batch with their n-gram keys; `keys` are the distinct ones, sorted."""
+    """Documents of one batch: `keys` are their distinct n-grams, sorted; uni and bi are the tokens' places there."""
 
     lengths: np.ndarray
     firsts: np.ndarray
+    keys: np.ndarray
     uni: np.ndarray
     bi: np.ndarray
-    keys: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str]) -> Batch:
@@ -105,11 +116,8 @@ class Batch:
         lengths = np.array([len(p) for p in parts], np.int64)
         tokens = np.concatenate(parts) if parts else np.zeros(0, U64)
         firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if parts else np.zeros(0, np.int64)
-        uni, bi = unigram_keys(tokens), bigram_keys(tokens, firsts)
-        return cls(lengths, firsts, uni, bi, np.unique(np.concatenate([uni, bi])))
-
-    def where(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, keys)
+        keys, place = distinct(np.concatenate([unigram_keys(tokens), bigram_keys(tokens, firsts)]))
+        return cls(lengths, firsts, keys, place[: len(tokens)], place[len(tokens) :])
 
 
 def _texts(column) -> list[str]:
@@ -124,7 +132,7 @@ def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
     number, deleted = table.column("batch")[0].as_py(), table.column("deleted")[0].as_py()
     b = Batch.of(_texts(table.column("text")))
     learns = np.repeat(np.asarray(table.column("learns").combine_chunks().cast(pa.int8())), b.lengths).astype(bool)
-    places = np.concatenate([b.where(b.uni[learns]), b.where(b.bi[learns])])
+    places = np.concatenate([b.uni[learns], b.bi[learns]])
     counts = np.bincount(places, minlength=len(b.keys)).astype(np.uint32)
     part = (b.keys >> U64(32)) * U64(parts) >> U64(32)  # rises with the key
     cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -142,12 +150,12 @@ def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not rows:
         return
     keys = [np.frombuffer(r["keys"], U64) for r in rows]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    found, at = distinct(np.concatenate(keys))
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
     kept = np.where(np.repeat([r["deleted"] for r in rows], [len(k) for k in keys]), 0, counts)
-    total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.int64)
-    rest = np.bincount(at, weights=kept, minlength=len(distinct)).astype(np.int64)
-    word = (distinct & U64(1)).astype(bool)
+    total = np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
+    rest = np.bincount(at, weights=kept, minlength=len(found)).astype(np.int64)
+    word = (found & U64(1)).astype(bool)
     facts = [int(total[word].sum()), int((total[word] > 0).sum()), int(rest[word].sum()), int((rest[word] > 0).sum())]
     start = 0
     for i, (r, k) in enumerate(zip(rows, keys)):
@@ -204,12 +212,14 @@ def _held_out_counts(batches: Iterator[pa.RecordBatch], total: int, types: int,
     if met is None:
         return
     _, _, b, counts = met
-    c1, c12 = counts[b.where(b.uni)].astype(np.int64), counts[b.where(b.bi)].astype(np.int64)
+    c1, c12 = counts[b.uni].astype(np.int64), counts[b.bi].astype(np.int64)
     context = _context_counts(b, c1, starts)
     uniform = 1.0 / (types + 1)
-    bins = np.stack([bucket_of(context), _bins(c12 / np.maximum(context, 1), uniform), _bins(c1 / max(total, 1), uniform)], axis=1)
-    distinct, times = np.unique(bins, axis=0, return_counts=True)
-    cols = [pa.array(distinct[:, i], pa.int64()) for i in range(3)]
+    bins = [bucket_of(context), _bins(c12 / np.maximum(context, 1), uniform), _bins(c1 / max(total, 1), uniform)]
+    shift = 1 << 20  # bins lie far within 20 bits to both sides
+    found, at = distinct((bins[0] << 42) + ((bins[1] + shift // 2) << 21) + bins[2] + shift // 2)
+    times = np.bincount(at)
+    cols = [pa.array(c, pa.int64()) for c in (found >> 42, ((found >> 21) & (2 * shift - 1)) - shift // 2, (found & (2 * shift - 1)) - shift // 2)]
     yield pa.RecordBatch.from_arrays([*cols, pa.array(times, pa.int64())], names=["bucket", "r2", "r1", "times"])
 
 
@@ -242,7 +252,7 @@ def _score(batches: Iterator[pa.RecordBatch], total: int, types: int, starts: in
     if met is None:
         return
     ids, held, b, counts = met
-    c1, c12 = counts[b.where(b.uni)].astype(np.int64), counts[b.where(b.bi)].astype(np.int64)
+    c1, c12 = counts[b.uni].astype(np.int64), counts[b.bi].astype(np.int64)
     context = _context_counts(b, c1, starts)
     known = sorted(weights)
     table = np.array([weights.get(i) or weights[min(known, key=lambda k: abs(k - i))] if known else (0.4, 0.4, 0.2) for i in range(66)])
