@@ -30,12 +30,12 @@ from flipside.llm.common import written
 class PartitionConfig:
     rows_per_part: int = 1500
     most_parts: int = 256
-    sample_per_part: int = 64  # sampled rows to learn from, 16,384 at most
+    sample_per_part: int = 256  # sampled rows to learn from, 16,384 at most
     graph_neighbours: int = 10
     hidden: int = 128
-    epochs: int = 30
-    mass: float = 0.99  # probe the most probable parts up to this share of probability
-    least_share: float = 0.2  # and at least this share of the parts
+    epochs: int = 20
+    mass: float = 0.998  # probe the most probable parts up to this share of probability
+    least_probes: int = 10  # and at least so many parts
     block: int = 4096
     seed: int = 1
 
@@ -181,7 +181,7 @@ def _probe(batches: Iterator[pa.RecordBatch], router: Router | None, sizes: np.n
             order = np.argsort(-p, axis=1, kind="stable")
             sure = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
             rows_so_far = np.cumsum(sizes[order], axis=1)
-            first = np.arange(p.shape[1]) < math.ceil(cfg.least_share * p.shape[1])
+            first = np.arange(p.shape[1]) < cfg.least_probes
             # A part is visited while those before it are too few, too improbable or hold too few rows.
             before = np.hstack([np.zeros((len(p), 1)), sure[:, :-1]]) < cfg.mass
             few = np.hstack([np.zeros((len(p), 1)), rows_so_far[:, :-1]]) < least
@@ -192,7 +192,7 @@ def _probe(batches: Iterator[pa.RecordBatch], router: Router | None, sizes: np.n
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The k best classes of a block for each query of a chunk: (qid, cid, score)."""
+    """One row per query of a chunk: its k best classes of a block (qid, cids, scores)."""
     for group in key_runs(batches, 3):
         query = np.asarray(group.column(3)).astype(bool)
         if not query.any() or query.all():
@@ -204,8 +204,20 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         best = np.argpartition(-score, many - 1, axis=1)[:, :many]
         # The measure again, row by row, so that it does not depend on the block's shape.
         exact = np.einsum("qkd,qd->qk", c[best], q)
-        qid = np.repeat(cid[query], many)
-        yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(cid[~query][best].ravel()), pa.array(exact.ravel())], names=["qid", "cid", "score"])
+        lists = [pa.array(list(v), pa.list_(t)) for v, t in ((cid[~query][best], pa.int64()), (exact, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(cid[query]), *lists], names=["qid", "cids", "scores"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """One row per query: the k best of all its parts and blocks."""
+    rows = []
+    for group in key_runs(batches, 1):
+        cid, score = (np.asarray(group.column(i).combine_chunks().flatten()) for i in (1, 2))
+        order = np.lexsort((cid, -score))[:k]
+        rows.append((group.column(0)[0].as_py(), cid[order], score[order]))
+    types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+    cols = list(zip(*rows)) if rows else [[], [], []]
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["qid", "cids", "scores"])
 
 
 def _valid(vec: Column) -> Column:
@@ -257,9 +269,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, cfg: PartitionCon
         return df.select("part", F.col(block).alias("block"), F.col(chunk).alias("chunk"), F.lit(query).alias("query"), "cid", "vec")
 
     fed = side(probes, True).unionByName(side(indexed, False)).repartition("part", "block", "chunk").sortWithinPartitions("part", "block", "chunk")
-    hits = fed.mapInArrow(partial(_best, k=k + 1), "qid long, cid long, score double")
-    by_score = W.partitionBy("qid").orderBy(F.desc("score"), "cid")
-    hits = hits.withColumn("n", F.row_number().over(by_score)).filter(F.col("n") <= k + 1)
+    lists_kind = "qid long, cids array<long>, scores array<double>"
+    hits = fed.mapInArrow(partial(_best, k=k + 1), lists_kind).repartition("qid").sortWithinPartitions("qid").mapInArrow(partial(_merge, k=k + 1), lists_kind)
+    hits = hits.select("qid", F.explode(F.arrays_zip("cids", "scores")).alias("c")).select("qid", F.col("c.cids").alias("cid"), F.col("c.scores").alias("score"))
     rows_hit = hits.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     best = rows_hit.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     lists = written(best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found")), "found")
