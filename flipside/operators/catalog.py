@@ -40,22 +40,28 @@ def dataset_profile(df: DataFrame, features: Sequence[str], label: str, by: str
     missing = holes[0]
     for h in holes[1:]:
         missing = missing + h
+    nominal = df.groupBy(by).agg(*[F.count_distinct(c).alias(f"__v{i}") for i, c in enumerate(symbolic)]) if symbolic else None
     per_class = df.groupBy(by, label).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(missing).alias("cells"),
         F.sum((missing > 0).cast("long")).alias("rows"),
     )
     has_label = F.col(label).isNotNull()
-    return per_class.groupBy(by).agg(
+    out = per_class.groupBy(by).agg(
         F.sum("n").alias("n_instances"),
         F.lit(len(features)).alias("n_features"),
         F.lit(len(symbolic)).alias("n_symbolic"),
+        F.lit(len(features) - len(symbolic)).alias("n_numeric"),
         F.sum("cells").alias("n_missing"),
         F.sum("rows").alias("n_rows_missing"),
         F.sum(has_label.cast("long")).alias("n_classes"),
         F.min(F.when(has_label, F.col("n"))).alias("minority"),
         F.max(F.when(has_label, F.col("n"))).alias("majority"),
     )
+    if nominal is None:
+        return out.withColumn("max_nominal", F.lit(0).cast("long"))
+    most = F.greatest(F.lit(0).cast("long"), *[F.col(f"__v{i}") for i in range(len(symbolic))])
+    return out.join(nominal, by).withColumn("max_nominal", most).drop(*[f"__v{i}" for i in range(len(symbolic))])
 
 
 def catalog_filter(catalog: DataFrame, min_samples: int = 100, max_samples: int | None = None, max_features: int | None = 100, max_classes: int | None = 10, without_missing: bool = False) -> DataFrame:
@@ -106,7 +112,7 @@ def apply_caps(df: DataFrame, features: Sequence[str], label: str, max_samples:
     )
 
 
-def catalog_dedup(catalog: DataFrame, signature: Sequence[str], order: str = "did", name: str = "name") -> DataFrame:
+def catalog_dedup(catalog: DataFrame, signature: Sequence[str] = tuple(SIGNATURE), order: str = "did", name: str = "name") -> DataFrame:
     """Keep the first dataset of each metadata signature, then of each name."""
     out = catalog
     for i, keys in enumerate((list(signature), [name])):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,32 @@ def binarize_balanced(df: DataFrame, targets: Sequence[str], by: Sequence[str] =
     return drop_params(out, stats, by)
 
 
+@dataclass
+class ClassAssigner:
+    """Turns a target into classes; `threshold` is a number, a table of one per group, or None before `fit`."""
+
+    threshold: float | DataFrame | None = None
+
+    def fit(self, df: DataFrame, target: str, by: Sequence[str] = ()) -> ClassAssigner:
+        """Freezes the lower median of each group."""
+        return ClassAssigner(calibrate_threshold(df, target, by))
+
+    def assign(self, df: DataFrame, target: str, by: Sequence[str] = (), name: str = "y_class") -> DataFrame:
+        if self.threshold is None:
+            raise ValueError("fit the class assigner or give it a threshold first")
+        if not isinstance(self.threshold, DataFrame):
+            return df.withColumn(name, binarize_threshold(target, self.threshold))
+        return attach(df, self.threshold, by).withColumn(name, binarize_threshold(target, "threshold")).drop("threshold")
+
+
+ASSIGNERS: dict[str, Callable[..., ClassAssigner]] = {"balanced": ClassAssigner, "fixed": lambda threshold=0.0: ClassAssigner(float(threshold))}
+
+
+def register_assigner(name: str, make: Callable[..., ClassAssigner]) -> None:
+    """Add a user assigner: a function that returns an object with `threshold`, `fit` and `assign`."""
+    ASSIGNERS[name] = make
+
+
 def count_below(x: Column, bounds: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: x > b))
 

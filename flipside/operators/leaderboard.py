@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from flipside.session import checkpointed
+
 # Fixed values.
 FAIL_CE = -100.0
 FAIL_SCORE = -1.0
@@ -130,6 +132,7 @@ def budget_curve(scores: DataFrame, times: DataFrame, carry: Mapping[str, int] |
     stands for; `minimum` drops a method below its smallest useful budget.
     `few_datasets` warns when a cell covers no more than 29 datasets.
     """
+    scores = checkpointed(scores)  # small next to the predictions behind it, and read several times
     keys = ["max_time", "split"]
     ranks = ranks_and_wins(scores, [*keys, "dataset_id"], [*keys, "method"])
     means = scores.groupBy(*keys, "method").agg(
@@ -156,6 +159,7 @@ def leaderboard(scores: DataFrame, ref: str) -> DataFrame:
 
     `scores` has the metrics auc, accuracy, cross_entropy and time.
     """
+    scores = checkpointed(scores)  # small next to the predictions behind it, and read a dozen times
     out = None
     for metric in ("auc", "accuracy", "cross_entropy"):
         sign = -1.0 if metric == "cross_entropy" else 1.0

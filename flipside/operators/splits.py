@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from flipside.functions.fitted import attach, drop_params, fit, materialise
 from flipside.functions.keyed import cumulative, key_hash, softmax_weights, text_uniform01, uniform01
 from flipside.functions.ranks import positions, shuffled_positions
-from flipside.session import checkpoint_dir
+from flipside.session import checkpointed
 
 # Seeds tried for a valid split, and tries of the label check.
 SPLIT_SEEDS = [13, 14, 15, 16, 17, 18, 19, 20]
@@ -102,26 +102,26 @@ def split_compatible_or_ignore(df: DataFrame, by: Sequence[str], key: str, label
     the given order.
     """
     by = list(by)
-    checkpoint_dir(df.sparkSession)
-    out = None
-    pending = df
+    # The tries work on keys and labels; the other columns are joined once at the end.
+    pending, out = checkpointed(df.select(*by, key, label)), None
     for t in range(tries + 1):
         ordered = positions(pending, by, key) if t == 0 else keyed_shuffle(pending, by, key, seed * 1000 + t)
-        # Written to the shared checkpoint folder: each round starts from a table, not from all earlier plans.
-        ordered = ordered.drop("pos_of").checkpoint()
+        ordered = ordered.drop("pos_of")
         per = ordered.groupBy(*by, label).agg(
             F.max((F.col("pos") < eval_pos).cast("int")).alias("a"), F.max((F.col("pos") >= eval_pos).cast("int")).alias("b")
         )
-        verdict = per.groupBy(*by).agg(((F.min(F.least("a", "b")) == 1) & (F.count(F.lit(1)) > 1)).alias("ok"))
-        verdict = materialise(verdict)
+        verdict = checkpointed(per.groupBy(*by).agg(((F.min(F.least("a", "b")) == 1) & (F.count(F.lit(1)) > 1)).alias("ok")))
         good = ordered.join(verdict.filter("ok").drop("ok"), by, "left_semi").withColumn("try", F.lit(t))
         out = good if out is None else out.unionByName(good)
         failed = verdict.filter("not ok").drop("ok")
         if failed.isEmpty():
-            return out
-        pending = ordered.drop("pos").join(failed, by, "left_semi")
-    lost = positions(pending, by, key).withColumn(label, F.lit(IGNORE_LABEL)).withColumn("try", F.lit(tries + 1))
-    return out.unionByName(lost.drop("pos_of"))
+            break
+        pending = checkpointed(pending.join(failed, by, "left_semi"))
+    else:
+        lost = positions(pending, by, key).withColumn(label, F.lit(IGNORE_LABEL)).withColumn("try", F.lit(tries + 1))
+        out = out.unionByName(lost.drop("pos_of"))
+    rest = [c for c in df.columns if c not in {*by, key, label}]
+    return out.join(df.select(*by, key, *rest), [*by, key]) if rest else out
 
 
 def eval_pos_weights(low: int, high: int, weighted: bool) -> list[float]:

@@ -156,18 +156,21 @@ def fit_power(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_on: Col
     best, width = None, reach
     for _ in range(rounds):
         step = 2.0 * width / (grid - 1)
-        offsets = F.array(*[F.lit(-width + step * i) for i in range(grid)])
         src = cells.withColumn("centre", F.lit(0.5)) if best is None else attach(cells, best, keys)
-        tries = src.withColumn("lam", F.explode(F.transform(offsets, lambda o: o + F.col("centre"))))
-        scored = tries.groupBy(*keys, "lam").agg(
+        lams = [F.col("centre") + F.lit(-width + step * i) for i in range(grid)]
+        scored = src.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n"),
-            F.var_pop(yeo_johnson(F.col("value"), F.col("lam"))).alias("var"),
+            F.first("centre").alias("centre"),
             F.sum(F.signum("value") * F.log1p(F.abs("value"))).alias("slog"),
+            *[F.var_pop(yeo_johnson(F.col("value"), lam)).alias(f"var{i}") for i, lam in enumerate(lams)],
         )
-        scored = scored.withColumn(
-            "ll", -F.col("n") / 2.0 * F.log(F.col("var")) + (F.col("lam") - 1.0) * F.col("slog")
-        ).filter(F.col("var") > 0)
-        best = materialise(scored.groupBy(*keys).agg(F.max_by("lam", F.struct("ll", "lam")).alias("centre")))
+
+        def tried(i: int, lam: Column) -> Column:
+            ll = -F.col("n") / 2.0 * F.log(F.col(f"var{i}")) + (lam - 1.0) * F.col("slog")
+            return F.when(F.col(f"var{i}") > 0, F.struct(ll.alias("ll"), lam.alias("lam")))
+
+        found = F.array_max(F.array(*[tried(i, lam) for i, lam in enumerate(lams)]))
+        best = materialise(scored.select(*keys, found["lam"].alias("centre")).filter("centre is not null"))
         width = step
     return best.select(*keys, F.col("centre").alias("lam"))
 
@@ -239,13 +242,14 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
     return drop_params(out.drop(*[f"{c}_{n}" for c in cols for n in ("below", "upto")]), stats, by)
 
 
-def one_hot(df: DataFrame, col: str, fit_on: Column | None = None, limit: int = 200) -> DataFrame:
-    """Replace `col` by one 0/1 column per category seen in the fit rows."""
+def one_hot(df: DataFrame, col: str, fit_on: Column | None = None) -> DataFrame:
+    """Replace `col` by one 0/1 column per category seen in the fit rows.
+
+    The result has as many columns as there are categories, so their list is
+    what the plan needs on the driver; for a sparse vector use MLlib's encoder.
+    """
     rows = df if fit_on is None else df.filter(fit_on)
-    found = rows.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{col} has more than {limit} categories; use label_encode instead")
-    cats = sorted(r[0] for r in found)
+    cats = sorted(r[0] for r in rows.select(col).filter(F.col(col).isNotNull()).distinct().collect())
     flags = {f"{col}_{i}": F.coalesce((F.col(col) == F.lit(v)).cast("double"), F.lit(0.0)) for i, v in enumerate(cats)}
     return df.withColumns(flags).drop(col)
 
@@ -265,15 +269,12 @@ def label_codes(df: DataFrame, label: str, by: Sequence[str] = (), ignore: int |
     return materialise(distinct.select(*by, label, (F.dense_rank().over(order) - 1).alias(name)))
 
 
-def label_encode(df: DataFrame, label: str, name: str = "y") -> tuple[DataFrame, list]:
-    """Encode labels as 0..K-1; returns the rows and the class list."""
+def label_encode(df: DataFrame, label: str, name: str = "y") -> tuple[DataFrame, DataFrame]:
+    """Encode labels as 0..K-1; returns the rows and the lookup (label, code)."""
     lookup = label_codes(df, label, name=name)
-    classes = [r[0] for r in lookup.orderBy(name).select(label).limit(10_001).collect()]
-    if len(classes) > 10_000:
-        raise ValueError("more than 10000 classes: this is not a class label")
-    if len(classes) < 2:
-        raise ValueError("The number of classes has to be greater than one")
-    return df.join(lookup, [label], "left"), classes
+    if lookup.limit(2).count() < 2:
+        raise ValueError("a label needs two different values at least")
+    return df.join(lookup, [label], "left"), lookup
 
 
 def normalize_labels(df: DataFrame, label: str, by: Sequence[str], ignore: int = -100, shift: int = 0, name: str = "y") -> DataFrame:

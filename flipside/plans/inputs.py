@@ -9,6 +9,7 @@ from flipside.functions.keyed import draw_tag, text_uniform01, uniform01
 from flipside.operators.labels import calibrate_threshold
 from flipside.operators.perturb import PerturbConfig, label_pairs, linear_score, perturb
 from flipside.operators.transforms import zscore
+from flipside.session import checkpointed
 
 FEATURES = ["f_0", "f_1", "f_2", "f_3", "f_4"]
 BY = ["dataset_id"]
@@ -32,11 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: 5 numeric features, dataset = market segment."""
-    # Partitioned like the line item totals: the join with them needs no further
-    # shuffle, and the work per order is spread even when the file is one piece.
-    orders = (
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").repartition("o_orderkey")
-    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     customer = table(spark, sf_dir, "customer")
     items = (
         table(spark, sf_dir, "lineitem")
@@ -48,8 +45,8 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     return (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .join(items, items.l_orderkey == orders.o_orderkey, "left")
+        orders.join(items, items.l_orderkey == orders.o_orderkey, "left")
+        .join(customer, orders.o_custkey == customer.c_custkey)
         .select(
             F.col("o_orderkey").alias("row_id"),
             F.col("c_mktsegment").alias("dataset_id"),
@@ -64,8 +61,11 @@ def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """z-scored order features with the target score y."""
-    z = zscore(order_features(spark, sf_dir), FEATURES, BY)
+    """z-scored order features with the target score y.
+
+    The joined features are kept as a table: every fit and the final pass read them.
+    """
+    z = zscore(checkpointed(order_features(spark, sf_dir)), FEATURES, BY)
     return z.withColumn("y", SCORE({f: F.col(f) for f in FEATURES}))
 
 

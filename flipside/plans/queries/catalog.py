@@ -14,7 +14,7 @@ _HOLES = "(" + "+".join(f"({f} is null)::int" for f in FEATURES) + ")"
 @query(
     "b1_dataset_profile",
     f"""with {OF_SQL}, c as (select dataset_id, label_str, count(*) as n, sum({_HOLES}) as cells, sum(({_HOLES}>0)::int) as rs from of_ group by 1,2)
-select dataset_id, sum(n)::bigint as n_instances, 5 as n_features, 0 as n_symbolic, sum(cells)::bigint as n_missing, sum(rs)::bigint as n_rows_missing, count(*) as n_classes, min(n) as minority, max(n) as majority from c group by 1""",
+select dataset_id, sum(n)::bigint as n_instances, 5 as n_features, 0 as n_symbolic, 5 as n_numeric, 0::bigint as max_nominal, sum(cells)::bigint as n_missing, sum(rs)::bigint as n_rows_missing, count(*) as n_classes, min(n) as minority, max(n) as majority from c group by 1""",
 )
 def b1(spark, sf):
     return B.dataset_profile(order_features(spark, sf), FEATURES, "label_str")
@@ -81,6 +81,20 @@ def b4(spark, sf):
     return B.catalog_dedup(supplier_catalog(spark, sf), ["n_instances", "n_classes"], name="nation").select(*_COLS, "nation")
 
 
+@query(
+    "b4_catalog_dedup_signature",
+    f"""with s_ as (select l_suppkey as did, count(distinct l_linestatus) as v from lineitem group by 1), {CAT_SQL},
+a as (select ca_.did, ca_.name, nation, n_instances, n_classes, minority, majority, row_number() over (partition by majority, v, minority, n_classes, n_instances order by ca_.did) as r from ca_ join s_ using (did)),
+b as (select *, row_number() over (partition by name order by did) as q from a where r = 1) select {', '.join(_COLS)} from b where q = 1""",
+)
+def b4_signature(spark, sf):
+    """The profile's own columns are the default signature."""
+    rows = table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "did")
+    prof = B.dataset_profile(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"], "l_returnflag", by="did", symbolic=["l_linestatus"])
+    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("did"), F.col("s_name").alias("name"))
+    return B.catalog_dedup(prof.join(sup, "did")).select(*_COLS)
+
+
 _OTHER = "ot_ as (select ca_.*, concat_ws('_', n_classes, n_features, n_instances) as cfi from ca_ join supplier on s_suppkey=did where s_acctbal < 0)"
 
 

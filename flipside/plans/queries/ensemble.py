@@ -27,9 +27,9 @@ gr1_ as (select *, row_number() over (order by md5(concat_ws('|', '{_SD}', i::va
 gr_ as (select (r*2+t)::int as config_rank, class_shift::int as class_shift, feature_shift::int as feature_shift, case t when 0 then 'none' else 'power' end as transform from gr1_ cross join (values (0),(1)) x(t) where r*2+t < 10)"""
 
 
-def _grid(spark, sf):
+def _grid(spark, sf, n=10):
     k, h = _shape(spark, sf)
-    return N.ensemble_grid(spark, k, h, 10, SEED)
+    return N.ensemble_grid(spark, k, h, n, SEED)
 
 
 @query("n1_ensemble_grid", f"with {_GRID} select * from gr_")
@@ -42,12 +42,12 @@ def n2(spark, sf):
     return embedding_points(spark, sf).select("row_id", N.shift_labels(F.col("label"), 3, K).alias("y"))
 
 
-def _outputs(spark, sf):
+def _outputs(spark, sf, n=10):
     """Logits of every configuration for every row, in the rotated class order:
     place c holds class (c - shift) mod K."""
     k, _ = _shape(spark, sf)
     rows = embedding_points(spark, sf).select("row_id", F.col("label").alias("y"))
-    rows = rows.withColumn("c", F.explode(N.config_literals(_grid(spark, sf))))
+    rows = rows.withColumn("c", F.explode(N.config_literals(_grid(spark, sf, n))))
     rows = rows.select("row_id", "y", "c.config_rank", "c.class_shift")
     logits = F.transform(
         F.sequence(F.lit(0), F.lit(k - 1)),
@@ -113,12 +113,16 @@ def n5(spark, sf):
     return out.select("row_id", "config_rank", "y_shifted", "x")
 
 
+_GRID_100 = _GRID.replace("where r*2+t < 10)", "where r*2+t < 100)")
+
+
 @query(
     "n6_ensemble_size_sweep",
-    f"with {_GRID}, {_LG}, "
-    + ", ".join(f"a{n}_ as ({_avg_sql(n, True)}), h{n}_ as (select row_id, y, arg_max(cls, p) as c from a{n}_ group by row_id, y)" for n in (1, 5, 10))
-    + " " + " union all ".join(f"select {n} as size, {R('avg((c=y)::int)', 'accuracy')} from h{n}_" for n in (1, 5, 10)),
+    f"with {_GRID_100}, {_LG}, "
+    + ", ".join(f"a{n}_ as ({_avg_sql(n, True)}), h{n}_ as (select row_id, y, arg_max(cls, p) as c from a{n}_ group by row_id, y)" for n in N.SIZES)
+    + " " + " union all ".join(f"select row_id % 5 + 1 as split, {n} as size, {R('avg((c=y)::int)', 'accuracy')} from h{n}_ group by 1" for n in N.SIZES),
 )
 def n6(spark, sf):
-    out = N.ensemble_size_sweep(_outputs(spark, sf), ["row_id", "y"], K, sizes=[1, 5, 10])
-    return rounded(out.groupBy("size").agg(accuracy().alias("accuracy")))
+    """Every size up to 100 configurations, on the rows of five splits."""
+    out = N.ensemble_size_sweep(_outputs(spark, sf, 100), ["row_id", "y"], K)
+    return rounded(out.groupBy((F.col("row_id") % 5 + 1).alias("split"), "size").agg(accuracy().alias("accuracy")))

@@ -10,6 +10,7 @@ from flipside.plans.inputs import PRED_SQL, U, predictions, s, table
 from flipside.plans.queries.metrics import _KS, _auc_ctes
 from flipside.plans.queries.sources import _DAILY
 from flipside.plans.registry import R, query, rounded
+from flipside.session import checkpointed
 
 METHODS = ["m0", "m1", "m2", "m3", "m4"]
 
@@ -138,7 +139,7 @@ bc_ as (select * from bo_ union all by name select * replace (3600 as max_time,
     f"with {SC_SQL}, {_BUD} select method, max_time, split, {R('score', 'score')}, n_datasets, {R('mean_rank', 'mean_rank')}, wins, {R('real_time', 'real_time')}, n_datasets <= 29 as few_datasets from bc_",
 )
 def m8(spark, sf):
-    rows = score_rows(spark, sf)
+    rows = checkpointed(score_rows(spark, sf))
     budgets = F.explode(F.array(F.lit(15), F.lit(60)))
     auc = rows.filter("metric = 'auc'").withColumn("max_time", budgets)
     auc = auc.withColumn("value", F.col("value") - (60 - F.col("max_time")) / F.lit(1000.0))

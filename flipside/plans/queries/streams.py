@@ -60,6 +60,19 @@ def r3(spark, sf):
     return rounded(got).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
+@query(
+    "r3_stream_sliding_stats",
+    """with h as (select time_bucket(interval 12 hours, ts) as b, event_type, value from events), mx as (select max(ts) - interval 10 minutes as mark from events),
+w as (select b - k * interval 12 hours as window_start, event_type, value from h cross join (values (0), (1)) t(k))
+select window_start, window_start + interval 1 day as window_end, event_type, count(*) as n, round(avg(value),6)+0.0::double as mean, round(stddev_samp(value),6)+0.0::double as std, min(value) as min, max(value) as max
+from w cross join mx where window_start + interval 1 day <= mark group by window_start, event_type""",
+)
+def r3_sliding(spark, sf):
+    out = S.stream_window_stats(_stream(spark, sf), "ts", "value", BY, "1 day", "10 minutes", slide="12 hours")
+    got = S.run_to_table(out, *_paths(spark, "sliding"))
+    return rounded(got).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 @query(
     "r4_stream_drift",
     f"""with {_W}, b as (select event_type, min(value) as lo, max(value) as hi from events group by 1),

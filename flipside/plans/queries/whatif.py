@@ -420,8 +420,9 @@ def _sweep_sql():
 def h19(spark, sf):
     from flipside.plans.reports import sweep
 
-    rows = scored_orders(spark, sf).drop("y")
-    threshold = calibrate_threshold(scored_orders(spark, sf), "y", BY)
+    scored = scored_orders(spark, sf)
+    rows = scored.drop("y")
+    threshold = calibrate_threshold(scored, "y", BY)
     configs = {
         v: perturb.PerturbConfig(p=p, magnitude=mag, k=k, seed=SEED, score=SCORE) for v, (mag, k, p) in _VARIANTS.items()
     }

@@ -7,6 +7,7 @@ these values except for performance.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the shared folder; the plan starts anew from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows as they are now, as a table in the shared folder; the plan starts anew from there.
+
+    Unlike DataFrame.checkpoint() this computes the rows once, and later passes
+    read the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
