@@ -35,7 +35,7 @@ from flipside.llm.common import written
 from flipside.llm.components import components
 
 U64 = np.uint64
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000  # frequent words come early; later ones are hashed each time
 
 
 @dataclass(frozen=True)
@@ -76,9 +76,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE_WORDS:
+            self[word] = value
         return value
 
 
@@ -104,8 +104,10 @@ def sketch(sets: np.ndarray, hashes: int, seed: int) -> np.ndarray:
     a = rng.integers(0, 1 << 63, hashes, dtype=np.uint64) * U64(2) + U64(1)
     b = rng.integers(0, 1 << 63, hashes, dtype=np.uint64)
     best = np.full(hashes, np.iinfo(np.uint64).max, U64)
-    for at in range(0, len(sets), 16384):
-        np.minimum(best, (np.multiply.outer(a, sets[at : at + 16384]) + b[:, None]).min(axis=1), out=best)
+    for at in range(0, len(sets), 8192):
+        hashed = np.multiply.outer(a, sets[at : at + 8192])
+        hashed += b[:, None]
+        np.minimum(best, hashed.min(axis=1), out=best)
     return (best >> U64(32)).astype(np.uint32)
 
 
@@ -327,12 +329,13 @@ def _verify(batches: Iterator[pa.RecordBatch], cfg: JoinConfig) -> Iterator[pa.R
 
 
 def jaccard_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
-    """doc_id, text_hash, class_id, rep_id, links, n_shingles for every row of `docs`.
+    """doc_id, text_hash, class_key, class_id, rep_id, links, n_shingles for every row of `docs`.
 
     Reads doc_id and text.  `rep_id` is the least doc_id with the same shingle
     set, `links` the number of different shingle sets at the threshold or
     above, and `class_id` the least doc_id that links, directly or through
-    others, lead to.  Texts without words (null, empty) form one class without
+    others, lead to.  `class_key` tells classes apart even where ids are
+    missing or used twice.  Texts without words (null, empty) form one class without
     links.  Repeated rows and copies share everything; a missing id is named by
     null only if its whole class has none.  An empty table gives an empty table.
     Sets are named by 64 bits of their digest.
@@ -356,13 +359,13 @@ def jaccard_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFram
     named = sets.select("sid", "rep_id", "n").join(joined.select(F.col("node").alias("sid"), "least"), "sid", "left")
     named = named.withColumn("least", F.coalesce("least", "sid"))
     least = named.groupBy("least").agg(F.min("rep_id").alias("class_id"))
-    named = written(named.join(least, "least").join(links, "sid", "left").select("sid", "rep_id", "n", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "classes")
-    return rows.select("doc_id", "text_hash", "sid").join(named, "sid").select("doc_id", "text_hash", "class_id", "rep_id", "links", F.col("n").cast("long").alias("n_shingles"))
+    named = written(named.join(least, "least").join(links, "sid", "left").select("sid", "rep_id", "n", F.col("least").alias("class_key"), "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links")), "classes")
+    return rows.select("doc_id", "text_hash", "sid").join(named, "sid").select("doc_id", "text_hash", "class_key", "class_id", "rep_id", "links", F.col("n").cast("long").alias("n_shingles"))
 
 
 def drop_near_copies(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFrame:
     """The rows of `docs` with the least doc_id of their class; of rows that share it, one."""
-    first = W.partitionBy("class_id").orderBy("text_hash")
+    first = W.partitionBy("class_key").orderBy("text_hash")
     classes = jaccard_classes(docs, cfg).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = classes.withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     keyed = docs.withColumn("__hash_of", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
