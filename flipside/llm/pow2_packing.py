@@ -8,12 +8,13 @@ sequence crosses documents and nothing is padded.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import re
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,44 +25,81 @@ from flipside.llm.common import written
 
 LIMIT = 2048
 END_ID = 1
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 FLUSH_BYTES = 8 << 20
 
-# A full stop or comma between a letter or digit and white space is a token of its own; splitting it off keeps words few.
-_MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
+# Marks between a Latin letter or digit and white space are one piece of their own; splitting them off keeps words few.
+_MARK = re.compile(r"(?<=[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF])([!-/:-@\[-`{-~]+)(?=[ \n])")
+
+
+def _simple(text: str) -> bool:
+    """Latin-1 without the start of a special token: lower-casing maps letter to letter, and normal form C changes nothing."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text
 
 
 class WordIds(dict):
-    """Ids of blank-separated words as little-endian uint32 bytes; misses are encoded together.
+    """Ids of blank-separated words as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its words one after the other.
+    text's ids are those of its words one after the other.  The first `most`
+    words stay in memory, the frequent ones among them; later ones are encoded
+    for their text alone.
     """
 
-    def __init__(self, encode_batch: Callable[[list[str]], list], most: int = CACHE_WORDS):
-        self.encode_batch, self.most = encode_batch, most
+    def __init__(self, tokenizer, most: int = CACHE_WORDS):
+        self.tokenizer, self.most, self.unknown = tokenizer, most, []
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, number in tokenizer.get_vocab().items():
+            ends[number] = token.endswith("</w>")
+        self.ends = ends
+
+    def __missing__(self, word: str) -> None:
+        self.unknown.append(word)
+
+    def _encode(self, words: list[str]) -> None:
+        """Words of letters alone are one piece each, so one call encodes them all: a piece ends where a token says so."""
+        plain = [w for w in words if w.isalpha()]
+        other = [w for w in words if not w.isalpha()]
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(plain):
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.update(zip(plain, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))))
+        else:
+            other = words
+        for word, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self[word] = np.asarray(found.ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        words = _MARK.sub(r" \1", text).replace("\n", " ").split(" ")
-        missing = [w for w in set(words) if w not in self]
-        if missing:
-            if len(self) + len(missing) > self.most:
-                self.clear()
-                missing = list(set(words))
-            for word, ids in zip(missing, self.encode_batch(missing)):
-                self[word] = np.asarray(ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        if _simple(text):
+            text = _MARK.sub(r" \1", text.lower())
+        words = text.replace("\n", " ").split(" ")
+        found = list(map(self.__getitem__, words))
+        if self.unknown:
+            missed, self.unknown = self.unknown, []
+            new = list(dict.fromkeys(missed))
+            self._encode(new)
+            at = -1
+            for word in missed:  # in the order of their places
+                at = found.index(None, at + 1)
+                found[at] = self[word]
+            if len(self) > self.most:
+                for word in new:
+                    del self[word]
+        return b"".join(found)
 
 
 @lru_cache(maxsize=1)
 def word_ids(tokenizer_file: str) -> WordIds:
-    """One cache per worker process."""
+    """One cache per worker process; Spark's tasks are the parallelism, so the tokenizer starts no threads."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(tokenizer_file)
-    return WordIds(lambda words: [e.ids for e in tok.encode_batch_fast(words, add_special_tokens=False)])
+    return WordIds(Tokenizer.from_file(tokenizer_file))
 
 
 def binary_lengths(total: int, limit: int = LIMIT) -> list[int]:
