@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from flipside.functions.fitted import attach, materialise
 
 BUCKET = "__bucket"
+FEW = 8  # quantiles that are cheaper to judge one by one
 ACCURACY = 5000  # of the approximate quantiles: ranks are off by 1/5000 of the rows at most
 
 
@@ -101,6 +102,38 @@ def long_form(df: DataFrame, by: Sequence[str], cols: Sequence[str], keep: Seque
     return df.select(*picked, cells.alias("__cell")).select(*picked, "__cell.feat", "__cell.value")
 
 
+def _each_bracket(cells: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
+    """Every value is judged by each of a few brackets: -1 under, 0 inside, 1 over; all but the inside values merge."""
+    cells = cells.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    role = F.when(F.col("v") < F.get("lo", F.col("q")), -1).when(F.col("v") > F.get("hi", F.col("q")), 1).otherwise(0)
+    cells = cells.withColumn("role", role)
+    return cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+
+
+def _along_brackets(cells: DataFrame, groups: DataFrame, by: Sequence[str], features: int, m: int) -> DataFrame:
+    """The same for many brackets: a value marks where being under and being over begins, and sums along the
+    brackets, over a few rows per group, give the counts."""
+    group, keys = [*by, "feat"], [*by, "feat", "q"]
+    cells = cells.withColumns({"under": F.size(F.filter("lo", lambda x: x <= F.col("v"))), "over": F.size(F.filter("hi", lambda x: x < F.col("v")))})
+    marks = F.array(F.struct(F.lit(-1).alias("role"), F.col("under").alias("q")), F.struct(F.lit(1).alias("role"), (F.col("over") - 1).alias("q")))
+    inside = F.when(F.col("under") > F.col("over"), F.transform(F.sequence("over", F.col("under") - 1), lambda q: F.struct(F.lit(0).alias("role"), q.alias("q"))))
+    cells = cells.select(*by, "feat", "v", F.explode(F.concat(marks, F.coalesce(inside, F.array().cast("array<struct<role:int,q:int>>")))).alias("__m"))
+    cells = cells.select(*by, "feat", "v", "__m.*")
+    found = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+    grid = F.explode(F.array(*[F.struct(F.lit(j).alias("feat"), F.lit(q).alias("q"), F.lit(r).alias("role")) for j in range(features) for q in range(m) for r in (-1, 1)]))
+    none = groups.select(*by, grid.alias("__g")).select(*by, "__g.*", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
+    none = none.withColumns({"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double")})
+    sides = found.filter("role <> 0").unionByName(none).groupBy(*keys, "role").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    along = W.partitionBy(*group, "role").orderBy(F.col("q") * F.col("role") * -1).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sides = sides.withColumns({"n": F.sum("n").over(along), "least": F.min("least").over(along), "most": F.max("most").over(along)})
+    sides = sides.filter((F.col("q") >= 0) & (F.col("q") < m)).withColumn("value", F.lit(None).cast("double"))
+    return sides.unionByName(found.filter("role = 0"))
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -143,25 +176,8 @@ def exact_quantiles(
         *[F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"{c}__lo").alias("lo"), F.col(f"{c}__hi").alias("hi")) for j, c in enumerate(cols)]
     )
     cells = rows.select(*by, F.explode(values).alias("__c")).select(*by, "__c.*").filter("v is not null")
-    # A value is under the brackets from `under` on, over those before `over`, and inside the few between.
-    cells = cells.withColumns({"under": F.size(F.filter("lo", lambda x: x <= F.col("v"))), "over": F.size(F.filter("hi", lambda x: x < F.col("v")))})
-    marks = F.array(F.struct(F.lit(-1).alias("role"), F.col("under").alias("q")), F.struct(F.lit(1).alias("role"), (F.col("over") - 1).alias("q")))
-    inside = F.when(F.col("under") > F.col("over"), F.transform(F.sequence("over", F.col("under") - 1), lambda q: F.struct(F.lit(0).alias("role"), q.alias("q"))))
-    cells = cells.select(*by, "feat", "v", F.explode(F.concat(marks, F.coalesce(inside, F.array().cast("array<struct<role:int,q:int>>")))).alias("__m"))
-    cells = cells.select(*by, "feat", "v", "__m.*")
-    group, keys = [*by, "feat"], [*by, "feat", "q"]
-    found = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
-    )
-    # Marks say where being under or over begins: sums along the brackets give the counts, on a few rows per group.
-    grid = F.explode(F.array(*[F.struct(F.lit(j).alias("feat"), F.lit(q).alias("q"), F.lit(r).alias("role")) for j in range(len(cols)) for q in range(m) for r in (-1, 1)]))
-    none = brackets.select(*by, grid.alias("__g")).select(*by, "__g.*", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
-    none = none.withColumns({"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double")})
-    sides = found.filter("role <> 0").unionByName(none).groupBy(*keys, "role").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    along = W.partitionBy(*group, "role").orderBy(F.col("q") * F.col("role") * -1).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sides = sides.withColumns({"n": F.sum("n").over(along), "least": F.min("least").over(along), "most": F.max("most").over(along)})
-    sides = sides.filter((F.col("q") >= 0) & (F.col("q") < m)).withColumn("value", F.lit(None).cast("double"))
-    merged = sides.unionByName(found.filter("role = 0"))
+    keys = [*by, "feat", "q"]
+    merged = _each_bracket(cells, keys, m) if m <= FEW else _along_brackets(cells, brackets.select(*by), by, len(cols), m)
     upto = W.partitionBy(*keys).orderBy("role", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
     merged = merged.withColumns({"hi": F.sum("n").over(upto), "all": F.sum("n").over(W.partitionBy(*keys))}).filter("n > 0")
     merged = merged.withColumn("at", F.when(F.col("role") < 0, F.col("most")).otherwise(F.col("least")))
@@ -180,9 +196,13 @@ def exact_quantiles(
         share = F.when(low, 1.0 - frac).otherwise(0.0) + F.when(high, frac).otherwise(0.0)
         part = F.when(low | high, F.col("at") * share)
     hits = merged.select(*keys, part.alias("part")).filter("part is not null")
-    # One array of (q, part) per column, then its members as columns.
-    each = hits.groupBy(*keys).agg(F.sum("part").alias("part")).groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("q", "part"))).alias("parts"))
-    out = each.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, F.col("parts")), ignorenulls=True).alias(f"__m{j}") for j in range(len(cols))])
-    out = out.select(*by, *[F.col(f"__m{j}")[i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
+    if m <= FEW:
+        cell = {(j, i): (F.col("feat") == j) & (F.col("q") == i) for j in range(len(cols)) for i in range(m)}
+        out = hits.groupBy(*by).agg(*[F.sum(F.when(cell[j, i], F.col("part"))).alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
+    else:
+        # One map of q to part per column, then its members as columns.
+        each = hits.groupBy(*keys).agg(F.sum("part").alias("part")).groupBy(*by, "feat").agg(F.map_from_entries(F.collect_list(F.struct("q", "part"))).alias("parts"))
+        out = each.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, F.col("parts")), ignorenulls=True).alias(f"__m{j}") for j in range(len(cols))])
+        out = out.select(*by, *[F.col(f"__m{j}")[i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
     # Groups whose values are all unknown keep their row.
     return brackets.select(*by).join(out, by, "left") if by else out
