@@ -124,8 +124,10 @@ def _along_brackets(cells: DataFrame, groups: DataFrame, by: Sequence[str], feat
     found = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
     )
-    grid = F.explode(F.array(*[F.struct(F.lit(j).alias("feat"), F.lit(q).alias("q"), F.lit(r).alias("role")) for j in range(features) for q in range(m) for r in (-1, 1)]))
-    none = groups.select(*by, grid.alias("__g")).select(*by, "__g.*", F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"))
+    none = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(features * m * 2 - 1))).alias("__i")).select(
+        *by, F.floor(F.col("__i") / (2 * m)).cast("int").alias("feat"), (F.floor(F.col("__i") / 2) % m).cast("int").alias("q"), (F.col("__i") % 2 * 2 - 1).alias("role"),
+        F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"),
+    )
     none = none.withColumns({"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double")})
     sides = found.filter("role <> 0").unionByName(none).groupBy(*keys, "role").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
     along = W.partitionBy(*group, "role").orderBy(F.col("q") * F.col("role") * -1).rowsBetween(W.unboundedPreceding, W.currentRow)
