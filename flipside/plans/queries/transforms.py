@@ -137,9 +137,27 @@ def e7(spark, sf):
     return _out(X.power_transform(scored_orders(spark, sf), FEATURES, BY, lambdas=_LAMS))
 
 
-@query("e7_fit_power")
+def _fit_power_sql(rounds: int = 4, grid: int = 17, reach: float = 4.0) -> str:
+    """The same narrowing grid: a round scores all candidates around the last best one."""
+    ctes = ["v_ as (" + " union all ".join(f"select dataset_id, {i} as feat, {f} as v from so_ where {f} is not null" for i, f in enumerate(FEATURES)) + ")"]
+    ctes.append("b0_ as (select distinct dataset_id, feat, 0.5::double as centre from v_)")
+    up = "case when abs(lam) > 1e-12 then (pow(v + 1.0::double, lam) - 1.0::double)/lam else ln(1.0::double + v) end"
+    down = "case when abs(2.0::double - lam) > 1e-12 then -(pow(1.0::double - v, 2.0::double - lam) - 1.0::double)/(2.0::double - lam) else -ln(1.0::double - v) end"
+    width = reach
+    for r in range(rounds):
+        step = 2.0 * width / (grid - 1)
+        ctes.append(f"l{r}_ as (select dataset_id, feat, centre + ({-width!r}::double + {step!r}::double*i) as lam from b{r}_ cross join (select unnest(range({grid})) as i))")
+        ctes.append(
+            f"s{r}_ as (select dataset_id, feat, lam, count(*) as n, var_pop(case when v >= 0 then {up} else {down} end) as vr, sum(sign(v)*ln(1.0::double + abs(v))) as sl from v_ join l{r}_ using (dataset_id, feat) group by dataset_id, feat, lam)"
+        )
+        ctes.append(f"b{r + 1}_ as (select dataset_id, feat, arg_max(lam, -n/2.0::double*ln(vr) + (lam - 1.0::double)*sl) as centre from s{r}_ where vr > 0 group by dataset_id, feat)")
+        width = step
+    return f"with {Z_SQL}, {', '.join(ctes)} select dataset_id, feat, {R('centre', 'lam')} from b{rounds}_"
+
+
+@query("e7_fit_power", _fit_power_sql())
 def e7_fit(spark, sf):
-    return X.fit_power(scored_orders(spark, sf), FEATURES, BY)
+    return rounded(X.fit_power(scored_orders(spark, sf), FEATURES, BY))
 
 
 def _horner(cs, x):

@@ -274,7 +274,18 @@ def h12(spark, sf):
 # --- H13-H20 -----------------------------------------------------------------
 
 
-@query("h13_retry_until_flip_rate")
+def _tries_sql() -> str:
+    """Two tries spelled out: the second one runs when the first flips less than a fifth of the rows."""
+    def facts(t: int, strategy: str) -> str:
+        return f"select dataset_id, {t + 1} as tries, '{strategy}' as strategy, avg(label_flipped::int) as validity, sum(label_flipped::int)::bigint as n_valid, sum((not label_flipped)::int)::bigint as n_invalid, count(*) as n_total from pt{t}_ group by dataset_id"
+
+    first = pairs_sql("gradient_guided", magnitude=2.0, cell=s("try0"), tag="t0")
+    second = pairs_sql("uniform_random", magnitude=3.0, cell=s("try1"), tag="t1")
+    return f"""with {Z_SQL}, {first}, {second}, rate_ as (select avg(label_flipped::int) as rate from pt0_)
+select a.* from ({facts(0, 'gradient_guided')}) a cross join rate_ where rate >= 0.2 union all select b.* from ({facts(1, 'uniform_random')}) b cross join rate_ where rate < 0.2"""
+
+
+@query("h13_retry_until_flip_rate", _tries_sql())
 def h13(spark, sf):
     rows = scored_orders(spark, sf)
     threshold = calibrate_threshold(rows, "y", BY)
