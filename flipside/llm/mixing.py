@@ -1,10 +1,11 @@
 """Mixing sources to target weights: Sainte-Lague apportionment, DataFrame operations only.
 
 Each source gets a target number of words from its weight.  The mix is made of
-blocks of equal word count; Sainte-Lague deals the blocks to the sources by
-highest quotient target / (2k+1), and the order of the awards spreads them over
-the output shards, which gives an integer quota per shard and source.  A
-source's documents are laid in seeded random order on a line of words, the line
+blocks of equal word count, shorter ones for sources whose target is less than
+`per_source` blocks.  Sainte-Lague deals the blocks to the sources by highest
+quotient (target / block length) / (2k+1) until the mix is full, and the order
+of the awards spreads them over the output shards, which gives an integer quota
+per shard and source.  A source's documents are laid in seeded random order on a line of words, the line
 is cut into blocks, and seeded draws choose as many blocks as were awarded.
 """
 
@@ -28,6 +29,7 @@ class MixConfig:
     weights: Sequence[float] = (5.0, 2.0, 1.0)  # by sources in code point order, null last, repeating
     repeat: int = 3  # no source and no document is taken more often
     blocks: int = 8192  # blocks of the whole mix; at least 64 a source
+    per_source: int = 128  # blocks that each source's target is cut into at least, while they hold a word
     shards: int = 16
     seed: int = 8
 
@@ -57,18 +59,21 @@ def source_targets(sizes: DataFrame, cfg: MixConfig) -> DataFrame:
     return df.withColumn("target", F.least(F.col("stop"), F.col("__level") * F.col("weight"))).drop("__level", "stop")
 
 
-def awards(targets: DataFrame, seats: int, sources: int, total: float) -> DataFrame:
-    """One row per awarded block: key, k (the source's k-th award), rank (0-based order of all awards).
+def awards(targets: DataFrame, block: int, sources: int, total: int) -> DataFrame:
+    """One row per awarded block: key, k (the source's k-th award), begin (words awarded before it).
 
-    A source with share p of n seats can win at most p(n + sources/2) + 1/2 of
-    them, so that many quotients of each source are enough; about n rows in all.
+    Quotients count in blocks of the source's own `length`, at most `block`.
+    Awards go on while fewer than `total` words are dealt; rounding moves that
+    point by half a block a source and one more, so that many quotients of each
+    source are enough.
     """
-    most = F.ceil(F.col("target") / F.lit(total) * (seats + sources / 2)) + 1
+    share = F.col("target") / F.col("length")
+    most = F.ceil(share * (1 + (sources + 2) * block / (2 * max(total, 1)))) + 1
     quotients = targets.filter("target > 0").select(
-        "key", "place", "target", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))).alias("k")
+        "key", "place", "length", share.alias("share"), F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))).alias("k")
     )
-    best = W.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "place", "k")
-    return quotients.withColumn("rank", F.row_number().over(best) - 1).filter(F.col("rank") < seats).select("key", "k", "rank")
+    best = W.orderBy((F.col("share") / (2 * F.col("k") + 1)).desc(), "place", "k").rowsBetween(W.unboundedPreceding, -1)
+    return quotients.withColumn("begin", F.coalesce(F.sum("length").over(best), F.lit(0))).filter(F.col("begin") < total).select("key", "k", "begin")
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -76,8 +81,8 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__size", size).withColumn("__key", source_key(F.col("source")))
 
 
-def _plan(sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame, int, int]:
-    """Source table (key, source_size, target), block plan (key, block, epoch, shard), block length, rows."""
+def _plan(sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame, int]:
+    """Source table (key, source_size, target, length of a block), block plan (key, block, epoch, shard), rows."""
     sizes = written(
         sized.groupBy("__key").agg(F.first("source").alias("source"), F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("rows")),
         "mix-sizes",
@@ -85,19 +90,19 @@ def _plan(sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame, int,
     row = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("s"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()
     total, sources = int(row["t"]), int(row["s"])
     block = max(1, -(-total // max(cfg.blocks, 64 * sources)))
-    seats = -(-total // block)
-    targets = source_targets(sizes.withColumnRenamed("__key", "key"), cfg)
-    won = awards(targets, seats, sources, float(max(total, 1)))
+    own = F.greatest(F.lit(1), F.floor(F.col("target") / cfg.per_source))
+    targets = source_targets(sizes.withColumnRenamed("__key", "key"), cfg).withColumn("length", F.least(F.lit(block), own).cast("long"))
+    won = awards(targets, block, sources, total)
     counts = won.groupBy("key").agg(F.count(F.lit(1)).alias("seats"))
     src = targets.join(counts, "key", "left").withColumn("seats", F.coalesce("seats", F.lit(0)))
-    size = F.col("source_size")
-    words = F.least(F.col("seats") * block, size * cfg.repeat)
+    size, length = F.col("source_size"), F.col("length")
+    words = F.least(F.col("seats") * length, size * cfg.repeat)
     src = src.withColumn("full", F.when(size > 0, F.floor(words / size)).otherwise(0).cast("long"))
-    src = src.withColumn("more", F.round((words - F.col("full") * size) / block).cast("long"))
-    whole = F.floor(size / block)
+    src = src.withColumn("more", F.round((words - F.col("full") * size) / length).cast("long"))
+    whole = F.floor(size / length)
     src = src.withColumn("over", F.col("more") > whole)
-    src = src.withColumns({"full": F.col("full") + F.col("over").cast("long"), "more": F.when(F.col("over"), 0).otherwise(F.col("more")), "whole": whole, "n_blocks": F.ceil(size / block)})
-    src = written(src.select("key", "source_size", "target", "full", "more", "whole", "n_blocks", "seats"), "mix-sources")
+    src = src.withColumns({"full": F.col("full") + F.col("over").cast("long"), "more": F.when(F.col("over"), 0).otherwise(F.col("more")), "whole": whole, "n_blocks": F.ceil(size / length)})
+    src = written(src.select("key", "source_size", "target", "length", "full", "more", "whole", "n_blocks", "seats"), "mix-sources")
     # Blocks in seeded order, once per epoch; the last epoch takes the first `more` of the full-length ones.
     cells = src.filter("n_blocks > 0 and seats > 0").select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") * (F.col("full") + 1) - 1)).alias("cell")
@@ -107,13 +112,13 @@ def _plan(sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame, int,
     order = W.partitionBy("key", "epoch").orderBy((F.col("block") >= F.col("whole")).cast("int"), draw, "block")
     cells = cells.withColumn("turn", F.row_number().over(order) - 1).filter((F.col("epoch") < F.col("full")) | (F.col("turn") < F.col("more")))
     cells = cells.withColumn("k", F.least(F.col("epoch") * F.col("n_blocks") + F.col("turn"), F.col("seats") - 1))
-    plan = cells.join(won, ["key", "k"]).select("key", "block", "epoch", F.floor(F.col("rank") * cfg.shards / max(seats, 1)).cast("int").alias("shard"))
-    return src.select("key", "source_size", "target"), written(plan, "mix-plan"), block, int(row["n"])
+    plan = cells.join(won, ["key", "k"]).select("key", "block", "epoch", F.floor(F.col("begin") * cfg.shards / max(total, 1)).cast("int").alias("shard"))
+    return src.select("key", "source_size", "target", "length"), written(plan, "mix-plan"), int(row["n"])
 
 
 def shard_quotas(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """Blocks each source gives to each shard: key, shard, blocks."""
-    _, plan, _, _ = _plan(_sized(docs), cfg)
+    _, plan, _ = _plan(_sized(docs), cfg)
     return plan.groupBy("key", "shard").agg(F.count(F.lit(1)).alias("blocks"))
 
 
@@ -133,8 +138,10 @@ def _on_line(sized: DataFrame, rows: int, cfg: MixConfig) -> DataFrame:
     return placed.join(first, ["__key", "__part"]).withColumn("__pos", F.col("__first") + F.col("__inside"))
 
 
-def _pieces(line: DataFrame, block: int) -> DataFrame:
+def _pieces(line: DataFrame, src: DataFrame) -> DataFrame:
     """One row per (document, block it reaches into); documents without words none."""
+    block = F.col("__length")
+    line = line.join(src.select(F.col("key").alias("__key"), F.col("length").alias("__length")), "__key")
     last = F.floor((F.col("__pos") + F.col("__size") - 1) / block)
     out = line.filter("__size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("__pos") / block), last)))
     start = F.greatest(F.col("__pos"), F.col("block") * block)
@@ -150,15 +157,15 @@ def mix_totals(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     All-empty tables take nothing; an empty table gives an empty table.
     """
     sized = _sized(docs.select("doc_id", "source", "text")).drop("text")
-    src, plan, block, rows = _plan(sized, cfg)
+    src, plan, rows = _plan(sized, cfg)
     line = written(_on_line(sized.drop("source"), rows, cfg).select("doc_id", "__key", "__size", "__pos"), "mix-line")
     times = plan.groupBy(F.col("key").alias("__key"), "block").agg(F.count(F.lit(1)).alias("times"))
-    taken = _pieces(line, block).join(times, ["__key", "block"], "left").select(
+    taken = _pieces(line, src).join(times, ["__key", "block"], "left").select(
         "doc_id", "__key", "__size", "__pos", (F.col("__words") * F.coalesce("times", F.lit(0))).alias("__taken")
     )
     none = line.filter("__size = 0").select("doc_id", "__key", "__size", "__pos", F.lit(0).cast("long").alias("__taken"))
     per = taken.groupBy("doc_id", "__key", "__size", "__pos").agg(F.sum("__taken").alias("__taken")).unionByName(none)
-    return per.join(src.withColumnRenamed("key", "__key"), "__key").select(
+    return per.join(src.drop("length").withColumnRenamed("key", "__key"), "__key").select(
         F.col("doc_id"), F.col("__size").alias("size"), "source_size", "target", F.col("__taken").alias("taken")
     )
 
@@ -173,9 +180,9 @@ def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """
     docs = docs.drop("mix_shard", "mix_epoch")
     sized = _sized(docs)
-    _, plan, block, rows = _plan(sized.select("__key", "source", "__size"), cfg)
+    src, plan, rows = _plan(sized.select("__key", "source", "__size"), cfg)
     line = written(_on_line(sized, rows, cfg).drop("__draw", "__part", "__inside", "__first"), "mix-texts")
-    pieces = _pieces(line.select("__key", "__pos", "__size"), block)
+    pieces = _pieces(line.select("__key", "__pos", "__size"), src)
     chosen = pieces.join(plan.withColumnRenamed("key", "__key"), ["__key", "block"]).groupBy("__key", "__pos", F.col("epoch").alias("__epoch")).agg(
         F.sort_array(F.collect_list(F.struct("__from", "__words"))).alias("__cuts"), F.min("shard").alias("__shard"), F.sum("__words").alias("__got")
     )

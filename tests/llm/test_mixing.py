@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from flipside.llm.mixing import MixConfig, mix_documents, mix_totals, shard_quotas
+from flipside.llm.mixing import MixConfig, _plan, _sized, mix_documents, mix_totals, shard_quotas
 from tests.llm.helpers import docs, empty, rows_of
 
 
@@ -75,6 +75,22 @@ def test_documents_hold_the_words_taken(spark):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_small_sources_beside_a_huge_one(spark):
+    i = F.col("doc_id")
+    name = F.when(i == 7, "tiny").when(i == 8, None).when(i == 9, "word").when(i < 40, F.concat(F.lit("s"), i % 4)).otherwise("huge")
+    df = corpus(spark).withColumns({"source": name, "text": F.when(i == 9, "one").otherwise(F.col("text"))})
+    cfg = MixConfig(blocks=16)  # of about 250 words each; "tiny" has 11
+    got = by_source(mix_totals(df, cfg))
+    assert len(got) == 8 and min(r["source_size"] for r in got) == 1
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= max(0.03 * r["target"], 1)
+    kept = {r["source"] for r in mix_documents(df, cfg).select("source").distinct().collect()}
+    assert kept == {"tiny", None, "word", "huge", "s0", "s1", "s2", "s3"}
+    src, plan, _ = _plan(_sized(df), cfg)
+    words = [r["n"] for r in plan.join(src, "key").groupBy("shard").agg(F.sum("length").alias("n")).collect()]
+    assert len(words) == 16 and max(words) - min(words) <= 0.1 * max(words) + 500
+
+
 def test_reruns_and_partitions_agree(spark):
     df = corpus(spark, 500)
     assert rows_of(mix_totals(df.repartition(7))) == rows_of(mix_totals(df.coalesce(1)))
