@@ -7,7 +7,8 @@ one child per chosen position, named after the set's hash there; sets that
 agree often meet again and again.  Small nodes, and nodes that choosing further
 would not thin out, are compared pair by pair; other large nodes are split
 again.  Runs are repeated until a pair at the threshold is found with the
-target recall.  Every compared pair is judged on the exact shingle sets.
+target recall.  Sets of nodes that are split below `design_depth` go through
+more runs, as a pair is lost more easily on a longer path.  Every compared pair is judged on the exact shingle sets.
 
 Equal sets are one class from the start.  Large nodes are compared in pairs of
 blocks, so neither copies nor near copies meet in one task, and no pair leaves
@@ -43,7 +44,7 @@ class JoinConfig:
     words: int = 5
     threshold: float = 0.8
     hashes: int = 128  # T
-    recall: float = 0.999  # of a pair at the threshold that must go `design_depth` nodes deep
+    recall: float = 0.999  # of a pair at the threshold, however deep its nodes are
     design_depth: int = 4
     max_depth: int = 8
     small: int = 256  # sets that a node may hold to be compared at once
@@ -52,16 +53,40 @@ class JoinConfig:
     slack: float = 0.18  # sketches this far below the threshold are still compared exactly: 5 standard deviations
     seed: int = 5
 
-    @property
-    def runs(self) -> int:
-        """Runs until (1 - chance to meet in one run) ** runs is below 1 - recall."""
+    def _runs(self, depth: int, part: float) -> int:
+        """Runs until a pair at the threshold that must go `depth` nodes deep is missed by `part` of 1 - recall at most.
+
+        All runs read one sketch, so the pair's agreement there is the same in
+        each: the misses are averaged over that binomial number.
+        """
         low = math.floor(1 / self.threshold)
         more = 1 / self.threshold - low
-        meet = 1.0
-        for _ in range(self.design_depth):
-            miss = 1 - self.threshold * meet
+        agree = np.arange(self.hashes + 1)
+        ways = [math.lgamma(self.hashes + 1) - math.lgamma(k + 1) - math.lgamma(self.hashes - k + 1) for k in range(self.hashes + 1)]
+        odds = np.exp(ways + agree * math.log(self.threshold) + (self.hashes - agree) * math.log1p(-self.threshold))
+        meet = np.ones(self.hashes + 1)
+        for _ in range(depth):
+            miss = 1 - agree / self.hashes * meet
             meet = 1 - (1 - more) * miss**low - more * miss ** (low + 1)
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - meet)))
+        runs = 1
+        while odds @ (1 - meet) ** runs > (1 - self.recall) * part:
+            runs += 1
+        return runs
+
+    @property
+    def runs(self) -> int:
+        """Runs of all sets."""
+        return self._runs(self.design_depth, 0.55)
+
+    @property
+    def deep_runs(self) -> int:
+        """Runs, the first ones included, of sets in nodes that are split below `design_depth`.
+
+        A pair is lost when no run takes it to `design_depth`, or when one does
+        into a node that is split again, which gives both sets these runs, and
+        all of them miss it: 1 - recall at most together.
+        """
+        return self._runs(max(self.max_depth, self.design_depth), 0.45)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -141,12 +166,12 @@ def _children(nodes: np.ndarray, sigs: np.ndarray, cfg: JoinConfig) -> Iterator[
         yield rows, mix(v ^ mix((position << U64(32)) + value + U64(1)))
 
 
-def _roots(batches: Iterator[pa.RecordBatch], cfg: JoinConfig) -> Iterator[pa.RecordBatch]:
+def _roots(batches: Iterator[pa.RecordBatch], cfg: JoinConfig, runs: range) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not len(b):
             continue
         sids, sigs = np.asarray(b.column(0)), _sig_matrix(b.column(1), cfg.hashes)
-        for run in range(cfg.runs):
+        for run in runs:
             root = np.full(len(b), mix(np.array([cfg.seed * 1000 + run]))[0], U64)
             for rows, child in _children(root, sigs, cfg):
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(sids[rows])], names=["node", "sid"])
@@ -161,11 +186,10 @@ def _split(batches: Iterator[pa.RecordBatch], cfg: JoinConfig) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(sids[rows]), pa.array(sizes[rows])], names=["node", "sid", "above"])
 
 
-def _leaves(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
-    """(node, sid, size): all nodes to compare, level by level."""
-    sigs = sets.filter("n > 0").select("sid", "sig")
-    members = sigs.mapInArrow(partial(_roots, cfg=cfg), "node long, sid long").withColumn("above", F.lit(None).cast("long"))
-    leaves = None
+def _run_leaves(sigs: DataFrame, cfg: JoinConfig, runs: range) -> tuple[DataFrame, DataFrame | None]:
+    """(node, sid, size): the nodes to compare of some runs, level by level; sids of nodes split below `design_depth`."""
+    members = sigs.mapInArrow(partial(_roots, cfg=cfg, runs=runs), "node long, sid long").withColumn("above", F.lit(None).cast("long"))
+    leaves = deep = None
     for depth in range(1, cfg.max_depth + 1):
         members = written(members, "paths")
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -177,9 +201,21 @@ def _leaves(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
         large = level.filter("not leaf")
         if large.isEmpty():
             break
+        if depth == cfg.design_depth:
+            deep = large.select("sid").distinct()
         fed = large.join(sigs, "sid").select("node", "sid", "size", "sig")
         members = fed.mapInArrow(partial(_split, cfg=cfg), "node long, sid long, above long")
-    return leaves
+    return leaves, deep
+
+
+def _leaves(sets: DataFrame, cfg: JoinConfig) -> DataFrame:
+    """(node, sid, size): all nodes to compare."""
+    sigs = sets.filter("n > 0").select("sid", "sig")
+    leaves, deep = _run_leaves(sigs, cfg, range(cfg.runs))
+    if deep is None or cfg.deep_runs <= cfg.runs:
+        return leaves
+    more, _ = _run_leaves(written(sigs.join(deep, "sid"), "deep-sets"), cfg, range(cfg.runs, cfg.deep_runs))
+    return leaves.unionByName(more)
 
 
 def _block_pairs(leaves: DataFrame, cfg: JoinConfig) -> DataFrame:

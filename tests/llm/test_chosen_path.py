@@ -64,6 +64,20 @@ def test_large_near_group_in_many_blocks(spark):
     assert got(jaccard_classes(docs(spark, rows), cfg)) == plain(rows)
 
 
+def test_recall_in_deep_nodes(spark):
+    passage = [f"p{k}" for k in range(125)]
+    rows = []
+    for i in range(300):  # one passage in all, 150 pairs of 0.81
+        own = [f"o{i // 2}x{k}" for k in range(25)]
+        for j in (4, 12, 20):
+            own[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(passage + own), "en", "a", 0))
+    cfg = JoinConfig(small=2, dense=2.0, recall=0.9)
+    links = [r["links"] for r in jaccard_classes(docs(spark, rows), cfg).collect()]
+    assert sum(n for *_, n in plain(rows)) == 300
+    assert 0.9 * 300 <= sum(links) <= 300
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_odd_rows(spark, clash):
     assert got(jaccard_classes(docs(spark, clash=clash))) == plain(ODD)
