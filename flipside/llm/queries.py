@@ -15,6 +15,7 @@ from flipside.llm.learned_partitions import nearest
 from flipside.llm.mixing import mix_totals
 from flipside.llm.pow2_packing import pack_pow2
 from flipside.llm.secret_ledger import BASE_KINDS, scan_secrets
+from flipside.llm.spill_alignment import align_documents
 from flipside.llm.url_rules import ListRule, MiningConfig, judge_urls
 
 URL_RULES = (
@@ -83,7 +84,13 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules)}
+def op13_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules, op13_spill_alignment)}
 
 _NAMES = ", ".join(f"'{n}'" for n in MiningConfig().listed_names)
 # Disjoint or nested rules, the longest text first.
