@@ -9,6 +9,7 @@ from flipside.llm.chosen_path import jaccard_classes
 from flipside.llm.common import table
 from flipside.llm.exact_dedup import exact_dedup
 from flipside.llm.interpolated_lm import score_documents
+from flipside.llm.itq_dedup import near_vectors
 from flipside.llm.kd_sharding import kd_shards
 from flipside.llm.kernel_quality import score_quality
 from flipside.llm.learned_partitions import nearest
@@ -84,13 +85,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op12_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules, op13_spill_alignment)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules, op12_itq_dedup, op13_spill_alignment)}
 
 _NAMES = ", ".join(f"'{n}'" for n in MiningConfig().listed_names)
 # Disjoint or nested rules, the longest text first.
@@ -126,4 +131,15 @@ select d.doc_id, g.keep_id, g.group_size,
        sha256(d.norm) as text_sha256
 from d join g using (norm)""",
     "op10_url_rules": _URL_SQL,
+    "op12_itq_dedup": """
+with recursive v as (select row_number() over () as n, vec_id, label, embedding::double[] as x from embeddings),
+ok as (select *, sqrt(list_inner_product(x, x)) as len from v
+  where label is not null and x is not null and len(list_filter(x, lambda a: a is null or not isfinite(a))) = 0 and len(list_filter(x, lambda a: a <> 0)) > 0),
+links as (select a.n as i, b.n as j from ok a join ok b on a.label = b.label and len(a.x) = len(b.x) and a.n <> b.n
+  where list_inner_product(a.x, b.x) / (a.len * b.len) >= 0.98::double),
+reach as (select n as i, n as j from v union select r.i, l.j from reach r join links l on r.j = l.i),
+c as (select r.i, min(v.vec_id) as component_id from reach r join v on v.n = r.j group by r.i),
+k as (select i, count(*) as n_links from links group by i)
+select v.vec_id, coalesce(k.n_links, 0)::bigint as n_links, c.component_id, v.vec_id is not distinct from c.component_id as kept
+from v join c on c.i = v.n left join k on k.i = v.n""",
 }
