@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipside.llm.chosen_path import jaccard_classes
@@ -15,6 +15,7 @@ from flipside.llm.kernel_quality import score_quality
 from flipside.llm.learned_partitions import nearest
 from flipside.llm.mixing import mix_totals
 from flipside.llm.pow2_packing import pack_pow2
+from flipside.llm.rns_negatives import hard_negatives
 from flipside.llm.secret_ledger import BASE_KINDS, scan_secrets
 from flipside.llm.spill_alignment import align_documents
 from flipside.llm.url_rules import ListRule, MiningConfig, judge_urls
@@ -85,6 +86,15 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def moved_label() -> Column:
+    """The label of a row; every seventh vec_id counts for the next class."""
+    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def op11_rns_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, moved_label())
+
+
 def op12_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -95,7 +105,7 @@ def op13_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules, op12_itq_dedup, op13_spill_alignment)}
+QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules, op11_rns_negatives, op12_itq_dedup, op13_spill_alignment)}
 
 _NAMES = ", ".join(f"'{n}'" for n in MiningConfig().listed_names)
 # Disjoint or nested rules, the longest text first.
@@ -131,6 +141,15 @@ select d.doc_id, g.keep_id, g.group_size,
        sha256(d.norm) as text_sha256
 from d join g using (norm)""",
     "op10_url_rules": _URL_SQL,
+    "op11_rns_negatives": """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as lab, list_transform(embedding, lambda a: floor(256 * a::double)) as q from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda a: a is null or not isfinite(a))) = 0),
+s as (select a.vec_id as anchor_id, r.vec_id, r.lab = a.lab as same, list_inner_product(a.q, r.q)::bigint as score
+  from v a join v r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+n as (select p.*, s.vec_id as negative_id, s.score as negative_score, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id)::int as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10""",
     "op12_itq_dedup": """
 with recursive v as (select row_number() over () as n, vec_id, label, embedding::double[] as x from embeddings),
 ok as (select *, sqrt(list_inner_product(x, x)) as len from v
