@@ -76,7 +76,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_ledger(spark, path: str) -> DataFrame:
-    """The ledger's rows; none when it was never written."""
+    """The ledger's rows as written; none when it was never written.  Two scans at once may both have added a blob."""
     schema = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rule_version", T.StringType()), T.StructField("spans", SPANS)])
     try:
         return spark.read.schema(schema).parquet(path)
@@ -86,11 +86,17 @@ def read_ledger(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _known(spark, ledger: str) -> DataFrame:
+    """One row per blob scanned under the present rules."""
+    return read_ledger(spark, ledger).filter(F.col("rule_version") == rule_version()).dropDuplicates(["blob"])
+
+
 def scan_secrets(docs: DataFrame, ledger: str | None = None, path: str = "doc_id") -> DataFrame:
     """path, blob, spans for every row of `docs`.
 
     Reads the path column and text; a null text is empty and has no spans, a
-    null path is a path like any other.  `ledger` is the table's folder, by
+    null path is a path like any other, and a path may repeat with equal or
+    different texts.  `ledger` is the table's folder, by
     default a new one in the shared folder.  Copies are scanned once, whatever
     their number; repeated rows get the same spans.  An empty table gives an
     empty table.
@@ -99,12 +105,14 @@ def scan_secrets(docs: DataFrame, ledger: str | None = None, path: str = "doc_id
     ledger = ledger or shared_path(spark, "secret-ledger")
     text = F.coalesce(F.col("text"), F.lit(""))
     versions = docs.select(F.col(path).alias("__path"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
-    known = read_ledger(spark, ledger).filter(F.col("rule_version") == rule_version())
+    known = _known(spark, ledger)
     # One path carries each unseen blob to the scan; texts are dealt by path and blob, so copies do not meet.
     carriers = versions.groupBy("blob").agg(F.min("__path").alias("__carrier")).join(known.select("blob"), "blob", "left_anti")
     carriers = carriers.withColumnRenamed("blob", "__blob")
     unseen = versions.join(carriers.hint("shuffle_hash"), F.col("__path").eqNullSafe(F.col("__carrier")) & (F.col("blob") == F.col("__blob")))
     with shuffle_files_released(spark):
-        unseen.select("blob", "text").mapInArrow(_scan, read_ledger(spark, ledger).schema).write.mode("append").parquet(ledger)
-    found = read_ledger(spark, ledger).filter(F.col("rule_version") == rule_version()).select("blob", "spans")
+        # Repeated rows of the carrying path may be scanned by several tasks.
+        scanned = unseen.select("blob", "text").mapInArrow(_scan, read_ledger(spark, ledger).schema).dropDuplicates(["blob"])
+        scanned.write.mode("append").parquet(ledger)
+    found = _known(spark, ledger).select("blob", "spans")
     return versions.select("__path", "blob").join(found, "blob").select(F.col("__path").alias(path), "blob", "spans")

@@ -56,3 +56,22 @@ def test_odd_rows(spark):
     got = scan_secrets(docs(spark, clash=True))
     assert got.count() == len(ODD) and got.filter("size(spans) > 0").count() == 0
     assert scan_secrets(empty(spark)).count() == 0
+
+
+def test_repeated_rows_of_a_path_in_many_tasks_and_two_scans_at_once(spark, tmp_path):
+    """6,000 rows with a null id and one text: AQE splits their partition, and each piece scans the text."""
+    ledger = str(tmp_path / "ledger")
+    rows = [(None, "token=abcdefgh " + "x" * 200, None, None, 0)] * 6000 + [(i, f"text {i} token=abcdefgh{i}", None, None, 0) for i in range(500)]
+    tight = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(k, v)
+        got = scan_secrets(docs(spark, rows), ledger)
+        assert got.count() == 6500 and got.filter("size(spans) = 1").count() == 6500
+        assert read_ledger(spark, ledger).count() == 501
+        read_ledger(spark, ledger).limit(400).write.mode("append").parquet(ledger)  # what a second scan would have added
+        assert scan_secrets(docs(spark, rows), ledger).count() == 6500
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
