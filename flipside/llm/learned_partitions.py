@@ -165,19 +165,19 @@ def learn_router(classes: DataFrame, parts: int, cfg: PartitionConfig) -> Router
 
 def _index(batches: Iterator[pa.RecordBatch], router: Router | None) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        part = router.logits(_matrix(b.column(1))).argmax(axis=1) if router is not None and len(b) else np.zeros(len(b), int)
+        part = router.logits(_matrix(b.column(2))).argmax(axis=1) if router is not None and len(b) else np.zeros(len(b), int)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], names=[*b.schema.names, "part"])
 
 
 def _probe(batches: Iterator[pa.RecordBatch], router: Router | None, sizes: np.ndarray, least: int, cfg: PartitionConfig) -> Iterator[pa.RecordBatch]:
-    """(cid, vec, part) for the parts that a query visits."""
+    """(cid, first, vec, part) for the parts that a query visits."""
     for b in batches:
         if not len(b):
             continue
         if router is None:
             rows, part = np.arange(len(b)), np.zeros(len(b), int)
         else:
-            p = router.probabilities(_matrix(b.column(1)))
+            p = router.probabilities(_matrix(b.column(2)))
             order = np.argsort(-p, axis=1, kind="stable")
             sure = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
             rows_so_far = np.cumsum(sizes[order], axis=1)
@@ -188,36 +188,53 @@ def _probe(batches: Iterator[pa.RecordBatch], router: Router | None, sizes: np.n
             rows, at = np.nonzero(first[None, :] | before | few)
             part = order[rows, at]
         taken = b.take(pa.array(rows))
-        yield pa.RecordBatch.from_arrays([taken.column(0), taken.column(1), pa.array(part, pa.int32())], names=["cid", "vec", "part"])
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(part, pa.int32())], names=["cid", "first", "vec", "part"])
+
+
+_LISTS = "qid long, cids array<long>, firsts array<long>, scores array<double>"
+
+
+def _lists(qids: list, cids: list, firsts: list, scores: list) -> pa.RecordBatch:
+    long, double = pa.list_(pa.int64()), pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(cids, long), pa.array(firsts, long), pa.array(scores, double)], names=["qid", "cids", "firsts", "scores"])
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """One row per query of a chunk: its k best classes of a block (qid, cids, scores)."""
+    """One row per query of a chunk: its k best classes of a block, ties by the class's smallest id."""
     for group in key_runs(batches, 3):
         query = np.asarray(group.column(3)).astype(bool)
         if not query.any() or query.all():
             continue
-        cid, x = np.asarray(group.column(4)), _matrix(group.column(5))
-        q, c = x[query], x[~query]
-        score = q @ c.T
+        cid, first, x = np.asarray(group.column(4)), np.asarray(group.column(5)), _matrix(group.column(6))
+        q, c, cids, firsts = x[query], x[~query], cid[~query], first[~query]
         many = min(k, len(c))
-        best = np.argpartition(-score, many - 1, axis=1)[:, :many]
-        # The measure again, row by row, so that it does not depend on the block's shape.
-        exact = np.einsum("qkd,qd->qk", c[best], q)
-        lists = [pa.array(list(v), pa.list_(t)) for v, t in ((cid[~query][best], pa.int64()), (exact, pa.float64()))]
-        yield pa.RecordBatch.from_arrays([pa.array(cid[query]), *lists], names=["qid", "cids", "scores"])
+        # What rounding can change decides by the measure itself, taken row by row.
+        slack = 1e-12 * np.sqrt((q * q).sum(axis=1) * (c * c).sum(axis=1).max())
+        out: list[list] = [[], [], []]
+        for at in range(0, len(q), 64):
+            part = q[at : at + 64]
+            score = part @ c.T
+            edge = np.partition(score, len(c) - many, axis=1)[:, len(c) - many] - slack[at : at + 64]
+            i, j = np.nonzero(score >= edge[:, None])
+            exact = np.einsum("nd,nd->n", part[i], c[j])
+            order = np.lexsort((firsts[j], -exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            starts = np.searchsorted(i, np.arange(len(part)))
+            for lo, hi in zip(starts, np.append(starts[1:], len(i))):
+                top = slice(lo, min(hi, lo + many))
+                for kept, values in zip(out, (cids[j[top]], firsts[j[top]], exact[top])):
+                    kept.append(values)
+        yield _lists(cid[query], *out)
 
 
 def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """One row per query: the k best of all its parts and blocks."""
     rows = []
     for group in key_runs(batches, 1):
-        cid, score = (np.asarray(group.column(i).combine_chunks().flatten()) for i in (1, 2))
-        order = np.lexsort((cid, -score))[:k]
-        rows.append((group.column(0)[0].as_py(), cid[order], score[order]))
-    types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
-    cols = list(zip(*rows)) if rows else [[], [], []]
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["qid", "cids", "scores"])
+        cid, first, score = (np.asarray(group.column(i).combine_chunks().flatten()) for i in (1, 2, 3))
+        order = np.lexsort((first, -score))[:k]
+        rows.append((group.column(0)[0].as_py(), cid[order], first[order], score[order]))
+    yield _lists(*map(list, zip(*rows))) if rows else _lists([], [], [], [])
 
 
 def _valid(vec: Column) -> Column:
@@ -231,8 +248,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, cfg: PartitionCon
     Reads vec_id and embedding.  A row takes no part when its id or vector is
     null, when the vector is all zeros, holds a null or non-finite component, or
     has not the most frequent number of components.  Equal scores go by the
-    smaller vec_id; repeated rows (same id and vector) count once.  Fewer
-    candidates give fewer rows, an empty table none.
+    smaller vec_id, whether the vectors are equal or not; repeated rows (same id
+    and vector) count once.  An id with several vectors is a candidate with each
+    of them, and as a query has one list, with its own ranks, per vector; its
+    own id is in none of them.  Fewer candidates give fewer rows, an empty table
+    none.
     """
     vec = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vec.alias("vec"), is_query.alias("query"))
@@ -243,17 +263,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, cfg: PartitionCon
     # A class keeps the k + 1 smallest ids of its rows: a query leaves out itself at most.
     first = rows.select("k1", "k2", "vec_id").distinct().withColumn("n", F.row_number().over(W.partitionBy("k1", "k2").orderBy("vec_id"))).filter(F.col("n") <= k + 1)
     ids = first.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    one = rows.join(ids.select("k1", "k2", "ids", F.col("ids")[0].alias("cid")), ["k1", "k2"]).filter("vec_id = cid").dropDuplicates(["k1", "k2"])
-    classes = written(one.select("cid", "vec", "ids", "k1", "k2"), "classes")
+    one = rows.join(ids.select("k1", "k2", "ids", F.col("ids")[0].alias("first")), ["k1", "k2"]).filter("vec_id = first").dropDuplicates(["k1", "k2"])
+    classes = written(one.select(F.monotonically_increasing_id().alias("cid"), "first", "vec", "ids", "k1", "k2"), "classes")
     n = classes.count()
     parts = min(cfg.most_parts, max(1, n // cfg.rows_per_part))
     router = learn_router(classes, parts, cfg)
-    indexed = written(classes.select("cid", "vec").mapInArrow(partial(_index, router=router), "cid long, vec array<double>, part int"), "index")
+    kind = "cid long, first long, vec array<double>, part int"
+    indexed = written(classes.select("cid", "first", "vec").mapInArrow(partial(_index, router=router), kind), "index")
     held = np.zeros(parts)
     for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # most_parts rows
         held[r["part"]] = r["n"]
-    asked = rows.filter("query").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select("cid", "vec")
-    probes = written(asked.mapInArrow(partial(_probe, router=router, sizes=held, least=k + 1, cfg=cfg), "cid long, vec array<double>, part int"), "probes")
+    asked = rows.filter("query").select("k1", "k2").distinct().join(classes, ["k1", "k2"]).select("cid", "first", "vec")
+    probes = written(asked.mapInArrow(partial(_probe, router=router, sizes=held, least=k + 1, cfg=cfg), kind), "probes")
     blocks = [max(1, math.ceil(h / cfg.block)) for h in held]
     asks = {r["part"]: r["n"] for r in probes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     chunks = [max(1, math.ceil(asks.get(i, 0) / cfg.block)) for i in range(parts)]
@@ -264,13 +285,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, cfg: PartitionCon
     def side(df: DataFrame, query: bool) -> DataFrame:
         own, other = (chunks, blocks) if query else (blocks, chunks)
         mine = F.pmod(F.xxhash64("cid"), of_part(own)).cast("int")
-        df = df.select("part", mine.alias("mine"), F.explode(F.sequence(F.lit(0), of_part(other) - 1)).alias("other"), "cid", "vec")
+        df = df.select("part", mine.alias("mine"), F.explode(F.sequence(F.lit(0), of_part(other) - 1)).alias("other"), "cid", "first", "vec")
         block, chunk = ("other", "mine") if query else ("mine", "other")
-        return df.select("part", F.col(block).alias("block"), F.col(chunk).alias("chunk"), F.lit(query).alias("query"), "cid", "vec")
+        return df.select("part", F.col(block).alias("block"), F.col(chunk).alias("chunk"), F.lit(query).alias("query"), "cid", "first", "vec")
 
     fed = side(probes, True).unionByName(side(indexed, False)).repartition("part", "block", "chunk").sortWithinPartitions("part", "block", "chunk")
-    lists_kind = "qid long, cids array<long>, scores array<double>"
-    hits = fed.mapInArrow(partial(_best, k=k + 1), lists_kind).repartition("qid").sortWithinPartitions("qid").mapInArrow(partial(_merge, k=k + 1), lists_kind)
+    hits = fed.mapInArrow(partial(_best, k=k + 1), _LISTS).repartition("qid").sortWithinPartitions("qid").mapInArrow(partial(_merge, k=k + 1), _LISTS)
     hits = hits.select("qid", F.explode(F.arrays_zip("cids", "scores")).alias("c")).select("qid", F.col("c.cids").alias("cid"), F.col("c.scores").alias("score"))
     rows_hit = hits.join(classes.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     best = rows_hit.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)

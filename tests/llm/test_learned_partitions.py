@@ -69,3 +69,24 @@ def test_parts_are_balanced():
     assert sizes.max() <= 1.1 * 400 / 7 + 1 and sizes.min() > 0
     shuffled = rng.permutation(label)
     assert (label[graph] == label[:, None]).mean() > 1.5 * (shuffled[graph] == shuffled[:, None]).mean()
+
+
+def test_ties_between_different_vectors_go_to_the_smaller_id(spark):
+    """306 different vectors of -1, 0 and 1: nearly every score is shared by many."""
+    rng = np.random.default_rng(7)
+    x = np.unique(rng.integers(-1, 2, (320, 8)), axis=0)
+    x = x[np.abs(x).sum(axis=1) > 0][rng.permutation(len(x) - int((np.abs(x).sum(axis=1) == 0).any()))]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    want = plain(rows, lambda i: i % 10 == 0, 20)
+    for cfg in (PartitionConfig(), PartitionConfig(block=50)):
+        got = nearest(table(spark, rows), F.col("vec_id") % 10 == 0, 20, cfg)
+        found = {q: [v for _, v in sorted(r)] for q, r in got.rdd.map(lambda r: (r["query_id"], [(r["rank"], r["vec_id"])])).reduceByKey(lambda a, b: a + b).collect()}
+        assert found == want
+
+
+def test_an_id_with_two_vectors_has_a_list_for_each(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [3.0, 1.0]), (22, [1.0, 4.0]), (23, [2.0, 2.0])]
+    got = nearest(table(spark, rows), F.col("vec_id") % 20 == 0, 20)
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted([(1, 21, 3.0), (2, 23, 2.0), (3, 22, 1.0), (1, 22, 4.0), (2, 23, 2.0), (3, 21, 1.0)])
+    other = nearest(table(spark, rows), F.col("vec_id") == 23, 20)
+    assert [(r["vec_id"], r["score"]) for r in other.orderBy("rank").collect()] == [(22, 10.0), (21, 8.0), (20, 2.0), (20, 2.0)]
