@@ -40,6 +40,29 @@ def value_buckets(df: DataFrame, col: str, buckets: int | None = None) -> DataFr
     return cut.transform(df.withColumn("__v", F.col(col).cast("double"))).drop("__v")
 
 
+def count_below(ordered: Column, x: Column, most: int, strict: bool = False) -> Column:
+    """How many of the at most `most` members of an ascending array are <= x (< x if strict), by halving steps."""
+    steps = [1 << b for b in range(most.bit_length() - 1, -1, -1)]
+
+    def step(at: Column, by: Column) -> Column:
+        member = F.get(ordered, at + by - 1)
+        return F.when((member < x) if strict else (member <= x), at + by).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), step)
+
+
+def group_buckets(df: DataFrame, by: Sequence[str], col: str, buckets: int | None = None) -> DataFrame:
+    """Add BUCKET: an order-preserving bucket number of `col` inside each group.
+
+    Unlike with `value_buckets`, every group has its own edges, so features on
+    different scales are all cut into buckets of about equal row counts.
+    """
+    n = buckets or bucket_count(df.sparkSession)
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    edges = materialise(df.groupBy(*by).agg(F.percentile_approx(F.col(col).cast("double"), shares, F.lit(4 * n)).alias("__edges")))
+    return attach(df, edges, by).withColumn(BUCKET, count_below(F.col("__edges"), F.col(col), n - 1).cast("double")).drop("__edges")
+
+
 def uniform_buckets(df: DataFrame, unit: Column, buckets: int | None = None) -> DataFrame:
     """Add BUCKET for an order column known to be uniform on [0,1)."""
     n = buckets or bucket_count(df.sparkSession)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise
 from flipside.functions.keyed import text_uniform01, uniform01
-from flipside.functions.ranks import positions, shuffled_positions
+from flipside.functions.stats import total
+from flipside.functions.ranks import BUCKET, group_buckets, long_form, positions, running_totals, shuffled_positions, value_buckets
 
 # The seed of the loading shuffle and the class kept first past the cap.
 LOAD_SEED = 13
@@ -30,12 +31,65 @@ SIGNATURE = [
 ]
 
 
-def dataset_profile(df: DataFrame, features: Sequence[str], label: str, by: str = "dataset_id", symbolic: Sequence[str] = ()) -> DataFrame:
+def autocorrelation(df: DataFrame, label: str, by: str = "dataset_id", key: str = "row_id") -> DataFrame:
+    """(dataset, autocorrelation): the share of consecutive rows, in key order, whose labels are equal.
+
+    Rows without a label are left out; a dataset with fewer than two others has
+    NULL.  The order is cut into buckets; labels are compared inside a bucket,
+    and each bucket hands its last label to the next one of its dataset.
+    """
+    rows = df.select(by, key, F.col(label).alias("__y")).filter("__y is not null")
+    inside = W.partitionBy(by, BUCKET).orderBy(key)
+    same = value_buckets(rows, key).withColumn("__same", (F.col("__y") == F.lag("__y").over(inside)).cast("long"))
+    ends = same.groupBy(by, BUCKET).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__same"), F.lit(0)).alias("same"), F.min_by("__y", key).alias("first"), F.max_by("__y", key).alias("last")
+    )
+    border = F.col("first") == F.lag("last").over(W.partitionBy(by).orderBy(BUCKET))
+    out = ends.withColumn("same", F.col("same") + F.coalesce(border.cast("long"), F.lit(0))).groupBy(by).agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    return out.select(by, F.when(F.col("n") > 1, F.col("same") / (F.col("n") - 1)).alias("autocorrelation"))
+
+
+def stump_auc(df: DataFrame, features: Sequence[str], label: str, by: str = "dataset_id", max_classes: int = CLASS_CUT) -> DataFrame:
+    """(dataset, stump_auc): the best AUC that one threshold on one feature reaches.
+
+    A split scores class c against the rest with 1/2 + |share of c below - share
+    of the others below| / 2; classes weigh by their rows.  Missing values lie
+    below all others.  Datasets with one class, or more than `max_classes`, have
+    NULL.  Equal values are merged first, then one pass of running totals, one
+    per class, judges every threshold of every feature.
+    """
+    rows = df.select(by, *features, F.col(label).alias("__y")).filter("__y is not null")
+    classes = rows.groupBy(by, "__y").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = classes.groupBy(by).agg(F.count(F.lit(1)).alias("__k"))
+    few = classes.join(sizes.filter(F.col("__k").between(2, max_classes)), by)
+    codes = materialise(few.select(by, "__y", (F.row_number().over(W.partitionBy(by).orderBy("__y")) - 1).alias("__c")))
+    cells = long_form(rows.join(codes, [by, "__y"]), [by], features, ["__c"])
+    keys = [by, "feat"]
+    value = F.coalesce("value", F.lit(float("-inf"))).alias("value")
+    distinct = cells.groupBy(*keys, value).agg(*[F.sum((F.col("__c") == c).cast("long")).alias(f"n{c}") for c in range(max_classes)])
+    run = running_totals(group_buckets(distinct, keys, "value"), keys, [F.col("value")], {f"n{c}": F.col(f"n{c}") for c in range(max_classes)})
+    below = total([F.col(f"run_n{c}") for c in range(max_classes)])
+    rows_all = total([F.col(f"all_n{c}") for c in range(max_classes)])
+
+    def weighed(c: int) -> Column:
+        own, hit = F.col(f"all_n{c}"), F.col(f"run_n{c}")
+        return F.when(own > 0, F.abs(hit / own - (below - hit) / (rows_all - own)) * own).otherwise(0.0)
+
+    split = F.lit(0.5) + total([weighed(c) for c in range(max_classes)]) / (rows_all * 2.0)
+    best = run.select(by, split.alias("auc")).groupBy(by).agg(F.max("auc").alias("stump_auc"))
+    return sizes.select(by).join(best, by, "left")
+
+
+def dataset_profile(df: DataFrame, features: Sequence[str], label: str, by: str = "dataset_id", symbolic: Sequence[str] = (), key: str | None = None) -> DataFrame:
     """One catalog row per dataset.
 
     Counting by (dataset, label) first keeps the shuffle to one row per class
-    and map task.
+    and map task.  With a `key` that orders the rows the catalog also holds
+    `autocorrelation` and `stump_auc`.
     """
+    if key is not None:
+        plain = dataset_profile(df, features, label, by, symbolic)
+        return plain.join(autocorrelation(df, label, by, key), by, "left").join(stump_auc(df, features, label, by), by, "left")
     holes = [F.col(f).isNull().cast("long") for f in features]
     missing = holes[0]
     for h in holes[1:]:
@@ -138,7 +192,7 @@ def catalog_exclude(catalog: DataFrame, other: DataFrame, substrings: Sequence[s
 
 def class_skew_filter(catalog: DataFrame, min_ratio: float = 0.05) -> DataFrame:
     """Keep datasets whose minority class is not too rare; drop the ones whose
-    autocorrelation or stump AUC is exactly 1, where those columns exist."""
+    autocorrelation or stump AUC is exactly 1, where the profile computed them."""
     out = catalog.filter(F.col("minority") / F.col("majority") > min_ratio)
     for c in ("autocorrelation", "stump_auc"):
         if c in catalog.columns:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from flipside.operators import catalog as B
 from flipside.plans.inputs import FEATURES, OF_SQL, U, UT, order_features, s, table
-from flipside.plans.registry import query
+from flipside.plans.registry import R, query, rounded
+from flipside.session import checkpointed
 
 _HOLES = "(" + "+".join(f"({f} is null)::int" for f in FEATURES) + ")"
 
@@ -115,6 +116,44 @@ def b6(spark, sf):
     return B.class_skew_filter(supplier_catalog(spark, sf), 0.85).select(*_COLS)
 
 
+# Every segment three times: with its own labels, with labels that a price decides, and with one label.
+_KINDS_SQL = f"""{OF_SQL}, kd_ as (select dataset_id || '/' || k.k as dataset_id, row_id, f_0, f_1, f_2, f_3, f_4,
+  case k.k when 'own' then label_str when 'easy' then case when f_0 > 150000 then 'high' else 'low' end else 'same' end as y from of_ cross join (values ('own'), ('easy'), ('one')) k(k)),
+ks_ as (select dataset_id, y, count(*) as n from kd_ group by 1, 2),
+kp_ as (select dataset_id, sum(n)::bigint as n_instances, count(*) as n_classes, min(n) as minority, max(n) as majority from ks_ group by 1),
+ka_ as (select dataset_id, y = lag(y) over (partition by dataset_id order by row_id) as same from kd_),
+kb_ as (select dataset_id, sum(same::int)::double / count(same) as autocorrelation from ka_ group by 1),
+kv_ as ({' union all '.join(f"select dataset_id, {i} as feat, coalesce({f}, '-inf'::double) as v, y from kd_" for i, f in enumerate(FEATURES))}),
+kc_ as (select dataset_id, feat, v, y, count(*) as c from kv_ group by all),
+kg_ as (select u.dataset_id, u.feat, u.v, ks_.y, ks_.n, coalesce(c, 0) as c from (select distinct dataset_id, feat, v from kv_) u join ks_ on ks_.dataset_id = u.dataset_id
+  left join kc_ on kc_.dataset_id = u.dataset_id and kc_.feat = u.feat and kc_.v = u.v and kc_.y = ks_.y),
+kr_ as (select dataset_id, feat, v, n, sum(c) over (partition by dataset_id, feat, y order by v) as hit from kg_),
+kt_ as (select *, sum(n) over g as al, sum(hit) over g as below from kr_ window g as (partition by dataset_id, feat, v)),
+ku_ as (select dataset_id, feat, v, 0.5::double + sum(n * abs(hit::double / n - (below - hit)::double / (al - n))) / (2.0::double * any_value(al)) as auc from kt_ where al > n group by 1, 2, 3),
+kw_ as (select dataset_id, max(auc) as stump_auc from ku_ group by 1),
+kx_ as (select dataset_id, n_instances, n_classes, minority, majority, autocorrelation, stump_auc from kp_ join kb_ using (dataset_id) left join kw_ using (dataset_id))"""
+_EASE = ["dataset_id", "n_instances", "n_classes", "minority", "majority", "autocorrelation", "stump_auc"]
+
+
+def _kinds(spark, sf):
+    rows = order_features(spark, sf).withColumn("kind", F.explode(F.array(F.lit("own"), F.lit("easy"), F.lit("one"))))
+    price = F.when(F.col("f_0") > 150000, "high").otherwise("low")
+    rows = rows.withColumn("y", F.when(F.col("kind") == "own", F.col("label_str")).when(F.col("kind") == "easy", price).otherwise("same"))
+    rows = checkpointed(rows.withColumn("dataset_id", F.concat_ws("/", "dataset_id", "kind")))
+    return B.dataset_profile(rows, FEATURES, "y", key="row_id").select(*_EASE)
+
+
+@query("b1_order_and_ease", f"with {_KINDS_SQL} select {', '.join(_EASE[:5])}, {R('autocorrelation', 'autocorrelation', 9)}, {R('stump_auc', 'stump_auc', 9)} from kx_")
+def b1_ease(spark, sf):
+    return rounded(_kinds(spark, sf), 9)
+
+
+@query("b6_without_sorted_and_easy", f"with {_KINDS_SQL} select {', '.join(_EASE[:5])} from kx_ where minority::double/majority > 0.02 and autocorrelation <> 1 and (stump_auc is null or stump_auc <> 1)")
+def b6_ease(spark, sf):
+    """The segments with their own labels stay; one price decides the second kind, the third has one label."""
+    return B.class_skew_filter(_kinds(spark, sf), 0.02).select(*_EASE[:5])
+
+
 @query("b7_restrict_binary", "select vec_id as row_id, label as y from embeddings where label < 2")
 def b7(spark, sf):
     return B.restrict_binary(table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").alias("y")))
