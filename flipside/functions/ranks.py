@@ -7,7 +7,7 @@ bucket at a time.  Bucket edges are plain literals, so both passes agree
 whatever happens to the tasks; they decide balance only, never the result.
 
 Exact quantiles take two passes: an approximate one brackets every wanted rank,
-and a second one counts what lies outside and sorts only what lies inside.
+and a second one counts what lies outside and orders only what lies inside.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, materialise
+from flipside.functions.stats import total
 
 BUCKET = "__bucket"
-FEW = 8  # quantiles that are cheaper to judge one by one
 ACCURACY = 5000  # of the approximate quantiles: ranks are off by 1/5000 of the rows at most
 
 
@@ -42,6 +42,9 @@ def value_buckets(df: DataFrame, col: str, buckets: int | None = None) -> DataFr
 
 def count_below(ordered: Column, x: Column, most: int, strict: bool = False) -> Column:
     """How many of the at most `most` members of an ascending array are <= x (< x if strict), by halving steps."""
+    if most <= 8:  # short enough to ask each, in generated code
+        asked = [(F.get(ordered, F.lit(i)) < x) if strict else (F.get(ordered, F.lit(i)) <= x) for i in range(most)]
+        return total([F.coalesce(a, F.lit(False)).cast("int") for a in asked])
     steps = [1 << b for b in range(most.bit_length() - 1, -1, -1)]
 
     def step(at: Column, by: Column) -> Column:
@@ -125,109 +128,118 @@ def long_form(df: DataFrame, by: Sequence[str], cols: Sequence[str], keep: Seque
     return df.select(*picked, cells.alias("__cell")).select(*picked, "__cell.feat", "__cell.value")
 
 
-def _each_bracket(cells: DataFrame, keys: Sequence[str], m: int) -> DataFrame:
-    """Every value is judged by each of a few brackets: -1 under, 0 inside, 1 over; all but the inside values merge."""
-    cells = cells.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    role = F.when(F.col("v") < F.get("lo", F.col("q")), -1).when(F.col("v") > F.get("hi", F.col("q")), 1).otherwise(0)
-    cells = cells.withColumn("role", role)
-    return cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
-    )
-
-
-def _along_brackets(cells: DataFrame, groups: DataFrame, by: Sequence[str], features: int, m: int) -> DataFrame:
-    """The same for many brackets: a value marks where being under and being over begins, and sums along the
-    brackets, over a few rows per group, give the counts."""
-    group, keys = [*by, "feat"], [*by, "feat", "q"]
-    cells = cells.withColumns({"under": F.size(F.filter("lo", lambda x: x <= F.col("v"))), "over": F.size(F.filter("hi", lambda x: x < F.col("v")))})
-    marks = F.array(F.struct(F.lit(-1).alias("role"), F.col("under").alias("q")), F.struct(F.lit(1).alias("role"), (F.col("over") - 1).alias("q")))
-    inside = F.when(F.col("under") > F.col("over"), F.transform(F.sequence("over", F.col("under") - 1), lambda q: F.struct(F.lit(0).alias("role"), q.alias("q"))))
-    cells = cells.select(*by, "feat", "v", F.explode(F.concat(marks, F.coalesce(inside, F.array().cast("array<struct<role:int,q:int>>")))).alias("__m"))
-    cells = cells.select(*by, "feat", "v", "__m.*")
-    found = cells.groupBy(*keys, "role", F.when(F.col("role") == 0, F.col("v")).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most")
-    )
-    none = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(features * m * 2 - 1))).alias("__i")).select(
-        *by, F.floor(F.col("__i") / (2 * m)).cast("int").alias("feat"), (F.floor(F.col("__i") / 2) % m).cast("int").alias("q"), (F.col("__i") % 2 * 2 - 1).alias("role"),
-        F.lit(None).cast("double").alias("value"), F.lit(0).cast("long").alias("n"),
-    )
-    none = none.withColumns({"least": F.lit(None).cast("double"), "most": F.lit(None).cast("double")})
-    sides = found.filter("role <> 0").unionByName(none).groupBy(*keys, "role").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
-    along = W.partitionBy(*group, "role").orderBy(F.col("q") * F.col("role") * -1).rowsBetween(W.unboundedPreceding, W.currentRow)
-    sides = sides.withColumns({"n": F.sum("n").over(along), "least": F.min("least").over(along), "most": F.max("most").over(along)})
-    sides = sides.filter((F.col("q") >= 0) & (F.col("q") < m)).withColumn("value", F.lit(None).cast("double"))
-    return sides.unionByName(found.filter("role = 0"))
-
+def peer_ranks(df: DataFrame, by: Sequence[str], col: str, key: str, name: str = "rank", buckets: int | None = None) -> DataFrame:
+    """Add `name`: the number of rows of the group whose `col` (never NULL) is at most the row's.
 
-def exact_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    cols: Sequence[str],
-    probs: Sequence[float],
-    kind: str = "linear",
-) -> DataFrame:
-    """Exact quantiles of many columns: one row per group, columns `<col>_q<i>`.
-
-    kind='lower' returns the smallest value with cumulative share >= p;
+    Approximate quantiles are the edges of segments; a value that is an edge has
+    a segment of its own, whose rows all share the segment's last place.  So a
+    frequent value, which is an edge for sure, needs no order and is dealt by
+    `key` over many tasks; only rows between two edges are ordered, a segment at
+    a time.
+    """
+    by = list(by)
+    n = buckets or bucket_count(df.sparkSession)
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)])
+    edges = materialise(df.groupBy(*by).agg(F.percentile_approx(F.col(col).cast("double"), shares, F.lit(4 * n)).alias("__edges")))
+    below, upto = (count_below(F.col("__edges"), F.col(col), n - 1, strict) for strict in (True, False))
+    cut = attach(df, edges, by).withColumns({"__below": below, "__upto": upto})
+    cut = cut.withColumns({"__seg": F.col("__below") + F.col("__upto"), "__level": F.col("__upto") > F.col("__below")}).drop("__edges", "__below", "__upto")
+    sizes = cut.groupBy(*by, "__seg").agg(F.count(F.lit(1)).alias("n"))
+    ends = sizes.withColumn("end", F.sum("n").over(W.partitionBy(*by).orderBy("__seg")))
+    # One ascending list of segments and of their last places per group, two per edge at most.
+    listed = ends.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("__seg", "end"))).alias("e"))
+    places = materialise(listed.select(*by, F.col("e.__seg").alias("__segs"), F.col("e.end").alias("__ends")))
+    deal = F.when(F.col("__level"), F.pmod(F.xxhash64(key), F.lit(n))).otherwise(F.lit(0).cast("long"))
+    out = attach(cut, places, by).withColumns({"__i": count_below(F.col("__segs"), F.col("__seg"), 2 * n), "__deal": deal})
+    out = out.withColumns({"__end": F.get("__ends", F.col("__i") - 1), "__start": F.coalesce(F.get("__ends", F.col("__i") - 2), F.lit(0))}).drop("__segs", "__ends", "__i")
+    inside = W.partitionBy(*by, "__seg", "__deal").orderBy(col).rangeBetween(W.unboundedPreceding, W.currentRow)
+    rank = F.when(F.col("__level"), F.col("__end")).otherwise(F.col("__start") + F.count(F.lit(1)).over(inside))
+    return out.withColumn(name, rank).drop("__seg", "__start", "__end", "__deal", "__level")
+
+
+def quantile_lists(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], kind: str = "linear") -> tuple[DataFrame, DataFrame]:
+    """The groups (by), and (by, feat, qs): the exact quantiles of every column that has values, as a map from the number of the probability.
+
+    kind='lower' gives the smallest value with cumulative share >= p;
     kind='linear' interpolates between the two neighbouring order statistics.
 
     Pass 1 brackets every wanted rank by approximate quantiles 2/ACCURACY to
-    both sides.  Pass 2 counts the values under and above each bracket, with the
-    nearest of them, and merges equal values inside; that is all that is
-    shuffled.
+    both sides.  Pass 2 keeps what lies inside a bracket and counts the rest,
+    one row per value in either case; running counts then meet the sorted list
+    of wanted ranks.
     """
-    by = list(by)
+    by, m = list(by), len(probs)
+    order = sorted(range(m), key=lambda i: probs[i])
+    asked = [float(probs[i]) for i in order]
     gap = 2.0 / ACCURACY
-    shares = [max(0.0, p - gap) for p in probs] + [min(1.0, p + gap) for p in probs]
-    wanted = F.array(*[F.lit(float(p)) for p in shares])
-    around = [F.percentile_approx(F.col(c).cast("double"), wanted, F.lit(ACCURACY)).alias(f"{c}__a") for c in cols]
-    m = len(probs)
+    shares = [max(0.0, p - gap) for p in asked] + [min(1.0, p + gap) for p in asked]
+    wanted = F.array(*[F.lit(p) for p in shares])
 
-    def ends(c: str, first: int, is_open: list[bool], value: float) -> Column:
+    def ends(found: Column, first: int, is_open: list[bool], value: float) -> Column:
         flags = F.array(*[F.lit(x) for x in is_open])
-        return F.transform(F.slice(f"{c}__a", first, m), lambda x, i: F.when(F.get(flags, i), F.lit(value)).otherwise(x))
+        return F.transform(F.slice(found, first, m), lambda x, i: F.when(F.get(flags, i), F.lit(value)).otherwise(x))
 
+    around = df.groupBy(*by).agg(*[F.percentile_approx(F.col(c).cast("double"), wanted, F.lit(ACCURACY)).alias(f"__a{j}") for j, c in enumerate(cols)])
     both = [
-        e.alias(f"{c}__{n}")
-        for c in cols
-        for n, e in (
-            ("lo", ends(c, 1, [x <= 0.0 for x in shares[:m]], float("-inf"))),
-            ("hi", ends(c, m + 1, [x >= 1.0 for x in shares[m:]], float("inf"))),
+        found.alias(f"__{n}{j}")
+        for j in range(len(cols))
+        for n, found in (
+            ("lo", ends(F.col(f"__a{j}"), 1, [x <= 0.0 for x in shares[:m]], float("-inf"))),
+            ("hi", ends(F.col(f"__a{j}"), m + 1, [x >= 1.0 for x in shares[m:]], float("inf"))),
         )
     ]
-    brackets = materialise(df.groupBy(*by).agg(*around).select(*by, *both))
+    brackets = materialise(around.select(*by, *both))
     rows = attach(df.select(*by, *cols), brackets, by)
-    values = F.array(
-        *[F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"{c}__lo").alias("lo"), F.col(f"{c}__hi").alias("hi")) for j, c in enumerate(cols)]
-    )
-    cells = rows.select(*by, F.explode(values).alias("__c")).select(*by, "__c.*").filter("v is not null")
-    keys = [*by, "feat", "q"]
-    merged = _each_bracket(cells, keys, m) if m <= FEW else _along_brackets(cells, brackets.select(*by), by, len(cols), m)
-    upto = W.partitionBy(*keys).orderBy("role", "value").rowsBetween(W.unboundedPreceding, W.currentRow)
-    merged = merged.withColumns({"hi": F.sum("n").over(upto), "all": F.sum("n").over(W.partitionBy(*keys))}).filter("n > 0")
-    merged = merged.withColumn("at", F.when(F.col("role") < 0, F.col("most")).otherwise(F.col("least")))
-    p = F.array(*[F.lit(float(x)) for x in probs])[F.col("q")]
-
-    def has(k: Column) -> Column:
-        return (k > F.col("hi") - F.col("n")) & (k <= F.col("hi"))
-
+    # `lo` and `hi` ascend, so how many brackets begin at or below a value and how many end below it
+    # place it; both only grow with the value.  They are taken before a row is cut into its values.
+    places = {}
+    for j, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        places |= {f"__u{j}": count_below(F.col(f"__lo{j}"), x, m), f"__o{j}": count_below(F.col(f"__hi{j}"), x, m, strict=True)}
+    rows = rows.withColumns(places).drop(*[f"__{n}{j}" for n in ("lo", "hi") for j in range(len(cols))])
+    values = [F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"__u{j}").alias("under"), F.col(f"__o{j}").alias("over")) for j, c in enumerate(cols)]
+    cells = rows.select(*by, F.explode(F.array(*values)).alias("__c")).select(*by, "__c.*").filter("v is not null")
+    keys = [*by, "feat"]
+    # Values inside a bracket stay, equal ones merged; those between two brackets merge to their count and ends.
+    cells = cells.withColumns({BUCKET: F.col("under") + F.col("over"), "value": F.when(F.col("under") > F.col("over"), F.col("v"))})
+    merged = cells.groupBy(*keys, BUCKET, "value").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    run = running_totals(merged, keys, [F.col("value")], {"n": F.col("n")})
+    run = run.withColumns({"high": F.col("run_n") - 1, "low": F.col("run_n") - F.col("n")})
+    p, last = F.array(*[F.lit(x) for x in asked]), F.col("all_n") - 1
+    # 0-based wanted ranks, ascending, and what each gives to its probability.
     if kind == "lower":
-        k = F.greatest(F.lit(1.0), F.ceil(p * F.col("all")).cast("double"))
-        part = F.when(has(k), F.col("at"))
+        sides = [F.transform(p, lambda x: F.greatest(F.lit(1.0), F.ceil(x * (last + 1)).cast("double")).cast("long") - 1)]
     else:
-        h = p * (F.col("all") - 1)
-        frac = h - F.floor(h)
-        low, high = has(F.floor(h) + 1.0), has(F.ceil(h) + 1.0)
-        share = F.when(low, 1.0 - frac).otherwise(0.0) + F.when(high, frac).otherwise(0.0)
-        part = F.when(low | high, F.col("at") * share)
-    hits = merged.select(*keys, part.alias("part")).filter("part is not null")
-    if m <= FEW:
-        cell = {(j, i): (F.col("feat") == j) & (F.col("q") == i) for j in range(len(cols)) for i in range(m)}
-        out = hits.groupBy(*by).agg(*[F.sum(F.when(cell[j, i], F.col("part"))).alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
+        sides = [F.transform(p, lambda x: F.floor(x * last)), F.transform(p, lambda x: F.ceil(x * last))]
+    met = run.withColumn("side", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), ks.alias("ks")) for i, ks in enumerate(sides)])))
+    met = met.withColumns({"up": F.col("side.i") == 1, "ks": F.col("side.ks")}).drop("side")
+    met = met.withColumns({"first": count_below(F.col("ks"), F.col("low"), m, strict=True), "upto": count_below(F.col("ks"), F.col("high"), m)}).filter("upto > first")
+    met = met.withColumn("q", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)))
+    value = F.when(F.get("ks", F.col("q")) == F.col("low"), F.col("least")).otherwise(F.col("most"))
+    place = F.get(p, F.col("q")) * last
+    met = met.select(*keys, "q", "up", value.alias("value"), (place - F.floor(place)).alias("over"))
+    pair = met.groupBy(*keys, "q").agg(F.max(F.when(~F.col("up"), F.col("value"))).alias("down"), F.max(F.when(F.col("up"), F.col("value"))).alias("above"), F.max("over").alias("over"))
+    if kind == "lower":
+        found = pair.select(*keys, "q", F.col("down").alias("part"))
     else:
-        # One map of q to part per column, then its members as columns.
-        each = hits.groupBy(*keys).agg(F.sum("part").alias("part")).groupBy(*by, "feat").agg(F.map_from_entries(F.collect_list(F.struct("q", "part"))).alias("parts"))
-        out = each.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, F.col("parts")), ignorenulls=True).alias(f"__m{j}") for j in range(len(cols))])
-        out = out.select(*by, *[F.col(f"__m{j}")[i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
+        # Equal neighbours give their value itself, not a rounded mixture.
+        mixed = F.col("down") * (1.0 - F.col("over")) + F.col("above") * F.col("over")
+        found = pair.select(*keys, "q", F.when((F.col("down") == F.col("above")) | (F.col("over") == 0), F.col("down")).otherwise(mixed).alias("part"))
+    number = F.element_at(F.array(*[F.lit(i) for i in order]), F.col("q") + 1)
+    return brackets.select(*by), found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(number, "part"))).alias("qs"))
+
+
+def exact_quantiles(
+    df: DataFrame,
+    by: Sequence[str],
+    cols: Sequence[str],
+    probs: Sequence[float],
+    kind: str = "linear",
+) -> DataFrame:
+    """Exact quantiles of many columns: one row per group, columns `<col>_q<i>`."""
+    by = list(by)
+    groups, lists = quantile_lists(df, by, cols, probs, kind)
+    out = lists.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, F.col("qs")), ignorenulls=True).alias(f"__m{j}") for j in range(len(cols))])
+    out = out.select(*by, *[F.col(f"__m{j}")[i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(len(probs))])
     # Groups whose values are all unknown keep their row.
-    return brackets.select(*by).join(out, by, "left") if by else out
+    return groups.join(out, by, "left") if by else out

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise, where_fit
-from flipside.functions.ranks import exact_quantiles, long_form, running_totals, value_buckets
+from flipside.functions.ranks import count_below, exact_quantiles, long_form, peer_ranks, quantile_lists
 from flipside.functions.stats import array_sum, let, normal_icdf
 
 # Fixed values.
@@ -97,14 +97,10 @@ def soft_clip_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str], n_
 def to_ranking(df: DataFrame, cols: Sequence[str], by: Sequence[str], key: str) -> DataFrame:
     """Long form (by, key, feat, value, rank): rank = number of rows with value <= x.
 
-    Equal values are merged before ranking, so a value held by a third of the
-    rows costs one row in the ranking pass.
+    Frequent values have a place of their own and are dealt over many tasks.
     """
     cells = long_form(df, by, cols, [key]).filter(F.col("value").isNotNull())
-    keys = [*by, "feat"]
-    distinct = cells.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(value_buckets(distinct, "value"), keys, [F.col("value")], {"n": F.col("n")})
-    return cells.join(ranked.select(*keys, "value", F.col("run_n").alias("rank")), [*keys, "value"])
+    return peer_ranks(cells, [*by, "feat"], "value", key)
 
 
 def minmax(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_on: Column | None = None) -> DataFrame:
@@ -209,10 +205,10 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
     """
     probs = [i / (n_quantiles - 1) for i in range(n_quantiles)]
     rows = df if fit_on is None else df.filter(fit_on)
-    wide = exact_quantiles(rows, by, cols, probs)
-    stats = materialise(
-        wide.select(*by, *[F.array(*[F.col(f"{c}_q{i}") for i in range(n_quantiles)]).alias(f"{c}_qs") for c in cols])
-    )
+    groups, lists = quantile_lists(rows, by, cols, probs)
+    listed = F.transform(F.sequence(F.lit(0), F.lit(n_quantiles - 1)), lambda i: F.element_at("qs", i))
+    wide = lists.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, listed), ignorenulls=True).alias(f"{c}_qs") for j, c in enumerate(cols)])
+    stats = materialise(groups.join(wide, list(by), "left") if by else wide)
 
     last = n_quantiles - 1
 
@@ -230,12 +226,8 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
             .otherwise(between)
         )
 
-    def count_where(c: str, strict: bool) -> Column:
-        x = F.col(c)
-        return F.size(F.filter(F.col(f"{c}_qs"), lambda v: (v < x) if strict else (v <= x)))
-
     placed = attach(df, stats, by).withColumns(
-        {f"{c}_{n}": count_where(c, n == "below") for c in cols for n in ("below", "upto")}
+        {f"{c}_{n}": count_below(F.col(f"{c}_qs"), F.col(c), n_quantiles, n == "below") for c in cols for n in ("below", "upto")}
     )
     placed = placed.withColumns({c: _clip(share(c), 1e-7, 1 - 1e-7) for c in cols})
     out = placed.withColumns({c: normal_icdf(F.col(c)) for c in cols})

@@ -33,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order: 5 numeric features, dataset = market segment."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    # Dealt by the join's key: the join needs it anyway, and a table in one file would stay one task otherwise.
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").repartition("o_orderkey")
     customer = table(spark, sf_dir, "customer")
     items = (
         table(spark, sf_dir, "lineitem")

@@ -21,6 +21,7 @@ from flipside.plans.inputs import (
     scored_orders,
 )
 from flipside.plans.registry import R, query, r6, rounded
+from flipside.session import checkpointed
 
 _FIT = "label_str <> 'F'"
 
@@ -86,7 +87,7 @@ def e2b(spark, sf):
     + ") select dataset_id, row_id, feat, (rank() over (partition by dataset_id, feat order by value) + count(*) over (partition by dataset_id, feat, value) - 1)::bigint as rank from c",
 )
 def e3(spark, sf):
-    out = X.to_ranking(order_features(spark, sf), FEATURES, BY, "row_id")
+    out = X.to_ranking(checkpointed(order_features(spark, sf)), FEATURES, BY, "row_id")
     return out.select("dataset_id", "row_id", "feat", F.col("rank").cast("long").alias("rank"))
 
 
@@ -190,7 +191,7 @@ c as (select row_id, {_stats('case when # < 1e-7::double then 1e-7::double when
 select row_id, {', '.join(R(_icdf(f), f) for f in FEATURES)} from c""",
 )
 def e8(spark, sf):
-    return _out(X.quantile_normal(order_features(spark, sf), FEATURES, BY))
+    return _out(X.quantile_normal(checkpointed(order_features(spark, sf)), FEATURES, BY))
 
 
 _PRIO = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from flipside.functions.ranks import exact_quantiles, positions, running_totals, shuffled_positions, value_buckets
+from flipside.functions.ranks import exact_quantiles, peer_ranks, positions, running_totals, shuffled_positions, value_buckets
 from flipside.functions.keyed import uniform01
 from flipside.operators import metrics, plausibility, transforms
 
@@ -74,3 +74,34 @@ def test_auc_and_ks_and_ranking(spark):
     for ds, g in rank.groupby("dataset_id"):
         x = np.sort(g.value)
         assert (np.searchsorted(x, g.value, side="right") == g["rank"]).all()
+
+
+def test_many_and_unordered_quantiles_with_heavy_ties(spark):
+    df = skewed(spark).withColumn("y", F.when(F.col("row_id") % 3 > 0, F.floor(F.col("x")))).withColumn("none", F.lit(None).cast("double"))
+    probs = [0.5, 0.99, 0.0, 0.013, 1.0, *[i / 98 for i in range(99)]]
+    rows = df.toPandas()
+    got = {r["dataset_id"]: r for r in exact_quantiles(df, ["dataset_id"], ["x", "y", "none"], probs).collect()}
+    low = {r["dataset_id"]: r for r in exact_quantiles(df, ["dataset_id"], ["y"], probs, "lower").collect()}
+    for ds, g in rows.groupby("dataset_id"):
+        for c in ("x", "y"):
+            np.testing.assert_allclose([got[ds][f"{c}_q{i}"] for i in range(len(probs))], np.nanquantile(g[c].astype(float), probs))
+        y = np.sort(g["y"].dropna().to_numpy(float))
+        assert [low[ds][f"y_q{i}"] for i in range(len(probs))] == [y[max(0, int(np.ceil(p * len(y))) - 1)] for p in probs]
+        assert all(got[ds][f"none_q{i}"] is None for i in range(len(probs)))
+    whole = exact_quantiles(df, [], ["x"], [0.25]).first()
+    assert abs(whole["x_q0"] - np.quantile(rows["x"], 0.25)) < 1e-12
+
+
+def test_frequent_values_are_ranked_in_many_tasks(spark):
+    """A third and more of the rows share a value; no task of the ranking reads over twice what the median task reads."""
+    df = spark.range(60_000).select(F.col("id"), F.when(F.col("id") % 5 < 2, F.lit(7.0)).otherwise(uniform01(F.col("id")) * 100).alias("x"))
+    out = peer_ranks(df, [], "x", "id", buckets=32)
+    rows = out.toPandas()
+    x = np.sort(rows["x"])
+    assert (np.searchsorted(x, rows["x"], side="right") == rows["rank"]).all()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = sorted(r[1] for r in peer_ranks(df, [], "x", "id", buckets=256).groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) >= 8 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
