@@ -28,7 +28,7 @@ from flipside.operators.neighbours import knn_predict
 from flipside.operators.splits import kfold
 from flipside.operators.transforms import minmax, one_hot
 from flipside.session import checkpointed
-from flipside.sources.results import pending_jobs, read_results
+from flipside.sources.results import append_results, pending_jobs, read_results
 
 
 def preprocess(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), fit_on: Column | None = None, impute: bool = True, use_one_hot: bool = False, scale: bool = False) -> tuple[DataFrame, list[str]]:
@@ -252,7 +252,7 @@ def evaluate_methods(spark: SparkSession, jobs: DataFrame, store: str, run: Call
         part = run(job.asDict())
         if part is not None:
             tagged = part.withColumns({k: F.lit(job[k]) for k in JOB})
-            tagged.write.mode("append").partitionBy("method", "dataset_id").parquet(store)
+            append_results(tagged, store)
     stored = read_results(spark, store)
     return None if stored is None else stored.join(jobs.select(*JOB), JOB, "left_semi")
 

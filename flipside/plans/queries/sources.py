@@ -87,7 +87,7 @@ def a4w(spark, sf):
     path = f"{checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex}"
     results.write_results(counts.filter("method = 'F'"), path, ["method", "dataset_id"])
     results.write_results(counts, path, ["method", "dataset_id"])
-    return spark.read.parquet(path).select("method", "dataset_id", "n")
+    return results.read_results(spark, path).select("method", "dataset_id", "n")
 
 
 @query(

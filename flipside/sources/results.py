@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import threading
+import uuid
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flipside.schema import RUN_RESULT
 from flipside.session import checkpointed
@@ -34,14 +38,88 @@ def pending_jobs(jobs: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataF
     return jobs.join(done.select(*keys), list(keys), "left_anti")
 
 
+@dataclass
+class _Version:
+    """What a store holds: data folders, each with the masks written since, and the keys' schema."""
+
+    number: int
+    parts: list[dict]
+    schema: str | None
+
+
+class _Store:
+    """A results store: data folders that never change and numbered version files that name the valid ones.
+
+    A version file is written aside and renamed to the next number at the end,
+    so a write that stops half-way changes nothing, and of two writes that
+    began with the same version the second one finds its number taken.
+    """
+
+    _renaming = threading.Lock()  # local file systems rename over an existing file
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.jvm = spark._jvm
+        self.fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def version(self) -> _Version:
+        log = self._path("versions")
+        numbers = [int(f.getPath().getName()) for f in self.fs.listStatus(log) if f.getPath().getName().isdigit()] if self.fs.exists(log) else []
+        if not numbers:
+            return _Version(0, [], None)
+        stream = self.fs.open(self._path(f"versions/{max(numbers)}"))
+        try:
+            found = json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return _Version(max(numbers), found["parts"], found["schema"])
+
+    def commit(self, parts: list[dict], schema: str, after: int) -> bool:
+        """Make `parts` version after + 1; False when another write was first."""
+        aside, final = self._path(f"versions/_{uuid.uuid4().hex}"), self._path(f"versions/{after + 1}")
+        stream = self.fs.create(aside, False)
+        try:
+            stream.write(bytearray(json.dumps({"parts": parts, "schema": schema}).encode()))
+        finally:
+            stream.close()
+        with self._renaming:
+            done = not self.fs.exists(final) and self.fs.rename(aside, final)
+        if not done:
+            self.fs.delete(aside, False)
+        return done
+
+    def write(self, df: DataFrame, by: Sequence[str] = ()) -> str:
+        """A new folder with the rows of `df`."""
+        name = f"data/write={uuid.uuid4().hex}"
+        df.write.partitionBy(*by).parquet(f"{self.path}/{name}")
+        return name
+
+    def read(self, version: _Version) -> DataFrame | None:
+        """The rows of a version; masks take away the partitions that were replaced later."""
+        if version.schema is None:
+            return None
+        schema = T.StructType.fromJson(json.loads(version.schema))
+        by_mask: dict[tuple, list[str]] = {}
+        for part in version.parts:
+            by_mask.setdefault(tuple(part["masks"]), []).append(f"{self.path}/{part['data']}")  # appends share their masks
+        out = self.spark.createDataFrame([], schema)
+        for masks, folders in by_mask.items():
+            rows = self.spark.read.option("basePath", f"{self.path}/data").schema(schema).parquet(*folders).select(*schema.names)
+            if masks:
+                gone = self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/{m}" for m in masks]).drop("write")
+                named = gone.withColumnsRenamed({c: f"__{c}" for c in gone.columns})
+                rows = rows.join(named, [rows[c].eqNullSafe(named[f"__{c}"]) for c in gone.columns], "left_anti")
+            out = out.unionByName(rows)
+        return out
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """What is stored; None when nothing is."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    store = _Store(spark, path)
+    return store.read(store.version())
 
 
 def write_results(df: DataFrame, path: str, keys: Sequence[str], mode: str = "keep", partition_by: Sequence[str] = ("method", "dataset_id")) -> DataFrame:
@@ -50,28 +128,46 @@ def write_results(df: DataFrame, path: str, keys: Sequence[str], mode: str = "ke
     mode='keep' adds only rows whose keys are not stored yet; 'overwrite'
     replaces the rows with the same keys and leaves the others of a partition
     as they are; 'fetch_only' never writes.  Of rows with equal keys in one call
-    one is stored.
+    one is stored.  A call shows all of its rows at once, at its end; when
+    another call on the store ended meanwhile, it starts again from that state.
+    Replaced and half-written data folders stay until the store is removed.
     """
     if mode not in ("keep", "overwrite", "fetch_only"):
         raise ValueError(f"unknown mode {mode!r}")
     spark, keys = df.sparkSession, list(keys)
+    store = _Store(spark, path)
     wanted = df.select(*keys).distinct()
-    stored = read_results(spark, path)
     if mode == "fetch_only":
+        stored = store.read(store.version())
         return (stored if stored is not None else df.limit(0)).join(wanted, keys, "left_semi")
-    fresh = df.dropDuplicates(keys)
-    if mode == "keep":
-        if stored is not None:
-            fresh = fresh.join(stored.select(*keys).distinct(), keys, "left_anti")
-        fresh.write.mode("append").partitionBy(*partition_by).parquet(path)
-    else:
-        if stored is not None:
-            touched = fresh.select(*partition_by).distinct()
-            rest = stored.join(touched, list(partition_by), "left_semi").join(wanted, keys, "left_anti")
-            # The rest comes from the partitions that are about to be replaced: cut it loose first.
-            fresh = fresh.unionByName(checkpointed(rest))
-        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-    return read_results(spark, path).join(wanted, keys, "left_semi")
+    # Computed once, whatever the number of attempts.
+    one = checkpointed(df.dropDuplicates(keys))
+    while True:
+        now = store.version()
+        stored, parts = store.read(now), now.parts
+        fresh = one if stored is None else one.select(*stored.columns)
+        if stored is not None and mode == "keep":
+            fresh = fresh.join(stored.select(*keys), keys, "left_anti")
+        elif stored is not None:
+            touched = one.select(*partition_by).distinct()
+            rest = stored.join(touched, list(partition_by), "left_semi").join(one.select(*keys), keys, "left_anti")
+            fresh = fresh.unionByName(rest)
+            mask = store.write(touched)
+            parts = [{"data": p["data"], "masks": [*p["masks"], mask]} for p in parts]
+        data = store.write(fresh, partition_by)
+        if store.commit([*parts, {"data": data, "masks": []}], now.schema or one.schema.json(), now.number):
+            break
+    return store.read(store.version()).join(wanted, keys, "left_semi")
+
+
+def append_results(df: DataFrame, path: str, partition_by: Sequence[str] = ("method", "dataset_id")) -> None:
+    """Add all rows of `df`, visible at once when the call ends."""
+    store = _Store(df.sparkSession, path)
+    data = store.write(df, partition_by)
+    while True:
+        now = store.version()
+        if store.commit([*now.parts, {"data": data, "masks": []}], now.schema or df.schema.json(), now.number):
+            return
 
 
 def example_rows(pairs: DataFrame, features: Sequence[str], n: int = 5, order: Sequence[str] = ("dataset_id", "row_id")) -> DataFrame:

@@ -89,10 +89,10 @@ def test_write_results_modes(spark, tmp_path):
     keys = ["method", "dataset_id"]
     results.write_results(a, path, keys)
     results.write_results(b, path, keys)
-    assert sorted(r["value"] for r in spark.read.parquet(path).collect()) == [1.0, 2.0]
+    assert sorted(r["value"] for r in results.read_results(spark, path).collect()) == [1.0, 2.0]
     results.write_results(b, path, keys, mode="fetch_only")
     results.write_results(b, path, keys, mode="overwrite")
-    assert sorted(r["value"] for r in spark.read.parquet(path).collect()) == [2.0, 9.0]
+    assert sorted(r["value"] for r in results.read_results(spark, path).collect()) == [2.0, 9.0]
 
 
 def test_kfold_is_bounded_by_half_the_group(spark):
