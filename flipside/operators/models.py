@@ -10,7 +10,9 @@ import itertools
 import math
 import random
 import time
+from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -192,34 +194,58 @@ def sample_space(space: Mapping[str, Sequence | LogUniform], seed: int) -> Itera
 UNFIT = (PySparkException, Py4JJavaError, ValueError, ArithmeticError)
 
 
-def tune(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, metric: str = "cross_entropy", max_time: float = 60.0, max_evals: int | None = None, folds: int = 5, seed: int = 0, categorical: Sequence[str] = ()) -> Tuned:
+def in_order(items: Iterator, run: Callable, at_once: int, go_on: Callable[[], bool]) -> Iterator[tuple]:
+    """(item, run(item)) in the order of the items; up to `at_once` run side by side, and none starts when `go_on` says no."""
+    with ThreadPoolExecutor(at_once) as pool:
+        waiting: deque = deque()
+        for item in items:
+            if not go_on():
+                break
+            waiting.append((item, pool.submit(run, item)))
+            if len(waiting) == at_once:
+                item, result = waiting.popleft()
+                yield item, result.result()
+        while waiting:
+            item, result = waiting.popleft()
+            yield item, result.result()
+
+
+def tune(name: str, train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, classes: int, metric: str = "cross_entropy", max_time: float = 60.0, max_evals: int | None = None, folds: int = 5, seed: int = 0, categorical: Sequence[str] = (), at_once: int = 4) -> Tuned:
     """Random search scored by cross-validation, until the time, the trials or the space are used up.
 
     The default settings are scored first and kept unless another setting is
-    better; a trial that fails is skipped.
+    better; a trial that fails is skipped.  Up to `at_once` trials run side by
+    side over one stored table of folds; they are judged in the order in which
+    they were drawn, so the choice does not depend on which of them ends first.
     """
     started, failed = time.time(), []
     cv = checkpointed(kfold(train, [], key, seed, folds))
     k = cv.agg(F.max("fold")).first()[0] + 1
 
-    def cross_validate(params: dict) -> float:
-        got = []
+    def cross_validate(params: dict) -> tuple[float, str | None]:
+        got, why = [], None
         try:
             for i in range(k):
                 part = cv.filter(F.col("fold") == i)
                 pred = fit_predict(name, cv.filter(F.col("fold") != i), part, cols, label, key, classes, params, categorical)
                 got.append(score(pred, part, key, label, metric))
         except UNFIT as e:
-            failed.append(f"{params}: {type(e).__name__}: {e}"[:300])
+            why = f"{params}: {type(e).__name__}: {e}"[:300]
         known = [g for g in got if g is not None]
-        return sum(known) / len(known) if len(got) == k and known else float("-inf")
+        return (sum(known) / len(known) if len(got) == k and known else float("-inf")), why
 
-    best, best_score, trials = {}, cross_validate({}), 1
-    for params in sample_space(MODELS[name].space, seed):
-        if (max_evals is not None and trials >= max_evals) or time.time() - started > max_time:
-            break
-        s = cross_validate(params)
+    begun = itertools.count(1)
+    best, best_score, trials = {}, float("-inf"), 0
+    # The default settings are the first trial and start whatever the limits.
+    drawn = itertools.chain([{}], sample_space(MODELS[name].space, seed))
+
+    def go_on() -> bool:
+        n = next(begun)
+        return n == 1 or ((max_evals is None or n <= max_evals) and time.time() - started <= max_time)
+
+    for params, (s, why) in in_order(drawn, cross_validate, at_once, go_on):
         trials += 1
+        failed += [why] if why else []
         if s > best_score:
             best, best_score = params, s
     if best_score == float("-inf"):

@@ -10,11 +10,13 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from flipside.functions.fitted import attach, drop_params, fit, materialise, where_fit
 from flipside.functions.ranks import count_below, exact_quantiles, long_form, peer_ranks, quantile_lists
 from flipside.functions.stats import array_sum, let, normal_icdf
+from flipside.session import checkpointed
 
 # Fixed values.
 STD_EPS = 1e-6
@@ -237,8 +239,9 @@ def quantile_normal(df: DataFrame, cols: Sequence[str], by: Sequence[str], fit_o
 def one_hot(df: DataFrame, col: str, fit_on: Column | None = None) -> DataFrame:
     """Replace `col` by one 0/1 column per category seen in the fit rows.
 
-    The result has as many columns as there are categories, so their list is
-    what the plan needs on the driver; for a sparse vector use MLlib's encoder.
+    The wide form: the result has as many columns as there are categories, so
+    their list is what the plan needs on the driver.  For many categories use
+    `category_index` with `one_hot_sparse`.
     """
     rows = df if fit_on is None else df.filter(fit_on)
     cats = sorted(r[0] for r in rows.select(col).filter(F.col(col).isNotNull()).distinct().collect())
@@ -246,6 +249,30 @@ def one_hot(df: DataFrame, col: str, fit_on: Column | None = None) -> DataFrame:
     return df.withColumns(flags).drop(col)
 
 
+def category_index(df: DataFrame, col: str, fit_on: Column | None = None) -> DataFrame:
+    """(col, index): the categories of the fit rows in order, numbered from 0; a table, however many there are.
+
+    Sorted parts number their own rows, and the parts' counts give where each begins.
+    """
+    rows = df if fit_on is None else df.filter(fit_on)
+    mark = F.monotonically_increasing_id()  # part number in the high bits, row number in the low 33
+    sorted_rows = checkpointed(rows.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).select(col, F.shiftright(mark, 33).alias("__p"), mark.bitwiseAND(F.lit((1 << 33) - 1)).alias("__r")))
+    sizes = sorted_rows.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    starts = materialise(sizes.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__s")))
+    return sorted_rows.join(starts, "__p").select(col, (F.col("__s") + F.col("__r")).cast("long").alias("index"))
+
+
+def one_hot_sparse(df: DataFrame, col: str, index: DataFrame, name: str | None = None) -> DataFrame:
+    """Replace `col` by a sparse vector (size, indices, values); a missing or unseen category has no entry."""
+    size = index.count()
+    hit = F.col("__index").isNotNull()
+    none = F.array().cast("array<bigint>"), F.array().cast("array<double>")
+    entry = F.when(hit, F.array("__index")).otherwise(none[0]), F.when(hit, F.array(F.lit(1.0))).otherwise(none[1])
+    out = df.join(index.withColumnRenamed("index", "__index"), col, "left")
+    return out.withColumn(name or f"{col}_hot", F.struct(F.lit(size).cast("long").alias("size"), entry[0].alias("indices"), entry[1].alias("values"))).drop(col, "__index")
+
+
 def label_codes(df: DataFrame, label: str, by: Sequence[str] = (), ignore: int | None = None, name: str = "code") -> DataFrame:
     """Lookup (by, label, code): sorted distinct labels -> 0..K-1.
 
@@ -254,7 +281,6 @@ def label_codes(df: DataFrame, label: str, by: Sequence[str] = (), ignore: int |
     rows = df.filter(F.col(label).isNotNull())
     if ignore is not None:
         rows = rows.filter(F.col(label) != ignore)
-    from pyspark.sql import Window as W
 
     distinct = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
     order = W.partitionBy(*by).orderBy(label)

@@ -212,6 +212,20 @@ def e9(spark, sf):
     return out.drop("o_orderstatus").withColumnRenamed("o_orderkey", "row_id")
 
 
+@query(
+    "e9_one_hot_sparse",
+    """with cats as (select o_custkey, row_number() over (order by o_custkey)-1 as i from (select distinct o_custkey from orders where o_orderstatus <> 'F'))
+select o_orderkey as row_id, (select count(*) from cats)::bigint as size, i::bigint as entry, case when i is null then 0.0::double else 1.0::double end as value from orders left join cats using (o_custkey)""",
+)
+def e9_sparse(spark, sf):
+    """One category per customer: too many for columns."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("row_id"), "o_custkey", "o_orderstatus")
+    index = X.category_index(rows, "o_custkey", F.col("o_orderstatus") != "F")
+    hot = X.one_hot_sparse(rows, "o_custkey", index, "hot")
+    return hot.select("row_id", "hot.size", F.get("hot.indices", F.lit(0)).alias("entry"), F.coalesce(F.get("hot.values", F.lit(0)), F.lit(0.0)).alias("value"))
+
+
+
 @query(
     "e10_label_encode",
     f"with {OF_SQL}, c as (select label_str, row_number() over (order by label_str)-1 as y from (select distinct label_str from of_)) select row_id, y::int as y from of_ join c using (label_str)",

@@ -69,6 +69,48 @@ def test_store_modes_return_what_is_stored(spark, tmp_path):
     assert sorted(r["v"] for r in results.write_results(both, path, keys, mode="fetch_only").collect()) == [2.0, 9.0]
 
 
+def test_a_registered_metric_is_scored_beside_the_others(spark):
+    metrics.register_metric("hits", lambda: F.sum((F.col("y") == F.round(F.element_at("probs", 2))).cast("double")), True)
+    metrics.register_metric("rows", lambda df, by: df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")), True, "any", "table")
+    rows = spark.createDataFrame([("a", y, [1 - p, p]) for y, p in ((0, 0.2), (1, 0.7), (1, 0.4))], "dataset_id string, y int, probs array<double>")
+    got = {r["metric"]: r["value"] for r in metrics.score_table(rows, ["accuracy", "hits", "rows"], BY).collect()}
+    del metrics.METRICS["hits"], metrics.METRICS["rows"]
+    assert got["hits"] == 2 and got["rows"] == 3 and abs(got["accuracy"] - 2 / 3) < 1e-12
+
+
+def test_trials_side_by_side_are_judged_in_drawing_order():
+    import threading
+    import time
+
+    running, most, lock = [0], [0], threading.Lock()
+
+    def run(x):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.05 if x % 3 else 0.15)
+        with lock:
+            running[0] -= 1
+        return x * x
+
+    left = iter([True] * 7 + [False])
+    got = list(models.in_order(iter(range(100)), run, 3, lambda: next(left)))
+    assert got == [(x, x * x) for x in range(7)] and 2 <= most[0] <= 3
+
+
+def test_sparse_categories(spark):
+    from flipside.operators import transforms
+
+    rows = spark.range(100_500).select(F.col("id").alias("row_id"), F.when(F.col("id") < 100_000, F.format_string("c%06d", F.col("id"))).when(F.col("id") < 100_400, "c000007").when(F.col("id") < 100_450, "unseen").alias("c"))
+    index = transforms.category_index(rows, "c", F.col("c") != "unseen")
+    assert index.count() == 100_000 and index.filter(F.col("index") != F.substring("c", 2, 6).cast("long")).count() == 0
+    hot = transforms.one_hot_sparse(rows.repartition(4), "c", index)
+    assert hot.count() == 100_500 and hot.columns == ["row_id", "c_hot"]
+    picked = {r["row_id"]: r["c_hot"].asDict() for r in hot.filter("row_id in (5, 100399, 100420, 100499)").collect()}
+    assert picked[5] == {"size": 100_000, "indices": [5], "values": [1.0]} and picked[100_399]["indices"] == [7]
+    assert picked[100_420]["indices"] == [] and picked[100_499]["values"] == []
+
+
 def test_failing_trials_are_skipped(spark):
     from pyspark.ml.classification import LogisticRegression
 
