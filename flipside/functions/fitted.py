@@ -7,7 +7,9 @@ are broadcast, larger ones go through a sort-merge join with AQE's skew split.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,20 @@ def attach(df: DataFrame, params: DataFrame, by: Sequence[str]) -> DataFrame:
     return df.join(params, by, "left")
 
 
+def attach_draws(df: DataFrame, by: Sequence[str], draws: Mapping[str, Column]) -> DataFrame:
+    """Add columns that depend on the group alone, made once per group and not once per row.
+
+    Unlike a statistic, a draw is also there for the group of rows whose key is NULL.
+    """
+    by = list(by)
+    if not by:
+        return df.withColumns(dict(draws))
+    made = materialise(df.select(*by).distinct().withColumns(dict(draws)))
+    keys = {b: f"__of_{i}" for i, b in enumerate(by)}
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(k)) for b, k in keys.items()])
+    return df.join(made.withColumnsRenamed(keys), same, "left").drop(*keys.values())
+
+
 def where_fit(col: str | Column, fit_on: Column | None) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return c if fit_on is None else F.when(fit_on, c)

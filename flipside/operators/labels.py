@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.functions.fitted import attach, drop_params, fit, materialise
+from flipside.functions.fitted import attach, attach_draws, drop_params, fit, materialise
 from flipside.functions.keyed import rand_int_rounded, text_uniform01, uniform01
 from flipside.functions.ranks import exact_quantiles, positions
 from flipside.functions.stats import sigmoid
@@ -113,15 +113,18 @@ def keyed_permutation(classes: int, *key) -> Column:
     return F.transform(F.array_sort(drawn), lambda s: s["c"])
 
 
-def permute_classes(code: Column, classes: int, ordered_p: float, by: Sequence[str], seed: int) -> Column:
+def permute_classes(df: DataFrame, code: Column, classes: int, ordered_p: float, by: Sequence[str], seed: int, name: str = "y_class") -> DataFrame:
     """With probability 1-ordered_p permute the classes of a group, then with
-    probability one half reverse them."""
+    probability one half reverse them.
+
+    Each group's new classes are one short array, so a row only looks its own up.
+    """
     group = [F.col(b) for b in by]
-    perm = keyed_permutation(classes, seed, *group, "perm")
-    shuffled = F.when(
-        text_uniform01(seed, *group, "shuffle") > F.lit(float(ordered_p)), F.element_at(perm, code + 1)
-    ).otherwise(code)
-    return F.when(text_uniform01(seed, *group, "reverse") > 0.5, F.lit(classes - 1) - shuffled).otherwise(shuffled).cast("int")
+    same = F.sequence(F.lit(0), F.lit(classes - 1))
+    placed = F.when(text_uniform01(seed, *group, "shuffle") > F.lit(float(ordered_p)), keyed_permutation(classes, seed, *group, "perm")).otherwise(same)
+    turned = F.when(text_uniform01(seed, *group, "reverse") > 0.5, F.transform(placed, lambda c: F.lit(classes - 1) - c)).otherwise(placed)
+    out = attach_draws(df, by, {"__classes": turned})
+    return out.withColumn(name, F.get("__classes", code).cast("int")).drop("__classes")
 
 
 def softsign(x: Column) -> Column:
@@ -162,13 +165,10 @@ def discretize_features(df: DataFrame, cols: Sequence[str], by: Sequence[str], k
     soft = df.withColumns({c: softsign(F.col(c)) for c in cols})
     out, codes = rank_codes(soft, cols, by, key, classes, seed)
     group = [F.col(b) for b in by]
-    new = {
-        c: F.when(
-            text_uniform01(seed, *group, c, "choose") < F.lit(float(p)), codes[c].cast("double") - F.lit(classes / 2.0)
-        ).otherwise(F.col(c))
-        for c in cols
-    }
-    return out.withColumns(new).drop(*[f"{c}_bounds" for c in cols])
+    drawn = F.array(*[text_uniform01(seed, *group, c, "choose") < F.lit(float(p)) for c in cols])
+    out = attach_draws(out, by, {"__chosen": drawn})
+    new = {c: F.when(F.get("__chosen", F.lit(j)), codes[c].cast("double") - F.lit(classes / 2.0)).otherwise(F.col(c)) for j, c in enumerate(cols)}
+    return out.withColumns(new).drop("__chosen", *[f"{c}_bounds" for c in cols])
 
 
 def class_range(low: int, high: int, *key) -> Column:

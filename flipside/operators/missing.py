@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.functions.fitted import attach, drop_params, fit, where_fit
+from flipside.functions.fitted import attach, attach_draws, drop_params, fit, where_fit
 from flipside.functions.keyed import rand_int, text_uniform01, uniform01
 
 # Stand-in numbers a disguised missing cell may carry.
@@ -61,10 +61,10 @@ def nan_share(col: str) -> Column:
 def inject_missing_random(df: DataFrame, cols: Sequence[str], p: float, by: str, key: str, seed: int, value: Column | None = None) -> DataFrame:
     """Each cell goes missing with probability u*p, one u per dataset."""
     gone = F.lit(None).cast("double") if value is None else value
-    rate = text_uniform01(seed, F.col(by), "rate") * F.lit(float(p))
-    return df.withColumns(
-        {c: F.when(uniform01(seed, F.col(key), c, "cell") < rate, gone).otherwise(F.col(c)) for c in cols}
-    )
+    rated = attach_draws(df, [by], {"__rate": text_uniform01(seed, F.col(by), "rate") * F.lit(float(p))})
+    return rated.withColumns(
+        {c: F.when(uniform01(seed, F.col(key), c, "cell") < F.col("__rate"), gone).otherwise(F.col(c)) for c in cols}
+    ).drop("__rate")
 
 
 def value_threshold(p: float, by: str, seed: int) -> Column:
@@ -78,8 +78,8 @@ def inject_missing_by_value(df: DataFrame, codes: dict[str, Column], p: float, b
     data values (see labels.rank_codes).
     """
     gone = F.lit(None).cast("double") if value is None else value
-    t = value_threshold(p, by, seed)
-    return df.withColumns({c: F.when(code < t, gone).otherwise(F.col(c)) for c, code in codes.items()})
+    limited = attach_draws(df, [by], {"__limit": value_threshold(p, by, seed)})
+    return limited.withColumns({c: F.when(code < F.col("__limit"), gone).otherwise(F.col(c)) for c, code in codes.items()}).drop("__limit")
 
 
 def missing_value_for(kind: str, set_value_to_nan: float, *key) -> Column:
@@ -92,7 +92,7 @@ def missing_value_for(kind: str, set_value_to_nan: float, *key) -> Column:
 
 
 def missing_schedule(by: str, seed: int, p_none: float, p_reason: float, p_unknown: float, p_unknown_reason: float) -> dict[str, Column]:
-    """Which kinds of missingness a dataset gets: only half of them get any."""
+    """Which kinds of missingness a dataset gets: only half of them get any.  Made to be attached per dataset."""
     u = {k: text_uniform01(seed, F.col(by), k) for k in ("any", "none", "reason", "mech")}
     on = (u["any"] > 0.5) & F.lit(p_none + p_reason + p_unknown > 0)
     by_value = u["mech"] >= F.lit(float(p_unknown_reason))
@@ -104,6 +104,11 @@ def missing_schedule(by: str, seed: int, p_none: float, p_reason: float, p_unkno
     }
 
 
+def attach_missing_schedule(df: DataFrame, by: str, seed: int, p_none: float, p_reason: float, p_unknown: float, p_unknown_reason: float) -> DataFrame:
+    """The schedule's columns on every row, drawn once per dataset."""
+    return attach_draws(df, [by], missing_schedule(by, seed, p_none, p_reason, p_unknown, p_unknown_reason))
+
+
 def missing_indicators(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Missing cells become 0 and get a z-scored indicator column `<col>_miss`."""
     from flipside.operators.transforms import zscore

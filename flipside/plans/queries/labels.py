@@ -74,7 +74,7 @@ select row_id, (case when {UT(_SD, 'dataset_id', s('reverse'))} > 0.5 then 4-d e
 def f7(spark, sf):
     z = scored_orders(spark, sf)
     code = L.multiclass_by_value("y", _B)
-    return z.select("row_id", L.permute_classes(code, 5, 0.3, BY, SEED).alias("y_class"))
+    return L.permute_classes(z, code, 5, 0.3, BY, SEED).select("row_id", "y_class")
 
 
 _SS = "ss_ as (select row_id, dataset_id, " + ", ".join(f"{f}/(1.0::double+abs({f})) as {f}" for f in FEATURES) + " from so_)"

@@ -111,8 +111,8 @@ def d6(spark, sf):
         finite = ~F.isnan(v) & (F.abs(v) != float("inf"))
         return F.when(finite, F.when(finite, v).otherwise(0.0).cast("int").cast("string")).otherwise(v.cast("string")).alias(kind)
 
-    sched = M.missing_schedule("event_type", SEED, 0.5, 0.2, 0.2, 0.3)
-    return ev.select("event_id", *[shown(k) for k in ("unknown", "none", "reason")], *[c.alias(n) for n, c in sched.items()])
+    out = M.attach_missing_schedule(ev.select("event_id", "event_type"), "event_type", SEED, 0.5, 0.2, 0.2, 0.3)
+    return out.select("event_id", *[shown(k) for k in ("unknown", "none", "reason")], "has_none", "has_reason", "has_unknown", "unknown_by_value")
 
 
 @query(
