@@ -107,7 +107,6 @@ def op13_spill_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_learned_partitions, op2_deleted_interpolation, op3_kd_sharding, op4_pow2_packing, op5_chosen_path_join, op6_kernel_quality, op7_secret_ledger, op8_sainte_lague_mixing, op9_exact_dedup, op10_url_rules, op11_rns_negatives, op12_itq_dedup, op13_spill_alignment)}
 
-_NAMES = ", ".join(f"'{n}'" for n in MiningConfig().listed_names)
 # Disjoint or nested rules, the longest text first.
 _RULE_CASES = [
     (f"(host = '{r.host}' or host like '%.{r.host}') and starts_with(path, '{r.path}')", r) for r in sorted(URL_RULES, key=lambda r: -len(r.text))
@@ -120,11 +119,11 @@ h as (select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABC
 p as (select *, case {' '.join(f"when {c} then '{r.text}'" for c, r in _RULE_CASES)} end as rule, case {' '.join(f"when {c} then '{r.verdict}'" for c, r in _RULE_CASES)} end as listed,
   string_split(host, '.') as l, list_filter(string_split(path, '/'), lambda x: x <> '') as d, regexp_extract(path, '/(\\d)\\d*[^/]*/?$', 1) as g,
   case when contains(url, '?') then '?' || regexp_extract(regexp_extract(url, '[?#](.*)$', 1), '^([A-Za-z_]*)', 1) when contains(url, '#') then '#' when path like '%/' then '/' else regexp_extract(path, '(\\.[A-Za-z]+)$', 1) end as e from h),
-t as (select page_id, host, path, rule, listed, coalesce(listed = 'block', false) or (rule is null and len(list_filter(l, lambda x: x in ({_NAMES}))) > 0) as blocked,
+t as (select page_id, host, path, rule, listed,
   list_sort(list_distinct(list_filter([case when host <> '' then 'site:' || array_to_string(l[greatest(len(l) - 1, 1):len(l)], '.') end, case when len(l) >= 3 then 'name:' || l[len(l) - 2] end,
   case when len(l) >= 4 then 'sub:' || l[1] end, case when len(d) >= 1 then 'dir:' || d[1] end, case when g <> '' then 'digit:' || g end, case when e <> '' then 'end:' || e end], lambda x: x is not null))) as tokens from p),
-s as (select tokens, count(*) as n, sum(blocked::int) as b from t where len(tokens) > 0 group by tokens),
-least as (select ceil(greatest({MiningConfig().min_support}::double, {float(MiningConfig().min_count)}::double / sum(n)) * sum(n)) as c from s),
+s as (select tokens, count(*) filter (rule is not null) as n, count(*) filter (listed = 'block') as b from t where len(tokens) > 0 group by tokens),
+least as (select greatest({MiningConfig().min_count}, ceil({MiningConfig().min_support}::double * sum(b))) as c from s),
 m as (select tokens, n, b, unnest(range(1, (1 << len(tokens))::bigint)) as mask from s),
 a as (select tokens, n, b, list_filter(tokens, lambda x, i: (mask >> (i - 1)) % 2 = 1) as ante from m),
 r as (select ante, sum(b) as uses, sum(b)::double / sum(n) as confidence from a group by ante having sum(b) >= (select c from least) and sum(b)::double / sum(n) >= {MiningConfig().min_confidence}::double),

@@ -1,24 +1,24 @@
 """URL filter by association rules, DataFrame operations only.
 
-URLs that the given lists judge are labels.  FP-growth mines which
-combinations of URL tokens go with the label "block"; combinations with enough
-support and confidence become rules, which are found for a URL through an
-inverted index on each rule's rarest token.
+URLs that the given lists judge are labels, the others have none.  FP-growth
+mines which combinations of URL tokens go with the label "block"; combinations
+with enough support and confidence become rules, which are found for a URL
+through an inverted index on each rule's rarest token.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipside.llm.common import UPPER, written
 
 BLOCK = "label:block"
-MAX_LISTED = 10_000
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,11 @@ class ListRule:
 
 @dataclass(frozen=True)
 class MiningConfig:
+    """A rule needs `min_support` of the blocked labels, `min_count` of them at least."""
+
     min_support: float = 0.001
     min_count: int = 3
     min_confidence: float = 0.8
-    listed_names: Sequence[str] = ("spam-farm", "cheap-pills", "casino-win")  # labels of known bad sites
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -51,22 +52,32 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def longest_rule(rules: Sequence[ListRule]) -> Column:
-    """Struct (size, text, verdict) of the longest rule that fits columns host and path, or null.
+def rule_table(spark: SparkSession, rules: Sequence[ListRule]) -> DataFrame:
+    """A list of rules as the table `longest_rules` joins: verdict, host, path."""
+    return spark.createDataFrame([(r.verdict, r.host, r.path) for r in rules], "verdict string, host string, path string")
+
 
-    The rules are a literal of the plan, at most MAX_LISTED of them.
+def longest_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Adds `__rule`, struct (size, text, verdict) of the longest rule that fits columns host and path, or null.
+
+    Rules are a table of any length.  A host is cut into its endings, of at most
+    as many labels as a rule's host has, and its path into beginnings of the
+    lengths that the ending's rules have; both meet the rules by equality.
+    Of two rules of one length the greater text counts, then the greater verdict.
     """
-    if len(rules) > MAX_LISTED:
-        raise ValueError(f"a list rule literal holds at most {MAX_LISTED} rules")
-    fits = [
-        F.when(
-            ((F.col("host") == r.host) | F.endswith("host", F.lit("." + r.host))) & F.startswith("path", F.lit(r.path)),
-            F.struct(F.lit(len(r.text)).alias("size"), F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict")),
-        )
-        for r in rules
-    ]
-    none = F.lit(None).cast("struct<size:int,text:string,verdict:string>")
-    return F.array_max(F.array(none, *fits))
+    text = F.concat("host", "path")
+    listed = written(rules.select("verdict", "host", "path", text.alias("text"), F.length(text).alias("size")).dropna(), "url-list")
+    most = listed.agg(F.max(F.size(F.split("host", r"\."))).alias("m")).first()["m"] or 0
+    lengths = listed.groupBy(F.col("host").alias("ending")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    labels = F.split("host", r"\.")
+    take = F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, most))))
+    endings = F.transform(take, lambda k: F.array_join(F.slice(labels, -k, k), "."))
+    near = urls.select("host", "path").distinct().withColumn("ending", F.explode(endings)).join(lengths, "ending")
+    near = near.withColumn("n", F.explode("lengths")).filter(F.length("path") >= F.col("n"))
+    near = near.select("host", "path", "ending", F.left("path", F.col("n")).alias("beginning"))
+    fits = near.join(listed.withColumnsRenamed({"host": "ending", "path": "beginning"}), ["ending", "beginning"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct("size", "text", "verdict")).alias("__rule"))
+    return urls.join(best, ["host", "path"], "left")
 
 
 def url_tokens(url: Column) -> Column:
@@ -103,9 +114,11 @@ def mine_rules(labelled: DataFrame, cfg: MiningConfig) -> DataFrame:
     `labelled` has columns tokens and blocked.  `uses` counts the URLs that hold
     tokens and label, `key` is the antecedent's rarest token.
     """
-    n = labelled.count()
+    size = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if("blocked").alias("blocked")).first()
+    # Counted among the blocked: more allowed URLs do not raise what a rule needs.
+    least = max(cfg.min_count, math.ceil(cfg.min_support * size["blocked"]))
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens"))
-    support = max(cfg.min_support, cfg.min_count / max(n, 1))
+    support = (least - 0.5) / max(size["n"], 1)  # FPGrowth rounds the count up
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=cfg.min_confidence).fit(labelled.select(items.alias("items")))
     sets = written(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     with_label = sets.filter(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(
@@ -120,21 +133,23 @@ def mine_rules(labelled: DataFrame, cfg: MiningConfig) -> DataFrame:
     return rules.join(keys, "antecedent").select("antecedent", "confidence", "uses", "key")
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[ListRule], cfg: MiningConfig = MiningConfig()) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Sequence[ListRule] | DataFrame, cfg: MiningConfig = MiningConfig()) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule for every row of `pages`.
 
-    Reads page_id and url.  `rule` is the longest list rule that fits, which
-    then decides; other URLs are blocked when a mined rule matches them and
-    allowed otherwise.  A null or odd url has no tokens and is allowed.
-    Repeated rows are judged alike; an empty table gives an empty table.
+    Reads page_id and url; `rules` is a list or a table (verdict, host, path).
+    `rule` is the longest list rule that fits, which then decides; other URLs
+    are blocked when a mined rule matches them and allowed otherwise.  URLs that
+    a list rule judges are all that is learnt from: without blocked ones no rule
+    is mined.  A null or odd url has no tokens and is allowed.  Repeated rows
+    are judged alike; an empty table gives an empty table.
     """
     host, path = host_and_path(F.col("url"))
     df = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    df = df.withColumn("__rule", longest_rule(rules)).withColumn("tokens", url_tokens(F.col("url")))
-    listed = F.exists(F.split("host", r"\."), lambda x: x.isin(list(cfg.listed_names)))
-    blocked = F.coalesce(F.col("__rule.verdict") == "block", F.lit(False)) | (F.col("__rule").isNull() & listed)
-    rows = df.select("page_id", "host", "path", "__rule", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"), blocked.alias("blocked"))
-    mined = mine_rules(rows.filter(F.size("tokens") > 0).select("tokens", "blocked"), cfg)
+    table = rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)
+    df = longest_rules(df.withColumn("tokens", url_tokens(F.col("url"))).drop("url"), table)
+    rows = written(df.select("page_id", "host", "path", "__rule", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")), "url-rows")
+    labelled = rows.filter(F.col("__rule").isNotNull() & (F.size("tokens") > 0))
+    mined = mine_rules(labelled.select("tokens", (F.col("__rule.verdict") == "block").alias("blocked")), cfg)
     # Equal token sets are judged once, whatever the number of their URLs.
     sets = rows.filter("__rule is null").groupBy("tokens").agg(F.count(F.lit(1)).alias("__n"))
     hits = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key")
