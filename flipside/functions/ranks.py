@@ -158,7 +158,13 @@ def peer_ranks(df: DataFrame, by: Sequence[str], col: str, key: str, name: str =
 
 
 def quantile_lists(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], kind: str = "linear") -> tuple[DataFrame, DataFrame]:
-    """The groups (by), and (by, feat, qs): the exact quantiles of every column that has values, as a map from the number of the probability.
+    """The groups (by), and (by, feat, qs): the exact quantiles of every column that has values, as a map from the number of the probability."""
+    groups, found = _quantile_rows(df, by, cols, probs, kind, [])
+    return groups, found.groupBy(*by, "feat").agg(F.map_from_entries(F.collect_list(F.struct("number", "part"))).alias("qs"))
+
+
+def _quantile_rows(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs: Sequence[float], kind: str, stats: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """The groups (by, stats), and a row per exact quantile (by, feat, number of the probability, part).
 
     kind='lower' gives the smallest value with cumulative share >= p;
     kind='linear' interpolates between the two neighbouring order statistics.
@@ -166,7 +172,7 @@ def quantile_lists(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs:
     Pass 1 brackets every wanted rank by approximate quantiles 2/ACCURACY to
     both sides.  Pass 2 keeps what lies inside a bracket and counts the rest,
     one row per value in either case; running counts then meet the sorted list
-    of wanted ranks.
+    of wanted ranks.  `stats` are further aggregates, taken along in pass 1.
     """
     by, m = list(by), len(probs)
     order = sorted(range(m), key=lambda i: probs[i])
@@ -179,7 +185,7 @@ def quantile_lists(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs:
         flags = F.array(*[F.lit(x) for x in is_open])
         return F.transform(F.slice(found, first, m), lambda x, i: F.when(F.get(flags, i), F.lit(value)).otherwise(x))
 
-    around = df.groupBy(*by).agg(*[F.percentile_approx(F.col(c).cast("double"), wanted, F.lit(ACCURACY)).alias(f"__a{j}") for j, c in enumerate(cols)])
+    around = df.groupBy(*by).agg(*[F.percentile_approx(F.col(c).cast("double"), wanted, F.lit(ACCURACY)).alias(f"__a{j}") for j, c in enumerate(cols)], *stats)
     both = [
         found.alias(f"__{n}{j}")
         for j in range(len(cols))
@@ -188,15 +194,16 @@ def quantile_lists(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs:
             ("hi", ends(F.col(f"__a{j}"), m + 1, [x >= 1.0 for x in shares[m:]], float("inf"))),
         )
     ]
-    brackets = materialise(around.select(*by, *both))
-    rows = attach(df.select(*by, *cols), brackets, by)
+    brackets = materialise(around.select(*by, *both, *[c for c in around.columns if c not in {*by, *[f"__a{j}" for j in range(len(cols))]}]))
+    bounds = [f"__{n}{j}" for n in ("lo", "hi") for j in range(len(cols))]
+    rows = attach(df.select(*by, *cols), brackets.select(*by, *bounds), by)
     # `lo` and `hi` ascend, so how many brackets begin at or below a value and how many end below it
     # place it; both only grow with the value.  They are taken before a row is cut into its values.
     places = {}
     for j, c in enumerate(cols):
         x = F.col(c).cast("double")
         places |= {f"__u{j}": count_below(F.col(f"__lo{j}"), x, m), f"__o{j}": count_below(F.col(f"__hi{j}"), x, m, strict=True)}
-    rows = rows.withColumns(places).drop(*[f"__{n}{j}" for n in ("lo", "hi") for j in range(len(cols))])
+    rows = rows.withColumns(places).drop(*bounds)
     values = [F.struct(F.lit(j).alias("feat"), F.col(c).cast("double").alias("v"), F.col(f"__u{j}").alias("under"), F.col(f"__o{j}").alias("over")) for j, c in enumerate(cols)]
     cells = rows.select(*by, F.explode(F.array(*values)).alias("__c")).select(*by, "__c.*").filter("v is not null")
     keys = [*by, "feat"]
@@ -218,15 +225,17 @@ def quantile_lists(df: DataFrame, by: Sequence[str], cols: Sequence[str], probs:
     value = F.when(F.get("ks", F.col("q")) == F.col("low"), F.col("least")).otherwise(F.col("most"))
     place = F.get(p, F.col("q")) * last
     met = met.select(*keys, "q", "up", value.alias("value"), (place - F.floor(place)).alias("over"))
+    # Two rows per quantile: laid out by group once, for this and what the callers group by.
+    met = met.repartition(*by) if by else met.coalesce(1)
     pair = met.groupBy(*keys, "q").agg(F.max(F.when(~F.col("up"), F.col("value"))).alias("down"), F.max(F.when(F.col("up"), F.col("value"))).alias("above"), F.max("over").alias("over"))
     if kind == "lower":
-        found = pair.select(*keys, "q", F.col("down").alias("part"))
+        part = F.col("down")
     else:
         # Equal neighbours give their value itself, not a rounded mixture.
         mixed = F.col("down") * (1.0 - F.col("over")) + F.col("above") * F.col("over")
-        found = pair.select(*keys, "q", F.when((F.col("down") == F.col("above")) | (F.col("over") == 0), F.col("down")).otherwise(mixed).alias("part"))
+        part = F.when((F.col("down") == F.col("above")) | (F.col("over") == 0), F.col("down")).otherwise(mixed)
     number = F.element_at(F.array(*[F.lit(i) for i in order]), F.col("q") + 1)
-    return brackets.select(*by), found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(number, "part"))).alias("qs"))
+    return brackets.drop(*bounds), pair.select(*keys, number.alias("number"), part.alias("part"))
 
 
 def exact_quantiles(
@@ -235,11 +244,15 @@ def exact_quantiles(
     cols: Sequence[str],
     probs: Sequence[float],
     kind: str = "linear",
+    stats: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact quantiles of many columns: one row per group, columns `<col>_q<i>`."""
-    by = list(by)
-    groups, lists = quantile_lists(df, by, cols, probs, kind)
-    out = lists.groupBy(*by).agg(*[F.first(F.when(F.col("feat") == j, F.col("qs")), ignorenulls=True).alias(f"__m{j}") for j in range(len(cols))])
-    out = out.select(*by, *[F.col(f"__m{j}")[i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(len(probs))])
+    """Exact quantiles of many columns: one row per group, columns `<col>_q<i>`, and further aggregates `stats`."""
+    by, m = list(by), len(probs)
+    groups, found = _quantile_rows(df, by, cols, probs, kind, stats)
+    entry = F.struct((F.col("feat") * m + F.col("number")).alias("k"), "part")
+    out = found.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("__qs"))
+    out = out.select(*by, *[F.col("__qs")[j * m + i].alias(f"{c}_q{i}") for j, c in enumerate(cols) for i in range(m)])
     # Groups whose values are all unknown keep their row.
-    return groups.join(out, by, "left") if by else out
+    if by:
+        return groups.join(out, by, "left")
+    return attach(out, groups, by) if stats else out

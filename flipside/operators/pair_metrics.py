@@ -65,22 +65,22 @@ def pair_distances(pairs: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def proximity(measured: DataFrame, by: Sequence[str], valid_only: bool = False) -> DataFrame:
+def proximity(measured: DataFrame, by: Sequence[str], valid_only: bool = False, more: Sequence[Column] = ()) -> DataFrame:
     """Mean, sample deviation (0 for one pair) and lower median of each distance.
 
-    Groups without any pair get zeros.
+    Groups without any pair get zeros.  `more` are further aggregates of the
+    same rows; all of them share the pass that brackets the medians.
     """
     rows = measured.filter("label_flipped") if valid_only else measured
-    aggs = [F.count(F.lit(1)).alias("num_pairs")]
+    aggs = [*more, F.count(F.lit(1)).alias("num_pairs")]
     for c in DISTANCES:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_std")]
-    stats = rows.groupBy(*by).agg(*aggs)
-    medians = exact_quantiles(rows, by, DISTANCES, [0.5], "lower")
-    medians = medians.select(*by, *[F.col(f"{c}_q0").alias(f"{c}_median") for c in DISTANCES])
+    out = exact_quantiles(rows, by, DISTANCES, [0.5], "lower", aggs).withColumnsRenamed({f"{c}_q0": f"{c}_median" for c in DISTANCES})
     if not by:
-        return stats.withColumn("__one", F.lit(1)).join(medians.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    groups = measured.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
-    return groups.join(stats, list(by), "left").join(medians, list(by), "left").na.fill(0)
+        return out
+    if valid_only:
+        out = measured.select(*by).distinct().join(out, list(by), "left")
+    return out.na.fill(0)
 
 
 def per_feature_mad(pairs: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:

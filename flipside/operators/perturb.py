@@ -13,9 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flipside.functions.fitted import attach, drop_params, fit
+from flipside.functions.fitted import attach, drop_params, fit, materialise
 from flipside.functions.keyed import rand_normal, rand_sign, uniform01
-from flipside.functions.ranks import positions
+from flipside.functions.ranks import exact_quantiles, positions
 from flipside.functions.stats import total
 
 Score = Callable[[Mapping[str, Column]], Column]
@@ -78,11 +78,28 @@ def _any(cols: Sequence[Column]) -> Column:
     return acc
 
 
-def fit_spread(df: DataFrame, features: Sequence[str], by: Sequence[str], bounds: bool = False) -> DataFrame:
-    aggs = [F.greatest(F.stddev_samp(f), F.lit(STD_FLOOR)).alias(f"sd_{f}") for f in features]
-    if bounds:
-        aggs = [a for f in features for a in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]
-    return fit(df, by, aggs)
+def spread_stats(features: Sequence[str]) -> list[Column]:
+    """What every strategy but the donor one reads: deviation, least and greatest value of each feature."""
+    return [
+        a
+        for f in features
+        for a in (F.greatest(F.stddev_samp(f), F.lit(STD_FLOOR)).alias(f"sd_{f}"), F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))
+    ]
+
+
+def fit_spread(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    return fit(df, by, spread_stats(features))
+
+
+def fit_pairs(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(spread, threshold) for `perturb` and `label_pairs`, fitted together.
+
+    The pass that brackets the frozen median of the target takes the spread
+    along, so the rows are read twice for all of it.
+    """
+    both = exact_quantiles(df, by, [target], [0.5], "lower", spread_stats(features)).withColumnRenamed(f"{target}_q0", "threshold")
+    both = materialise(both)
+    return both.drop("threshold"), both.select(*by, "threshold")
 
 
 def with_donors(df: DataFrame, features: Sequence[str], by: Sequence[str], cfg: PerturbConfig, repeat: Column | None = None) -> DataFrame:
@@ -167,7 +184,7 @@ def perturb(df: DataFrame, features: Sequence[str], strategy: str, by: Sequence[
     if chosen.needs == "donor":
         src = with_donors(df, features, by, cfg, repeat)
     else:
-        params = spread if spread is not None else fit_spread(df, features, by, chosen.needs == "bounds")
+        params = spread if spread is not None else fit_spread(df, features, by)
         src = attach(df, params, by)
     masked = select_targets(src, features, cfg)
     raw = {f: chosen.make(f, cfg, features) if chosen.slope else chosen.make(f, cfg) for f in features}

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flipside.functions.keyed import draw_tag, text_uniform01, uniform01
-from flipside.operators.labels import calibrate_threshold
-from flipside.operators.perturb import PerturbConfig, label_pairs, linear_score, perturb
+from flipside.operators.perturb import PerturbConfig, fit_pairs, label_pairs, linear_score, perturb
 from flipside.operators.transforms import zscore
 from flipside.session import checkpointed
 
@@ -72,11 +71,16 @@ def scored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf_dir: str, strategy: str, **options) -> DataFrame:
     """Factual/counterfactual pairs of the z-scored orders under one strategy."""
+    return fitted_pairs(spark, sf_dir, strategy, **options)[0]
+
+
+def fitted_pairs(spark: SparkSession, sf_dir: str, strategy: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs, the scored rows they come from, and the frozen thresholds."""
     cfg = PerturbConfig(seed=SEED, score=SCORE, **options)
     rows = scored_orders(spark, sf_dir)
-    threshold = calibrate_threshold(rows, "y", BY)
-    made = perturb(rows.drop("y"), FEATURES, strategy, BY, cfg)
-    return label_pairs(made, FEATURES, SCORE, BY, threshold)
+    spread, threshold = fit_pairs(rows, FEATURES, "y", BY)
+    made = perturb(rows.drop("y"), FEATURES, strategy, BY, cfg, spread)
+    return label_pairs(made, FEATURES, SCORE, BY, threshold), rows, threshold
 
 
 def with_predictions(made: DataFrame) -> DataFrame:

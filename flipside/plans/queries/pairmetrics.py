@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flipside.operators import pair_metrics as P
-from flipside.operators.labels import calibrate_threshold
 from flipside.functions.fitted import attach
-from flipside.plans.inputs import BY, FEATURES, SCORE, Z_SQL, pairs, pairs_sql, pred_sql, score_sql, scored_orders, with_predictions
+from flipside.plans.inputs import BY, FEATURES, SCORE, Z_SQL, fitted_pairs, pairs, pairs_sql, pred_sql, score_sql, with_predictions
 from flipside.plans.queries.whatif import DIST_SQL, PROX_SQL, dist_cte
 from flipside.plans.registry import R, query, rounded
 
@@ -126,9 +125,8 @@ v_ as (select dataset_id, {R(f"avg((({score_sql(lambda f: f'({f}+p_{f})')} > thr
 select * from a_ join b_ using (dataset_id) join v_ using (dataset_id)""",
 )
 def i13(spark, sf):
-    rows = scored_orders(spark, sf)
-    threshold = calibrate_threshold(rows, "y", BY)
-    out = attach(_pred(spark, sf), threshold, BY)
+    made, _, threshold = fitted_pairs(spark, sf, "additive_noise")
+    out = attach(with_predictions(made), threshold, BY)
     y = SCORE({f: F.col(f) + F.col(f"p_{f}") for f in FEATURES})
     hit = ((y > F.col("threshold")).cast("int") == F.col("y_cf_class")).cast("double")
     return rounded(out.groupBy("dataset_id").agg(*P.eval_metrics(FEATURES), F.avg(hit).alias("scm_validity")))
@@ -165,8 +163,8 @@ w_ as (select dataset_id, avg(greatest(z,0.0::double)-z*t+ln(1.0::double+exp(-ab
 select {R('(select avg(b) from w_) + 0.1::double*avg(nrm) + 0.01::double*avg(sz)', 'objective')}, {R('(select avg(b) from w_)', 'validity_loss')}, {R('avg(nrm)', 'proximity_loss')}, {R('avg(sz)', 'sparsity_loss')} from v_""",
 )
 def i17(spark, sf):
-    rows = scored_orders(spark, sf)
-    out = attach(_pred(spark, sf), calibrate_threshold(rows, "y", BY), BY)
+    made, _, threshold = fitted_pairs(spark, sf, "additive_noise")
+    out = attach(with_predictions(made), threshold, BY)
     margin = SCORE({f: F.col(f) + F.col(f"p_{f}") for f in FEATURES}) - F.col("threshold")
     return rounded(P.validity_objective(out, FEATURES, margin, F.col("y_cf_class"), BY))
 

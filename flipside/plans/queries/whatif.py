@@ -15,6 +15,7 @@ from flipside.plans.inputs import (
     SEED,
     U,
     Z_SQL,
+    fitted_pairs,
     order_features,
     pairs,
     pairs_sql,
@@ -27,7 +28,6 @@ from flipside.plans.inputs import (
     table,
     with_predictions,
 )
-from flipside.operators.labels import calibrate_threshold
 from flipside.plans.registry import R, query, r6, rounded
 from flipside.schema import to_pair_table
 
@@ -65,8 +65,7 @@ from d_ group by dataset_id""",
 def flagship(spark, sf):
     measured = pair_distances(pairs(spark, sf, "fixed_magnitude"), FEATURES)
     measured = measured.select("dataset_id", "label_flipped", *DIST_SQL)
-    rates = measured.groupBy("dataset_id").agg(*validity())
-    return rounded(rates.join(proximity(measured, BY), "dataset_id"))
+    return rounded(proximity(measured, BY, more=validity()))
 
 
 # --- G: keyed draws ----------------------------------------------------------
@@ -262,9 +261,8 @@ y_ as (select dataset_id, y_cf_class as t, ({score_sql(lambda f: f'({f}+p_{f})')
 select dataset_id, {R('avg((c=t)::int)', 'validity')}, sum((c=t)::int)::bigint as n_valid, count(*) as n_points from y_ group by dataset_id""",
 )
 def h12(spark, sf):
-    made = with_predictions(pairs(spark, sf, "uniform_random")).withColumn("target_label", F.col("y_cf_class"))
-    rows = scored_orders(spark, sf)
-    threshold = calibrate_threshold(rows, "y", BY)
+    made, rows, threshold = fitted_pairs(spark, sf, "uniform_random")
+    made = with_predictions(made).withColumn("target_label", F.col("y_cf_class"))
     stats = fit_pair_stats(rows, FEATURES, BY)
     # Predictions live in standardised units; rescoring brings them back with the same stats.
     scaled = normalize_with_stats(made, FEATURES, stats, BY, delta="p_")
@@ -288,11 +286,11 @@ select a.* from ({facts(0, 'gradient_guided')}) a cross join rate_ where rate >=
 @query("h13_retry_until_flip_rate", _tries_sql())
 def h13(spark, sf):
     rows = scored_orders(spark, sf)
-    threshold = calibrate_threshold(rows, "y", BY)
+    spread, threshold = perturb.fit_pairs(rows, FEATURES, "y", BY)
 
     def make(strategy, magnitude, attempt):
         cfg = perturb.PerturbConfig(seed=SEED, score=SCORE, magnitude=magnitude, salt=f"try{attempt}")
-        return perturb.label_pairs(perturb.perturb(rows.drop("y"), FEATURES, strategy, BY, cfg), FEATURES, SCORE, BY, threshold)
+        return perturb.label_pairs(perturb.perturb(rows.drop("y"), FEATURES, strategy, BY, cfg, spread), FEATURES, SCORE, BY, threshold)
 
     made, log = perturb.retry_until_flip_rate(make, "gradient_guided", 2.0)
     return made.groupBy("dataset_id").agg(
@@ -433,11 +431,11 @@ def h19(spark, sf):
 
     scored = scored_orders(spark, sf)
     rows = scored.drop("y")
-    threshold = calibrate_threshold(scored, "y", BY)
+    spread, threshold = perturb.fit_pairs(scored, FEATURES, "y", BY)
     configs = {
         v: perturb.PerturbConfig(p=p, magnitude=mag, k=k, seed=SEED, score=SCORE) for v, (mag, k, p) in _VARIANTS.items()
     }
-    return rounded(sweep(rows, FEATURES, BY, list(perturb.STRATEGIES)[:5], configs, 2, SCORE, threshold))
+    return rounded(sweep(rows, FEATURES, BY, list(perturb.STRATEGIES)[:5], configs, 2, SCORE, threshold, spread))
 
 
 @query(

@@ -8,22 +8,18 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flipside.functions.fitted import fit
 from flipside.operators.pair_metrics import pair_distances
-from flipside.operators.perturb import STD_FLOOR, STRATEGIES, PerturbConfig, Score, label_pairs, perturb
+from flipside.operators.perturb import STRATEGIES, PerturbConfig, Score, fit_spread, label_pairs, perturb
 
 
-def sweep(rows: DataFrame, features: Sequence[str], by: Sequence[str], strategies: Sequence[str], configs: Mapping[str, PerturbConfig], repeats: int, score: Score, threshold: DataFrame | float) -> DataFrame:
+def sweep(rows: DataFrame, features: Sequence[str], by: Sequence[str], strategies: Sequence[str], configs: Mapping[str, PerturbConfig], repeats: int, score: Score, threshold: DataFrame | float, spread: DataFrame | None = None) -> DataFrame:
     """One report row per strategy x variant x repeat.
 
     The settings are columns: each strategy reads the rows once, repeats them
     per (variant, repeat) and builds all its cells in one projection.  Feature
     statistics are fitted once for the whole sweep.
     """
-    stats = {
-        "std": fit(rows, by, [F.greatest(F.stddev_samp(f), F.lit(STD_FLOOR)).alias(f"sd_{f}") for f in features]),
-        "bounds": fit(rows, by, [a for f in features for a in (F.min(f).alias(f"lo_{f}"), F.max(f).alias(f"hi_{f}"))]),
-    }
+    stats = spread if spread is not None else fit_spread(rows, features, by)
     settings = F.explode(
         F.array(
             *[
@@ -54,7 +50,7 @@ def sweep(rows: DataFrame, features: Sequence[str], by: Sequence[str], strategie
             # Donors are drawn per cell, so positions are taken before the rows are repeated.
             made = perturb(rows, features, strategy, by, cell, repeat=settings)
         else:
-            made = perturb(rows.withColumn("__set", settings), features, strategy, by, cell, stats[needs])
+            made = perturb(rows.withColumn("__set", settings), features, strategy, by, cell, stats)
         measured = pair_distances(label_pairs(made, features, score, by, threshold), features)
         one = measured.select(
             F.lit(strategy).alias("strategy"),
