@@ -146,3 +146,27 @@ def test_retry_switches_strategy(rows):
     _, log = perturb.retry_until_flip_rate(make, "additive_noise", 2.0)
     assert log[0]["flip_rate"] == 0.0 and log[1]["strategy"] == "uniform_random" and log[1]["magnitude"] == 3.0
     assert log[-1]["flip_rate"] >= 0.2
+
+
+def test_fits_taken_together_are_those_taken_alone(rows):
+    y = rows.withColumn("y", SCORE({f: F.col(f) for f in FE}))
+    spread, threshold = perturb.fit_pairs(y, FE, "y", BY)
+    alone = {r["dataset_id"]: r.asDict() for r in perturb.fit_spread(rows, FE, BY).collect()}
+    frozen = {r["dataset_id"]: r["threshold"] for r in labels.calibrate_threshold(y, "y", BY).collect()}
+    assert {r["dataset_id"]: r["threshold"] for r in threshold.collect()} == frozen
+    for r in spread.collect():
+        want = alone[r["dataset_id"]]
+        assert set(r.asDict()) == set(want)
+        assert all(r[c] == pytest.approx(want[c], rel=1e-12) for c in want if c != "dataset_id")
+    whole, one = perturb.fit_pairs(y, FE, "y", [])
+    assert one.count() == 1 and {"sd_f_0", "lo_f_1", "hi_f_2"} <= set(whole.columns)
+
+
+def test_proximity_with_more_aggregates(rows):
+    made = perturb.perturb(rows, FE, "fixed_magnitude", BY, perturb.PerturbConfig())
+    made = pair_distances(perturb.label_pairs(made, FE, SCORE, BY, 0.0), FE)
+    share = F.avg(F.col("label_flipped").cast("double")).alias("share")
+    got = {r["dataset_id"]: r for r in proximity(made, BY, more=[share]).collect()}
+    want = {r["dataset_id"]: r["share"] for r in made.groupBy(*BY).agg(share).collect()}
+    assert {d: r["share"] for d, r in got.items()} == pytest.approx(want)
+    assert sum(r["num_pairs"] for r in got.values()) == proximity(made, []).first()["num_pairs"] == 400
