@@ -139,7 +139,9 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     Reads doc_id, text and, where present, lang and source.  Give the number of
     shards or the bytes a leaf should reach.  Size is the text's UTF-8 bytes plus
     16; a null text has none, a null lang or source sorts first, a null id counts
-    as 0.  Repeated rows share all coordinates and stay together.  An empty table
+    as 0.  Rows with equal id, text and metadata share all coordinates and stay
+    together; equal texts of different documents may lie in different shards, as
+    the tree cuts by metadata and the law is that of near equal bytes.  An empty table
     gives an empty table.
     """
     meta = written(metadata(docs), "shard-meta")

@@ -184,7 +184,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_f
     of the text are the only inputs of a score.  Rows of the held-out fold and
     null labels teach nothing; a document labelled repeatedly has the mean
     label.  Null texts are empty, and empty texts are scored like others.  With
-    no label every score is 0.5; an empty table gives an empty table.
+    fewer than 50 labelled rows the calibration learns from the rows that the
+    weights were fitted on, from 50 on from a fifth held back for it.  With no
+    label every score is 0.5; an empty table gives an empty table.
     """
     rows = stats_table(docs, folds, held_out_fold)
     model = fit_quality(rows, labels, cfg)

@@ -1,8 +1,8 @@
 """Mixing sources to target weights: Sainte-Lague apportionment, DataFrame operations only.
 
 Each source gets a target number of words from its weight.  The mix is made of
-blocks of equal word count, shorter ones for sources whose target is less than
-`per_source` blocks.  Sainte-Lague deals the blocks to the sources by highest
+blocks of equal word count; a departure from that are sources whose target is
+less than `per_source` blocks, which get shorter ones, equal within the source.  Sainte-Lague deals the blocks to the sources by highest
 quotient (target / block length) / (2k+1) until the mix is full, and the order
 of the awards spreads them over the output shards, which gives an integer quota
 per shard and source.  A source's documents are laid in seeded random order on a line of words, the line

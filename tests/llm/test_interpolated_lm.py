@@ -84,8 +84,8 @@ def test_real_documents(spark, batch_bytes):
 def test_odd_rows(spark):
     same(score_documents(docs(spark, clash=True)), ODD)
     assert rows_of(score_documents(empty(spark))) == []
-    one = [(5, "only held out", "en", "a", 0)]
-    assert zlib.crc32(b"5") % 7 is not None
+    number = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    one = [(number, "only held out", "en", "a", 0)]
     same(score_documents(docs(spark, one)), one)
 
 
