@@ -171,9 +171,13 @@ for _n, _s in (
     ),
 )
 def h7(spark, sf):
+    rows = scored_orders(spark, sf)
+    spread, threshold = perturb.fit_pairs(rows, FEATURES, "y", BY)
+    cfg = perturb.PerturbConfig(seed=SEED, score=SCORE)
     out = None
     for st in list(perturb.STRATEGIES)[:5]:
-        one = pairs(spark, sf, st).groupBy("dataset_id").agg(
+        made = perturb.perturb(rows.drop("y"), FEATURES, st, BY, cfg, spread)
+        one = perturb.label_pairs(made, FEATURES, SCORE, BY, threshold).groupBy("dataset_id").agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.col("label_flipped").cast("long")).alias("flips"),
             *[F.avg(f"d_{f}").alias(f"d_{f}") for f in FEATURES]
         ).withColumn("strategy", F.lit(st))
