@@ -379,12 +379,15 @@ def jaccard_classes(docs: DataFrame, cfg: JoinConfig = JoinConfig()) -> DataFram
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("text_hash"), "text")
     rows = written(narrow.mapInArrow(partial(_sketches, cfg=cfg), "doc_id long, text_hash long, sid long, n int, sig binary"), "sketches")
-    sets = written(rows.groupBy("sid").agg(F.min("doc_id").alias("rep_id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    rep = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash"))  # a missing id names a set only if all its ids are missing
+    grouped = rows.groupBy("sid").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = written(grouped.select("sid", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "n", "sig"), "sets")
     leaves = _leaves(sets, cfg)
     fed = _block_pairs(leaves, cfg).join(sets.select("sid", "sig"), "sid").select("node", "bi", "bj", "mine", "sid", "sig")
     likely = written(_grouped(fed).mapInArrow(partial(_likely, cfg=cfg), "node long, sid long").distinct(), "likely")
-    wanted = likely.select("sid").distinct().join(sets, "sid").select("sid", F.col("rep_id").alias("__rep"))
-    texts = narrow.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__rep"))).select("sid", "text")
+    wanted = likely.select("sid").distinct().join(sets, "sid").select("sid", F.col("rep_id").alias("__rep"), F.col("rep_hash").alias("__hash"))
+    own = (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__rep"))
+    texts = narrow.join(wanted.hint("shuffle_hash"), own).select("sid", "text")
     exact = written(texts.mapInArrow(partial(_sets_of, cfg=cfg), "sid long, shingles binary").dropDuplicates(["sid"]), "exact-sets")
     keys = likely.groupBy("sid").agg(F.sort_array(F.collect_set("node")).alias("keys"))
     sized = likely.join(likely.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "node")

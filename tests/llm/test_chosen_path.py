@@ -113,3 +113,10 @@ def test_components_of_chains_and_stars(spark):
     assert {(r["node"], r["least"]) for r in components(df).collect()} == want
     assert rows_of(components(df.limit(0))) == []
     assert df.filter(F.col("a") == 5).count() == 1
+
+
+def test_missing_and_shared_ids(spark):
+    rows = [(None if i % 3 else 5, text, *rest) for i, (_, text, *rest) in enumerate(near_group(60) + near_group(40, 1000))]
+    rows += [(None, f"a text of its own number {i} without a neighbour", "en", "a", 0) for i in range(200)]
+    assert got(jaccard_classes(docs(spark, rows))) == plain(rows)
+    assert got(jaccard_classes(docs(spark, [(None, *r[1:]) for r in rows]))) == plain([(None, *r[1:]) for r in rows])
