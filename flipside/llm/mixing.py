@@ -78,7 +78,8 @@ def awards(targets: DataFrame, block: int, sources: int, total: int) -> DataFram
 
 def _sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("__size", size).withColumn("__key", source_key(F.col("source")))
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return docs.withColumns({"__size": size, "__key": source_key(F.col("source")), "__text": text_hash})
 
 
 def _plan(sized: DataFrame, cfg: MixConfig) -> tuple[DataFrame, DataFrame, int]:
@@ -126,14 +127,14 @@ def _on_line(sized: DataFrame, rows: int, cfg: MixConfig) -> DataFrame:
     """Adds `__pos`, the row's first word on its source's line, in seeded order.
 
     The line of a source is laid out in hash parts of a few thousand rows, so a
-    hot source never meets in one task.
+    hot source never meets in one task, nor do rows that share an id or have none.
     """
-    placed = sized.withColumn("__draw", F.xxhash64(F.lit(cfg.seed), "doc_id"))
+    placed = sized.withColumn("__draw", F.xxhash64(F.lit(cfg.seed), "doc_id", "__text"))
     placed = placed.withColumn("__part", F.pmod("__draw", F.lit(max(1, rows // ROWS_PER_PART))))
     sums = placed.groupBy("__key", "__part").agg(F.sum("__size").alias("__words"))
     before = W.partitionBy("__key").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     first = sums.select("__key", "__part", F.coalesce(F.sum("__words").over(before), F.lit(0)).alias("__first"))
-    inside = W.partitionBy("__key", "__part").orderBy("__draw", "doc_id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("__key", "__part").orderBy("__draw", "doc_id", "__text", "__size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("__inside", F.coalesce(F.sum("__size").over(inside), F.lit(0)))
     return placed.join(first, ["__key", "__part"]).withColumn("__pos", F.col("__first") + F.col("__inside"))
 
@@ -153,8 +154,8 @@ def mix_totals(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     """doc_id, size, source_size, target, taken: words of every row that the mix takes.
 
     Reads doc_id, source and text.  Size counts words; a null text has none.
-    Null is a source of its own, the last one.  Repeated rows are separate rows.
-    All-empty tables take nothing; an empty table gives an empty table.
+    Null is a source of its own, the last one.  Repeated rows are separate rows;
+    rows that share an id (or have none) are told apart by their texts.  All-empty tables take nothing; an empty table gives an empty table.
     """
     sized = _sized(docs.select("doc_id", "source", "text")).drop("text")
     src, plan, rows = _plan(sized, cfg)
@@ -181,7 +182,7 @@ def mix_documents(docs: DataFrame, cfg: MixConfig = MixConfig()) -> DataFrame:
     docs = docs.drop("mix_shard", "mix_epoch")
     sized = _sized(docs)
     src, plan, rows = _plan(sized.select("__key", "source", "__size"), cfg)
-    line = written(_on_line(sized, rows, cfg).drop("__draw", "__part", "__inside", "__first"), "mix-texts")
+    line = written(_on_line(sized, rows, cfg).drop("__draw", "__text", "__part", "__inside", "__first"), "mix-texts")
     pieces = _pieces(line.select("__key", "__pos", "__size"), src)
     chosen = pieces.join(plan.withColumnRenamed("key", "__key"), ["__key", "block"]).groupBy("__key", "__pos", F.col("epoch").alias("__epoch")).agg(
         F.sort_array(F.collect_list(F.struct("__from", "__words"))).alias("__cuts"), F.min("shard").alias("__shard"), F.sum("__words").alias("__got")

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from flipside.llm.mixing import MixConfig, _plan, _sized, mix_documents, mix_totals, shard_quotas
+from flipside.llm.mixing import ROWS_PER_PART, MixConfig, _on_line, _plan, _sized, mix_documents, mix_totals, shard_quotas
 from tests.llm.helpers import docs, empty, rows_of
 
 
@@ -105,3 +105,13 @@ def test_odd_rows(spark):
     assert [(r["size"], r["taken"], r["target"]) for r in mix_totals(nothing).collect()] == [(0, 0, 0.0)] * 2
     assert mix_totals(empty(spark)).count() == 0
     assert mix_documents(empty(spark)).count() == 0
+
+
+def test_missing_ids_are_dealt_by_text(spark):
+    df = corpus(spark, 1200).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    line = _on_line(_sized(df), 80 * ROWS_PER_PART, MixConfig())
+    per = {r["__part"]: r["n"] for r in line.filter("doc_id is null").groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(per) > 60 and max(per.values()) < 30  # 600 rows over 80 parts
+    cfg = MixConfig(blocks=300)
+    assert rows_of(mix_documents(df.repartition(7), cfg)) == rows_of(mix_documents(df.coalesce(1), cfg))
+    assert rows_of(mix_totals(df.repartition(5), cfg)) == rows_of(mix_totals(df.coalesce(1), cfg))
